@@ -66,14 +66,14 @@ def _(t):
 
 @query("j2_attach_peer_stats", f"WITH {CODES}, {STATS} SELECT billing_npi, hcpcs_code, {r('ppc')} ppc, {r('avg_ppc')} avg_ppc, {r('std_ppc')} std_ppc, num_providers FROM codes LEFT JOIN stats USING (hcpcs_code)")
 def _(t):
-    codes = C.provider_code(t.claims)
+    codes = stages.codes(t)
     stats = peers.min_peers(peers.peer_stats(codes, ddof=0), GATE)
     return peers.attach_peer_stats(codes, stats).select("billing_npi", "hcpcs_code", "ppc", "avg_ppc", "std_ppc", "num_providers")
 
 
 @query("j3_assemble", f"WITH {FEATURES} SELECT {shown(['billing_npi', 'total_paid', 'num_rows', 'revenue_concentration', 'monthly_paid_cv', 'max_monthly_paid', 'max_peer_zscore', 'mean_peer_zscore'])} FROM features")
 def _(t):
-    codes = C.provider_code(t.claims)
+    codes = stages.codes(t)
     z = peers.peer_zscore(codes, min_count=GATE, ddof=0)
     months = C.monthly_stats(C.provider_month(t.claims), ddof=0)
     joined = C.assemble(C.provider_totals(codes), C.concentration(codes), months, peers.peer_rollup(z))
@@ -125,7 +125,7 @@ def _(t):
 
 @query("a4_peer_rollup", f"WITH {CODES}, {STATS}, {SCORED}, {ROLLUP} SELECT {shown(['billing_npi', 'max_peer_zscore', 'mean_peer_zscore'])} FROM rollup_z")
 def _(t):
-    return peers.peer_rollup(peers.peer_zscore(C.provider_code(t.claims), min_count=GATE, ddof=0))
+    return peers.peer_rollup(peers.peer_zscore(stages.codes(t), min_count=GATE, ddof=0))
 
 
 @query("a5_provider_month", f"WITH {MONTHS} SELECT billing_npi, claim_from_month, {r('monthly_paid')} monthly_paid FROM months")
@@ -306,7 +306,7 @@ def _(t):
 
 @query("flagship_price_outliers", f"WITH {CODES}, {STATS}, {SCORED}, {ROLLUP} SELECT {shown(['billing_npi', 'max_peer_zscore', 'mean_peer_zscore'])} FROM rollup_z ORDER BY ROUND(mean_peer_zscore, 9) DESC, billing_npi LIMIT 20")
 def _(t):
-    z = peers.peer_zscore(C.provider_code(t.claims), min_count=GATE, ddof=0)
+    z = peers.peer_zscore(stages.codes(t), min_count=GATE, ddof=0)
     return ranking.sort_head(peers.peer_rollup(z), [F.desc(F.round("mean_peer_zscore", 9)), "billing_npi"], 20)
 
 

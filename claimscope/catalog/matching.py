@@ -144,15 +144,21 @@ def _(t):
     return M.match_npi(M.excluded_individuals(t.exclusions), stages.networks(t).members)
 
 
+def _name_state(t, nets):
+    """The list's entries whose person has an official's name and state."""
+    individuals = M.excluded_individuals(t.exclusions)
+    return M.entries_of(individuals, M.match_name_state(nets.states, M.distinct_persons(individuals)))
+
+
 @query("j7_match_name_state", f"WITH {TABLES}, {PERSONS}, {BY_NAME} SELECT {MATCH_LIST} FROM by_name")
 def _(t):
-    return M.match_name_state(stages.networks(t).states, M.excluded_individuals(t.exclusions))
+    return _name_state(t, stages.networks(t))
 
 
 @query("j8_city_match", f"WITH {TABLES}, {PERSONS}, {BY_NAME}, {CANDIDATES} SELECT {MATCH_LIST}, tier = 2 same_city FROM candidates")
 def _(t):
     nets = stages.networks(t)
-    found = M.match_name_state(nets.states, M.excluded_individuals(t.exclusions))
+    found = _name_state(t, nets)
     cities = nets.cities.groupBy(*OFFICIAL).agg(F.collect_set("city").alias("cities"))
     return found.join(cities, OFFICIAL).withColumn("same_city", X.city_match("leie_city", "cities")).drop("cities")
 
@@ -160,7 +166,7 @@ def _(t):
 @query("j9_middle_match", f"WITH {TABLES}, {PERSONS}, {BY_NAME} SELECT n.ao_last, n.ao_first, leie_mid, excldate, leie_state, leie_mid <> '' AND o.ao_middle <> '' AND leie_mid = o.ao_middle same_middle FROM by_name n JOIN officials o USING (ao_last, ao_first)")
 def _(t):
     nets = stages.networks(t)
-    found = M.match_name_state(nets.states, M.excluded_individuals(t.exclusions))
+    found = _name_state(t, nets)
     joined = found.join(nets.officials.select(*OFFICIAL, "ao_middle"), OFFICIAL)
     return joined.select(*OFFICIAL, "leie_mid", "excldate", "leie_state", X.middle_match("leie_mid", "ao_middle").alias("same_middle"))
 
@@ -168,9 +174,10 @@ def _(t):
 @query("j10_place_tiers", f"WITH {TABLES}, {TIERED} SELECT DISTINCT ao_last, ao_first, tier FROM tiered")
 def _(t):
     nets = stages.networks(t)
-    found = M.candidate_tiers(nets, M.match_name_state(nets.states, M.excluded_individuals(t.exclusions)))
-    by_npi = M.match_npi(M.excluded_individuals(t.exclusions), nets.members).withColumn("tier", F.lit(1))
-    return M.place_tiers(sets.union_on(M.MATCH_COLUMNS, by_npi, found)).select(*OFFICIAL, "tier").distinct()
+    individuals = M.excluded_individuals(t.exclusions)
+    found = M.candidate_tiers(nets, M.match_name_state(nets.states, M.distinct_persons(individuals)))
+    by_npi = M.match_npi(individuals, nets.members).withColumn("tier", F.lit(1))
+    return M.place_tiers(sets.union_on([*OFFICIAL, "tier"], by_npi, found).distinct())
 
 
 @query("u1_union_tiers", f"WITH {TABLES}, {PERSONS}, {BY_NPI}, {BY_NAME}, {CANDIDATES} SELECT {MATCH_LIST}, tier FROM by_npi UNION ALL SELECT {MATCH_LIST}, tier FROM candidates")
@@ -178,7 +185,8 @@ def _(t):
     nets = stages.networks(t)
     persons = M.excluded_individuals(t.exclusions)
     by_npi = M.match_npi(persons, nets.members).withColumn("tier", F.lit(1))
-    return sets.union_on(M.MATCH_COLUMNS, by_npi, M.candidate_tiers(nets, M.match_name_state(nets.states, persons)))
+    found = M.candidate_tiers(nets, M.match_name_state(nets.states, M.distinct_persons(persons)))
+    return sets.union_on(M.MATCH_COLUMNS, by_npi, M.entries_of(persons, found))
 
 
 @query("m7_match_individuals_tiered", f"WITH {TABLES}, {TIERED} SELECT {MATCH_LIST}, tier FROM tiered")
@@ -294,9 +302,7 @@ RISK_LIST = ", ".join([*RISK_TEXT, *[f"{r(c)} {c}" for c in RISK_REAL]])
 
 @query("m10_network_risk", f"WITH {RISK} SELECT {RISK_LIST} FROM risk")
 def _(t):
-    layer = stages.layer3(t)
-    frequency = N.name_frequency(N.individuals(t.individuals))
-    return NET.network_risk(layer.networks, layer.individual, layer.organisation, layer.deactivated, layer.exposure, frequency)
+    return stages.layer3(t).scored
 
 
 @query("r20_network_flags", f"WITH {RISK} SELECT {RISK_LIST} FROM risk WHERE has_leie_ind_match = 1 OR has_leie_org_match = 1 OR has_deact_ind_match = 1 OR risk_rank <= 100")

@@ -54,7 +54,7 @@ def _(t):
 
 @query("m2_peer_zscore", f"WITH {CODES}, {STATS}, {SCORED} SELECT billing_npi, hcpcs_code, {r('code_paid')} code_paid, {r('ppc')} ppc, {r('avg_ppc')} avg_ppc, {r('peer_zscore')} peer_zscore FROM scored")
 def _(t):
-    z = peers.peer_zscore(C.provider_code(t.claims), min_count=GATE, ddof=0)
+    z = peers.peer_zscore(stages.codes(t), min_count=GATE, ddof=0)
     return z.select("billing_npi", "hcpcs_code", "code_paid", "ppc", "avg_ppc", "peer_zscore")
 
 

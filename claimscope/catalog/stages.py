@@ -36,6 +36,10 @@ def _stored(t: Tables, name: str, build):
     return _STORED[key]
 
 
+def codes(t: Tables) -> DataFrame:
+    return _stored(t, "codes", lambda: cut(C.provider_code(t.claims)))
+
+
 def features(t: Tables) -> DataFrame:
     return _stored(t, "features", lambda: cut(P.provider_features(t.claims, t.providers, t.deactivated, AS_OF, GATE)))
 

@@ -55,10 +55,13 @@ def distinct_ids(claims: DataFrame) -> DataFrame:
     return claims.agg(F.countDistinct("billing_npi").alias("national_providers"))
 
 
-def provider_code(claims: DataFrame) -> DataFrame:
-    """Sums per provider and procedure code; every volume figure of a provider can be summed up from these rows."""
+def provider_code(claims: DataFrame, attributes: Sequence[str] = ()) -> DataFrame:
+    """Sums per provider and procedure code; every volume figure of a provider can be summed up from these rows.
+
+    ``attributes`` are columns that depend on the code alone, such as its category.
+    """
     return (
-        claims.groupBy("billing_npi", "hcpcs_code").agg(
+        claims.groupBy("billing_npi", "hcpcs_code", *attributes).agg(
             F.sum("total_paid").alias("code_paid"),
             F.sum("total_claims").alias("code_claims"),
             F.sum("total_unique_beneficiaries").alias("code_beneficiaries"),
@@ -167,9 +170,11 @@ def registry_flags(df: DataFrame, deactivated: DataFrame, id_col: str = "npi") -
     }).drop("_in_list")
 
 
-def category_mix(claims: DataFrame, categories: Sequence[str] = (*CATEGORIES, OTHER_CATEGORY)) -> DataFrame:
+def category_mix(
+    claims: DataFrame, categories: Sequence[str] = (*CATEGORIES, OTHER_CATEGORY), amount: str = "total_paid",
+) -> DataFrame:
     """Paid amount per category and its share of the provider's payments; all categories are always present."""
-    paid = claims.groupBy("billing_npi").pivot("hh_category", list(categories)).agg(F.sum("total_paid"))
+    paid = claims.groupBy("billing_npi").pivot("hh_category", list(categories)).agg(F.sum(amount))
     paid = paid.na.fill(0.0, list(categories))
     total = sum((F.col(name) for name in categories[1:]), F.col(categories[0]))
     return paid.select(

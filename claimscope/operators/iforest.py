@@ -24,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EULER = 0.5772156649
 # Trees draw their samples from a pool of this many samples' worth of rows.
 POOL_SAMPLES = 40
+FIT_TASKS = 32
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -65,8 +66,9 @@ def fit_forest(z: DataFrame, id_col: str, features: Sequence[str], trees: int =
     """Nodes of all trees: (tree, node, feature, split, left, right, path)."""
     features = list(features)
     filled = z.select(F.col(id_col).cast("string").alias("_id"), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features])
-    pool = filled.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(psi * POOL_SAMPLES)
-    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # The pool is bounded; it is spread before it is copied per tree, and trees are spread for fitting.
+    pool = filled.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(psi * POOL_SAMPLES).repartition(FIT_TASKS, "_id")
+    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).repartition(FIT_TASKS, "tree")
     sample = first_per_key(draws, ["tree"], [F.xxhash64("_id", "tree", F.lit(seed)), F.col("_id")], psi)
     max_depth = math.ceil(math.log2(max(psi, 2)))
 

@@ -10,6 +10,7 @@ from claimscope.functions.constants import NO_NPI
 from claimscope.operators.networks import OFFICIAL, Networks
 from claimscope.operators.ranking import keep_first
 from claimscope.operators.scale import spread_join
+from claimscope.session import cut
 
 MATCH_COLUMNS = [
     *OFFICIAL, "leie_last", "leie_first", "leie_mid", "leie_city", "leie_state", "leie_npi", "excltype", "excldate", "tier",
@@ -58,27 +59,33 @@ def match_npi(individuals: DataFrame, members: DataFrame) -> DataFrame:
     return spread_join(valid_npi(individuals), keyed, "leie_npi", "inner", spread_by=["leie_last", *_VARYING])
 
 
-def match_name_state(states: DataFrame, individuals: DataFrame) -> DataFrame:
-    """Excluded persons with an official's name and one of the official's states.
+PERSON = ["leie_last", "leie_first", "leie_state", "leie_city", "leie_mid"]
 
-    The official side has one row per (name, state), so every listed entry matches at most once.
+
+def distinct_persons(individuals: DataFrame) -> DataFrame:
+    """The list's persons without repetition. Tiers are decided on these: many entries of one name become few rows."""
+    return individuals.select(*PERSON).distinct()
+
+
+def match_name_state(states: DataFrame, persons: DataFrame) -> DataFrame:
+    """Distinct persons with an official's name and one of the official's states.
+
+    The official side has one row per (name, state), so every person matches at most once.
     """
-    keys = ["leie_last", "leie_first", "leie_state"]
     official = states.select(
         F.col("ao_last").alias("leie_last"), F.col("ao_first").alias("leie_first"), F.col("state").alias("leie_state"),
     )
-    matched = spread_join(individuals, official, keys, "inner", spread_by=_VARYING)
+    matched = persons.join(official, ["leie_last", "leie_first", "leie_state"])
     return matched.withColumns({"ao_last": F.col("leie_last"), "ao_first": F.col("leie_first")})
 
 
 def candidate_tiers(networks: Networks, matches: DataFrame) -> DataFrame:
-    """Tier of each name and state match by itself: 2 with a city, 3 with a middle name of the official, else 4."""
+    """Tier of each matched person by itself: 2 with a city, 3 with the middle name of the official, else 4."""
     cities = networks.cities.where(F.col("city") != "").select(
         *OFFICIAL, F.col("city").alias("leie_city"), F.lit(True).alias("_city")
     )
     middles = networks.officials.select(*OFFICIAL, "ao_middle")
-    located = spread_join(matches, cities, [*OFFICIAL, "leie_city"], "left", spread_by=_VARYING)
-    joined = spread_join(located, middles, OFFICIAL, "left", spread_by=_VARYING)
+    joined = matches.join(cities, [*OFFICIAL, "leie_city"], "left").join(middles, OFFICIAL, "left")
     same_middle = middle_match("leie_mid", "ao_middle")
     return joined.withColumn(
         "tier", F.when(F.col("_city"), F.lit(2)).when(same_middle, F.lit(3)).otherwise(F.lit(4))
@@ -92,14 +99,22 @@ def best_tier(matches: DataFrame) -> DataFrame:
 def place_tiers(matches: DataFrame) -> DataFrame:
     """Keep, for every official, the matches of the official's best tier: tiers are exclusive by official."""
     best = best_tier(matches).withColumnRenamed("leie_best_tier", "tier")
-    return spread_join(matches, best, [*OFFICIAL, "tier"], "left_semi", spread_by=_VARYING)
+    return matches.join(best, [*OFFICIAL, "tier"], "left_semi")
+
+
+def entries_of(individuals: DataFrame, persons: DataFrame) -> DataFrame:
+    """All entries of the list for matched persons. A person with very many entries is spread over tasks."""
+    return spread_join(individuals, persons, PERSON, "inner", spread_by=_VARYING)
 
 
 def match_individuals_tiered(networks: Networks, individuals: DataFrame) -> DataFrame:
     """Excluded persons matched to officials: by id (1), or name and state with city (2), middle name (3), neither (4)."""
     by_npi = match_npi(individuals, networks.members).withColumn("tier", F.lit(1))
-    by_name = candidate_tiers(networks, match_name_state(networks.states, individuals))
-    return place_tiers(by_npi.select(*MATCH_COLUMNS).unionByName(by_name.select(*MATCH_COLUMNS)))
+    by_name = candidate_tiers(networks, match_name_state(networks.states, distinct_persons(individuals)))
+    keys = [*OFFICIAL, "tier", *PERSON]
+    candidates = cut(by_npi.select(*keys).distinct().unionByName(by_name.select(*keys)))
+    kept = place_tiers(candidates).where(F.col("tier") > 1)
+    return by_npi.select(*MATCH_COLUMNS).unionByName(entries_of(individuals, kept).select(*MATCH_COLUMNS))
 
 
 def match_org_name(orgs: DataFrame, excluded: DataFrame, on: str = "org_name") -> DataFrame:

@@ -88,19 +88,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 def top_features(z: DataFrame, id_col: str, features: Sequence[str], n: int) -> DataFrame:
     """The n features of greatest |z| of every row: (id, place, feature, abs_z). Works within the row, no shuffle."""
-    entries = F.array(*[
-        F.struct(
-            (-F.round(F.abs(F.coalesce(F.col(name), F.lit(0.0))), RANK_DIGITS)).alias("order"),
-            F.lit(name).alias("feature"),
-        )
-        for name in features
-    ])
+    entries = ", ".join(
+        f"STRUCT(-ROUND(ABS(COALESCE(`{name}`, 0D)), {RANK_DIGITS}) AS order, '{name}' AS feature)" for name in features
+    )
     return (
-        z.select(id_col, F.posexplode(F.slice(F.array_sort(entries), 1, n)).alias("place", "entry"))
-        .select(
-            id_col, (F.col("place") + 1).alias("place"),
-            F.col("entry.feature").alias("feature"), F.abs(F.col("entry.order")).alias("abs_z"),
-        )
+        z.selectExpr(id_col, f"POSEXPLODE(SLICE(ARRAY_SORT(ARRAY({entries})), 1, {n})) AS (place, entry)")
+        .selectExpr(id_col, "place + 1 AS place", "entry.feature AS feature", "ABS(entry.order) AS abs_z")
     )
 
 

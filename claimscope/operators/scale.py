@@ -23,6 +23,8 @@ HOT_KEYS = 64
 HOT_ROWS = 100_000
 SALTS = 64
 CHUNK = 1000
+# Up to this many distinct values, counted beforehand, one task orders them.
+ONE_TASK_VALUES = 100_000
 
 
 def key_list(on: str | Sequence[str]) -> list[str]:
@@ -49,6 +51,7 @@ def spread_join(
 
     Only rows of ``small`` with a hot key are replicated, once per salt. ``spread_by`` are columns of ``big`` that
     vary within a key (default: all). ``counts`` may give the rows per key as (keys, n) where they are known already.
+    Hot keys are found by the query itself, in a subquery that returns at most ``HOT_KEYS`` key hashes.
     """
     keys = key_list(on)
     types = dict(big.dtypes)
@@ -56,17 +59,15 @@ def spread_join(
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     key = F.xxhash64(*[F.col(name).cast(types[name]) for name in keys])
-    hot = [
-        row["key"] for row in
-        counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).select(key.alias("key")).collect()
-    ]
-    if not hot:
-        return big.join(small, keys, how)
-    spread = [F.col(name) for name in (spread_by or big.columns)]
-    salt = F.pmod(F.xxhash64(F.lit("salt"), *spread), F.lit(SALTS)).cast("int")
-    left = big.withColumn("_salt", F.when(key.isin(hot), salt).otherwise(F.lit(0)))
-    every_salt = F.array(*[F.lit(i) for i in range(SALTS)])
-    right = small.withColumn("_salt", F.explode(F.when(key.isin(hot), every_salt).otherwise(F.array(F.lit(0)))))
+    hot = (
+        counts.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS)
+        .agg(F.collect_list(key).alias("hot")).scalar()
+    )
+    is_hot = F.array_contains(hot, key)
+    salt = F.pmod(F.xxhash64(F.lit("salt"), *(spread_by or big.columns)), F.lit(SALTS)).cast("int")
+    left = big.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
+    every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    right = small.withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(F.lit(0)))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -89,10 +90,18 @@ def ordered_counts(df: DataFrame, value: str, group: str | None = None, buckets:
         F.col(group).alias("_group") if group else F.lit("").alias("_group"), F.col(value).alias("_value")
     )
     counts = cut(rows.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("ties")))
+    names = [F.col("_group").alias(group)] if group else []
+    columns = [*names, F.col("_value").alias(value), "ties", "before", "n"]
     # The driver gets at most `buckets` numbers per group here and below.
-    cuts = counts.groupBy("_group").agg(F.percentile_approx(
+    cuts = counts.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
         F.col("_value").cast("double"), [i / buckets for i in range(1, buckets)], F.lit(100 * buckets)
     ).alias("cuts")).collect()
+    if max((row["n"] for row in cuts), default=0) <= ONE_TASK_VALUES:
+        upwards = Window.partitionBy("_group").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumns({
+            "before": F.sum("ties").over(upwards) - F.col("ties"),
+            "n": F.sum("ties").over(Window.partitionBy("_group")),
+        }).select(*columns)
     group_type = dict(counts.dtypes)["_group"]
     cut_points = spark.createDataFrame(
         [(row["_group"], [float(point) for point in row["cuts"]]) for row in cuts],
@@ -117,12 +126,11 @@ def ordered_counts(df: DataFrame, value: str, group: str | None = None, buckets:
         Window.partitionBy("_group", "bucket").orderBy("_value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    result = (
+    return (
         placed.join(F.broadcast(offsets), ["_group", "bucket"])
         .withColumn("before", F.col("offset") + F.sum("ties").over(inside) - F.col("ties"))
+        .select(*columns)
     )
-    names = [F.col("_group").alias(group)] if group else []
-    return result.select(*names, F.col("_value").alias(value), "ties", "before", "n")
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], group: str | None = None) -> DataFrame:

@@ -24,31 +24,27 @@ def preprocess(
     fills = FILL_FEATURES if fills is None else fills
     prepared = []
     for name in features:
-        value = F.col(name).cast("double")
+        value = f"CAST(`{name}` AS DOUBLE)"
         if name in fills:
-            value = F.coalesce(value, F.lit(float(fills[name])))
+            value = f"COALESCE({value}, {float(fills[name])}D)"
         if name in logs:
-            value = F.log1p(value)
-        prepared.append(value.alias(name))
-    matrix = df.select(id_col, *prepared)
-    moments = matrix.agg(F.struct(
-        *[F.avg(name).alias(f"mean_{name}") for name in features],
-        *[F.stddev_pop(name).alias(f"std_{name}") for name in features],
-    ).alias("moments"))
+            value = f"LOG1P({value})"
+        prepared.append(f"{value} AS `{name}`")
+    matrix = df.selectExpr(id_col, *prepared)
+    moments = matrix.selectExpr("STRUCT(" + ", ".join(
+        f"AVG(`{name}`) AS `mean_{name}`, STDDEV_POP(`{name}`) AS `std_{name}`" for name in features
+    ) + ") AS moments")
     scaled = matrix.withColumn("_moments", moments.scalar())
 
-    def z(name: str):
-        mean, std = F.col(f"_moments.mean_{name}"), F.col(f"_moments.std_{name}")
-        varies = std > CONSTANT * F.greatest(F.abs(mean), F.lit(1.0))
-        value = F.when(varies, (F.col(name) - mean) / std).otherwise(F.lit(0.0))
-        return F.when(F.col(name).isNotNull(), value).alias(name)
+    def z(name: str) -> str:
+        mean, std = f"_moments.`mean_{name}`", f"_moments.`std_{name}`"
+        varies = f"{std} > {CONSTANT}D * GREATEST(ABS({mean}), 1D)"
+        return f"CASE WHEN `{name}` IS NULL THEN NULL WHEN {varies} THEN (`{name}` - {mean}) / {std} ELSE 0D END AS `{name}`"
 
-    return scaled.select(id_col, *[z(name) for name in features])
+    return scaled.selectExpr(id_col, *[z(name) for name in features])
 
 
 def extreme_count(z: DataFrame, features: Sequence[str], threshold: float, out: str) -> DataFrame:
     """How many features of a row lie more than ``threshold`` deviations from the mean."""
-    total = F.lit(0)
-    for name in features:
-        total = total + F.coalesce((F.abs(F.col(name)) > threshold).cast("int"), F.lit(0))
-    return z.withColumn(out, total)
+    total = " + ".join(f"CAST(COALESCE(ABS(`{name}`) > {float(threshold)}D, FALSE) AS INT)" for name in features)
+    return z.withColumn(out, F.expr(total))

@@ -38,28 +38,27 @@ def extract_cohort_claims(claims: DataFrame, providers: DataFrame, prefixes: Seq
 
 
 def cohort_prices(claims: DataFrame, min_peers: int = 3) -> DataFrame:
-    """Price, peer statistics and z-score per provider and code."""
-    codes = C.provider_code(claims).select("billing_npi", "hcpcs_code", "code_paid", "code_claims")
-    return peers.peer_zscore(cut(codes), min_count=min_peers, ddof=1)
+    """Sums, price, peer statistics and z-score per provider and code. The sums are written once."""
+    return peers.peer_zscore(cut(C.provider_code(claims, ["hh_category"])), min_count=min_peers, ddof=1)
 
 
-def cohort_features(claims: DataFrame, min_peers: int = 3, prices: DataFrame | None = None) -> DataFrame:
-    """One row per cohort provider. ``claims`` are categorized cohort claims, best a stored table; ``prices`` may
-    pass the result of ``cohort_prices``."""
-    prices = cohort_prices(claims, min_peers) if prices is None else prices
-    codes = C.provider_code(claims)
+def cohort_features(claims: DataFrame, min_peers: int = 3) -> DataFrame:
+    """One row per cohort provider. ``claims`` are categorized cohort claims, best a stored table."""
+    codes = cut(C.provider_code(claims, ["hh_category"]))
     months = C.monthly_stats(C.provider_month(claims), ddof=1).select("billing_npi", "num_active_months", "monthly_paid_cv")
     attributes = C.constant_attrs(
         claims.select("billing_npi", "primary_taxonomy", "provider_state", "is_deactivated").distinct(),
         "billing_npi", ["primary_taxonomy", "provider_state", "is_deactivated"],
     )
-    mix = C.add_ratio(C.category_mix(claims), "paid_skilled_nursing", "paid_aide", "nursing_to_aide_ratio")
+    mix = C.category_mix(codes, amount="code_paid")
+    mix = C.add_ratio(mix, "paid_skilled_nursing", "paid_aide", "nursing_to_aide_ratio")
+    prices = peers.peer_zscore(codes, min_count=min_peers, ddof=1)
     rollup = peers.peer_rollup(prices, positive_only=True).select(
         "billing_npi", F.col("max_peer_zscore").alias("hh_max_peer_zscore"), F.col("mean_peer_zscore").alias("hh_mean_peer_zscore"),
     )
     features = C.assemble(
         C.provider_totals(codes), attributes, mix.select("billing_npi", *MIX_COLUMNS, "nursing_to_aide_ratio"),
-        C.cohort_codes(claims), months, rollup,
+        C.cohort_codes(codes), months, rollup,
     )
     return features.withColumn("num_hh_codes", F.coalesce("num_hh_codes", F.lit(0)))
 

@@ -14,6 +14,8 @@ def build_session(app: str = "claimscope", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Expressions of wide tables are built faster without a stack trace per column.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -44,6 +46,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder, so that later steps read it instead of computing it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder, so that later steps read it instead of computing it again.
+
+    The table outlives executors; it is columnar, so a later step reads the columns it needs.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
