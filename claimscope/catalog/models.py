@@ -40,7 +40,7 @@ def z_sql(source: str, features: list[str], value) -> str:
 
 
 Z = z_sql("features", MODEL_FEATURES, prepared)
-BASELINE = f"""{FEATURES}, {Z}, counted AS (SELECT billing_npi, {' + '.join(f'(ABS({c}) > 3)::INT' for c in MODEL_FEATURES)} zscore_count FROM z),
+BASELINE = f"""{FEATURES}, {Z}, counted AS (SELECT billing_npi, {' + '.join(f'(ROUND(ABS({c}), 9) > 3)::INT' for c in MODEL_FEATURES)} zscore_count FROM z),
 ranked AS (SELECT f.*, c.zscore_count, RANK() OVER (ORDER BY c.zscore_count DESC) zscore_rank,
  CAST(FLOOR(RANK() OVER (ORDER BY ROUND(total_paid, 9) DESC) + (COUNT(*) OVER (PARTITION BY ROUND(total_paid, 9)) - 1) / 2.0) AS BIGINT) paid_rank,
  CAST(FLOOR(RANK() OVER (ORDER BY ROUND(max_peer_zscore, 9) DESC) + (COUNT(*) OVER (PARTITION BY ROUND(max_peer_zscore, 9)) - 1) / 2.0) AS BIGINT) peer_rank
@@ -259,7 +259,7 @@ def cohort_sql(source: str, tag: str) -> str:
  FROM {source} h JOIN {tag}cv USING (billing_npi) JOIN {tag}peer USING (billing_npi) GROUP BY h.billing_npi),
 """ + z_sql(f"{tag}features", COHORT_SCORED, lambda c: f"COALESCE(CAST({c} AS DOUBLE), 0)").replace("matrix", f"{tag}matrix").replace(
         "moments", f"{tag}moments").replace("z AS (", f"{tag}z AS (") + f""",
-{tag}risk AS (SELECT billing_npi, {' + '.join(f'(ABS({c}) > 2)::INT' for c in COHORT_SCORED)} hh_extreme_count,
+{tag}risk AS (SELECT billing_npi, {' + '.join(f'(ROUND(ABS({c}), 9) > 2)::INT' for c in COHORT_SCORED)} hh_extreme_count,
  ROUND({' + '.join(f'{w} * {c}' for c, w in COHORT_WEIGHTS.items())}, 9) hh_risk_score FROM {tag}z),
 {tag}cohort AS (SELECT f.*, k.hh_extreme_count, k.hh_risk_score, CAST(FLOOR(RANK() OVER (ORDER BY hh_risk_score DESC)
  + (COUNT(*) OVER (PARTITION BY hh_risk_score) - 1) / 2.0) AS BIGINT) hh_risk_rank,

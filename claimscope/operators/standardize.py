@@ -45,6 +45,9 @@ def preprocess(
 
 
 def extreme_count(z: DataFrame, features: Sequence[str], threshold: float, out: str) -> DataFrame:
-    """How many features of a row lie more than ``threshold`` deviations from the mean."""
-    total = " + ".join(f"CAST(COALESCE(ABS(`{name}`) > {float(threshold)}D, FALSE) AS INT)" for name in features)
+    """How many features of a row lie more than ``threshold`` deviations from the mean.
+
+    Compared to nine decimals: a value exactly at the threshold must not depend on the order of a distributed sum.
+    """
+    total = " + ".join(f"CAST(COALESCE(ROUND(ABS(`{name}`), 9) > {float(threshold)}D, FALSE) AS INT)" for name in features)
     return z.withColumn(out, F.expr(total))
