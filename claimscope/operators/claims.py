@@ -12,7 +12,7 @@ from claimscope.functions.constants import CATEGORIES, COHORT_PREFIXES, OTHER_CA
 from claimscope.operators.scale import lookup_join
 
 # Columns that vary among the rows of one provider, used to spread a provider with very many rows.
-_VARYING = ["hcpcs_code", "claim_from_month", "servicing_npi", "total_paid"]
+_VARYING = ["total_paid", "hcpcs_code", "claim_from_month"]
 
 
 def _varying(claims: DataFrame) -> list[str]:

@@ -66,8 +66,14 @@ def fit_forest(z: DataFrame, id_col: str, features: Sequence[str], trees: int =
     """Nodes of all trees: (tree, node, feature, split, left, right, path)."""
     features = list(features)
     filled = z.select(F.col(id_col).cast("string").alias("_id"), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features])
+    size = psi * POOL_SAMPLES
+    rows = z.count()
+    if rows > 4 * size:
+        # Thin out by the hash first, to about twice the pool, so that no task gets a full pool from every partition.
+        share = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit("pool")), F.lit(1_000_000_007)) / 1_000_000_007
+        filled = filled.where(share < 2 * size / rows)
     # The pool is bounded; it is spread before it is copied per tree, and trees are spread for fitting.
-    pool = filled.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(psi * POOL_SAMPLES).repartition(FIT_TASKS, "_id")
+    pool = filled.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(size).repartition(FIT_TASKS, "_id")
     draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).repartition(FIT_TASKS, "tree")
     sample = first_per_key(draws, ["tree"], [F.xxhash64("_id", "tree", F.lit(seed)), F.col("_id")], psi)
     max_depth = math.ceil(math.log2(max(psi, 2)))

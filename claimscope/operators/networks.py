@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.columns import address_key, clean, count_of, flag, in_cohort, is_blank, ratio
-from claimscope.operators.scale import chunked_lists
+from claimscope.operators.scale import chunked_lists, spread_join
 
 OFFICIAL = ["ao_last", "ao_first"]
 
@@ -61,8 +61,12 @@ def named(orgs: DataFrame) -> DataFrame:
 
 
 def network_counts(orgs: DataFrame) -> DataFrame:
-    """Per official: distinct organisations, states and phones, and sums of the flags of ``org_flags``."""
-    return named(orgs).groupBy(*OFFICIAL).agg(
+    """Per official: distinct organisations, states and phones, sums of the flags of ``org_flags``, and a middle name.
+
+    The middle name, of the smallest id, has its own aggregation: text in the buffers would make the counts sort-based.
+    """
+    middles = named(orgs).groupBy(*OFFICIAL).agg(F.min_by("ao_middle", "npi").alias("ao_middle"))
+    counts = named(orgs).groupBy(*OFFICIAL).agg(
         F.countDistinct("npi").alias("npi_count"),
         F.countDistinct("state").alias("num_states"),
         F.sum("is_deactivated").alias("num_deactivated"),
@@ -70,8 +74,8 @@ def network_counts(orgs: DataFrame) -> DataFrame:
         F.sum("is_hh").alias("num_hh"),
         F.sum("is_subpart_flag").alias("num_subparts"),
         F.countDistinct("ao_phone").alias("phone_count"),
-        F.min_by("ao_middle", "npi").alias("ao_middle"),
     )
+    return counts.join(middles, OFFICIAL)
 
 
 def address_clusters(orgs: DataFrame) -> DataFrame:
@@ -143,13 +147,17 @@ def all_officials(orgs: DataFrame) -> DataFrame:
 
 
 def build_networks(orgs: DataFrame, everyone: DataFrame | None = None) -> Networks:
-    """``orgs`` has the flags of ``org_flags``; ``everyone`` may pass a stored result of ``all_officials``."""
+    """``orgs`` has the flags of ``org_flags``; ``everyone`` may pass a stored result of ``all_officials``.
+
+    An official with very many organisations is spread over tasks; the number of states and cities is bounded by itself.
+    """
     everyone = all_officials(orgs) if everyone is None else everyone
     officials = multi_member(everyone)
     keep = officials.select(*OFFICIAL)
+    sizes = officials.select(*OFFICIAL, F.col("npi_count").alias("n"))
     return Networks(
         everyone, officials,
-        network_members(orgs).join(keep, OFFICIAL, "left_semi"),
+        spread_join(network_members(orgs), keep, OFFICIAL, "left_semi", spread_by=["npi"], counts=sizes),
         network_states(orgs).join(keep, OFFICIAL, "left_semi"),
         network_cities(orgs).join(keep, OFFICIAL, "left_semi"),
     )

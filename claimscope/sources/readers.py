@@ -107,5 +107,13 @@ def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int) -> tuple[int, DataFrame]:
-    """The number of rows, and exactly n of them drawn at random without replacement."""
-    return df.count(), df.orderBy(F.rand(seed)).limit(n)
+    """The number of rows, and exactly n of them (all, if fewer) drawn at random without replacement.
+
+    Rows get a random number and the n smallest are taken. In a large table only rows below a cut-off that keeps about
+    2n + 100 of them are sorted, so that no task gets n rows from every partition.
+    """
+    total = df.count()
+    numbered = df.withColumn("_draw", F.rand(seed))
+    if total > 4 * n + 400:
+        numbered = numbered.where(F.col("_draw") < (2 * n + 100) / total)
+    return total, numbered.orderBy("_draw").limit(n).drop("_draw")

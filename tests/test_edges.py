@@ -246,6 +246,18 @@ def test_forest_properties(spark):
     assert scores[1]["twin1"] == scores[1]["twin2"]
 
 
+def test_forest_from_a_thinned_pool(spark, monkeypatch):
+    from claimscope.operators import iforest
+
+    monkeypatch.setattr(iforest, "POOL_SAMPLES", 2)
+    rows = {}
+    for parts in (1, 8):
+        scores = iforest.isolation_forest(forest_input(spark, parts), "id", ["a", "b", "c"], trees=30, psi=32).collect()
+        rows[parts] = {r["id"]: r["if_anomaly_score"] for r in scores}
+    assert rows[1] == rows[8] and len(rows[1]) == 604
+    assert {"out1", "out2"} <= set(sorted(rows[1], key=rows[1].get)[-6:])
+
+
 def test_average_path():
     assert average_path(1) == 0.0 and average_path(2) == 1.0
     assert math.isclose(float(average_path(256)), 2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
@@ -272,6 +284,8 @@ def test_readers(spark, tmp_path):
 
 
 def test_uniform_sample(spark):
-    total, sample = readers.uniform_sample(spark.range(500), 20, 42)
-    assert total == 500 and sample.distinct().count() == 20
-    assert sorted(r["id"] for r in sample.collect()) == sorted(r["id"] for r in readers.uniform_sample(spark.range(500), 20, 42)[1].collect())
+    for rows in (10, 100, 5000):
+        total, sample = readers.uniform_sample(spark.range(rows), 20, 42)
+        assert total == rows and sample.distinct().count() == min(20, rows)
+    again = readers.uniform_sample(spark.range(5000), 20, 42)[1]
+    assert sorted(r["id"] for r in sample.collect()) == sorted(r["id"] for r in again.collect())
