@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from claimscope.session import cut
 
 
 def build_networks(orgs: DataFrame) -> Networks:
-    """Networks of flagged organisations. The officials' counts are written once; all later steps read them."""
-    return N.build_networks(orgs, cut(N.all_officials(orgs)))
+    """Networks of flagged organisations. Counts, members and states are written once; the matching steps read them."""
+    networks = N.build_networks(orgs, cut(N.all_officials(orgs)))
+    return replace(networks, members=cut(networks.members), states=cut(networks.states))
 
 
 def match_exclusions(networks: Networks, orgs: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFrame]:
