@@ -62,12 +62,13 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> pd.
     return pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path"])
 
 
-def fit_forest(z: DataFrame, id_col: str, features: Sequence[str], trees: int = 200, psi: int = 256, seed: int = 42) -> DataFrame:
-    """Nodes of all trees: (tree, node, feature, split, left, right, path)."""
+def fit_forest(
+    z: DataFrame, id_col: str, features: Sequence[str], rows: int, trees: int = 200, psi: int = 256, seed: int = 42,
+) -> DataFrame:
+    """Nodes of all trees: (tree, node, feature, split, left, right, path). ``rows`` is the number of rows of ``z``."""
     features = list(features)
     filled = z.select(F.col(id_col).cast("string").alias("_id"), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features])
     size = psi * POOL_SAMPLES
-    rows = z.count()
     if rows > 4 * size:
         # Thin out by the hash first, to about twice the pool, so that no task gets a full pool from every partition.
         share = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit("pool")), F.lit(1_000_000_007)) / 1_000_000_007
@@ -89,7 +90,9 @@ def fit_forest(z: DataFrame, id_col: str, features: Sequence[str], trees: int =
     return sample.groupBy("tree").applyInPandas(grow, schema)
 
 
-def score_forest(z: DataFrame, id_col: str, features: Sequence[str], forest: DataFrame, psi: int = 256) -> DataFrame:
+def score_forest(
+    z: DataFrame, id_col: str, features: Sequence[str], rows: int, forest: DataFrame, psi: int = 256,
+) -> DataFrame:
     """(id, if_anomaly_score): 2^(-mean path / c(sample size)) - 0.5; higher is more anomalous.
 
     The forest has at most trees x (2 psi - 1) nodes, whatever the size of the data; it is broadcast.
@@ -102,21 +105,20 @@ def score_forest(z: DataFrame, id_col: str, features: Sequence[str], forest: Dat
     ]
     depth = math.ceil(math.log2(max(psi, 2)))
     shared = z.sparkSession.sparkContext.broadcast(trees)
-    sample_size = min(psi, z.limit(psi).count())
-    scale = float(average_path(sample_size)) or 1.0
+    scale = float(average_path(min(psi, rows))) or 1.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch[features].to_numpy("float64")
-            total = np.zeros(len(rows))
-            every = np.arange(len(rows))
+            values = batch[features].to_numpy("float64")
+            total = np.zeros(len(values))
+            every = np.arange(len(values))
             for feature, split, left, right, path in shared.value:
-                at = np.zeros(len(rows), dtype="int64")
+                at = np.zeros(len(values), dtype="int64")
                 for _ in range(depth):
                     inner = feature[at] >= 0
                     if not inner.any():
                         break
-                    below = rows[every, np.maximum(feature[at], 0)] <= split[at]
+                    below = values[every, np.maximum(feature[at], 0)] <= split[at]
                     at = np.where(inner, np.where(below, left[at], right[at]), at)
                 total += path[at]
             mean = total / max(len(shared.value), 1)
@@ -130,4 +132,5 @@ def score_forest(z: DataFrame, id_col: str, features: Sequence[str], forest: Dat
 def isolation_forest(
     z: DataFrame, id_col: str, features: Sequence[str], trees: int = 200, psi: int = 256, seed: int = 42,
 ) -> DataFrame:
-    return score_forest(z, id_col, features, fit_forest(z, id_col, features, trees, psi, seed), psi)
+    rows = z.count()
+    return score_forest(z, id_col, features, rows, fit_forest(z, id_col, features, rows, trees, psi, seed), psi)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.columns import address_key, clean, count_of, flag, in_cohort, is_blank, ratio
 from claimscope.operators.scale import chunked_lists, spread_join
+from claimscope.operators.sets import with_scalars
 
 OFFICIAL = ["ao_last", "ao_first"]
 
@@ -209,8 +210,9 @@ def tier_counts(matches: DataFrame) -> DataFrame:
 
 def exclusion_counts(individual: DataFrame, organisation: DataFrame) -> DataFrame:
     """Unique officials with an individual match and with an organisation match."""
-    return individual.select(*OFFICIAL).distinct().agg(F.count(F.lit(1)).alias("individual_officials")).crossJoin(
-        organisation.select(*OFFICIAL).distinct().agg(F.count(F.lit(1)).alias("organisation_officials"))
+    return with_scalars(
+        individual.select(*OFFICIAL).distinct().agg(F.count(F.lit(1)).alias("individual_officials")),
+        organisation.select(*OFFICIAL).distinct().agg(F.count(F.lit(1)).alias("organisation_officials")),
     )
 
 

@@ -49,6 +49,13 @@ def attach(detail: DataFrame, attrs: DataFrame, on: str | Sequence[str], cols: S
     return detail.join(attrs.select(*keys, *cols), keys, "left")
 
 
+def with_scalars(row: DataFrame, *others: DataFrame) -> DataFrame:
+    """Columns of other one-row results, added as scalar subqueries."""
+    return row.withColumns({
+        name: other.select(name).scalar() for other in others for name in other.columns
+    })
+
+
 def attach_few(few: DataFrame, attrs: DataFrame, on: str | Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Attach columns to the rows of a top-k report: the large side is filtered in place, not shuffled."""
     keys = [on] if isinstance(on, str) else list(on)

@@ -82,9 +82,9 @@ def cohort_overview(features: DataFrame) -> DataFrame:
 def cohort_counts(claims: DataFrame, features: DataFrame) -> DataFrame:
     """One row: providers, states and distinct codes."""
     codes = claims.agg(F.countDistinct("hcpcs_code").alias("num_codes"))
-    return features.agg(
+    return sets.with_scalars(features.agg(
         F.count(F.lit(1)).alias("num_providers"), F.countDistinct("provider_state").alias("num_states")
-    ).crossJoin(codes)
+    ), codes)
 
 
 def cohort_states(features: DataFrame, n: int = 10) -> DataFrame:
@@ -191,8 +191,7 @@ def cohort_summary(features: DataFrame, k: int = 30) -> DataFrame:
         F.max(F.when(F.col("column") == name, F.col("p50"))).alias(f"median_{name}")
         for name in ("paid_per_claim", "hh_max_peer_zscore")
     ])
-    # Three single-row aggregates side by side.
-    return base.crossJoin(top).crossJoin(medians).withColumn("top_pct", 100 * ratio("top_paid", "total_paid"))
+    return sets.with_scalars(base, top, medians).withColumn("top_pct", 100 * ratio("top_paid", "total_paid"))
 
 
 def state_concentration(features: DataFrame, k: int = 100) -> DataFrame:
@@ -238,9 +237,9 @@ def rank_stability(local: DataFrame, national: DataFrame, k: int = 30, wide_k: i
     for frame in top.values():
         marked = marked.join(F.broadcast(frame), "billing_npi", "left")
     marked = marked.withColumns({f"in_top_{n}": F.coalesce(f"in_top_{n}", F.lit(0)) for n in top})
-    counts = marked.agg(
+    counts = sets.with_scalars(marked.agg(
         F.count(F.lit(1)).alias("matched"), *[F.sum(f"in_top_{n}").alias(f"in_top_{n}") for n in top]
-    ).crossJoin(local.agg(F.count(F.lit(1)).alias("local_providers")))
+    ), local.agg(F.count(F.lit(1)).alias("local_providers")))
     best_local = ranking.top_k(local, "hh_risk_rank", k, "billing_npi").select(
         "billing_npi", F.col("hh_risk_rank").alias("local_rank"), F.col("total_paid").alias("_local_paid")
     )

@@ -67,10 +67,9 @@ def amount_tiers(df: DataFrame, col: str = "total_spending", edges: Sequence = t
 
 def overview(everyone: DataFrame, scored: DataFrame, orgs: DataFrame) -> DataFrame:
     """One row: organisations, officials, multi-member officials and their spending."""
-    return (
-        orgs.agg(F.count(F.lit(1)).alias("num_orgs"))
-        .crossJoin(everyone.agg(F.count(F.lit(1)).alias("num_officials")))
-        .crossJoin(scored.agg(F.count(F.lit(1)).alias("num_multi"), F.sum("total_spending").alias("total_spending")))
+    return sets.with_scalars(
+        scored.agg(F.count(F.lit(1)).alias("num_multi"), F.sum("total_spending").alias("total_spending")),
+        orgs.agg(F.count(F.lit(1)).alias("num_orgs")), everyone.agg(F.count(F.lit(1)).alias("num_officials")),
     )
 
 

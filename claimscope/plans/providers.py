@@ -81,7 +81,7 @@ def score_providers(features: DataFrame, trees: int = 200, psi: int = 256, seed:
 
     ``features`` should be a stored table: it is read several times.
     """
-    z = preprocess(features)
+    z = cut(preprocess(features))
     counted = extreme_count(z, MODEL_FEATURES, threshold, "zscore_count").select("billing_npi", "zscore_count")
     forest = isolation_forest(z, "billing_npi", MODEL_FEATURES, trees, psi, seed)
     paid = features.select("billing_npi", "total_paid")
@@ -194,8 +194,7 @@ def coverage(claims: DataFrame, features: DataFrame, rank: str | None = None, k:
     """One row: national providers, providers covered, both rates, and what the top k were paid."""
     national = C.distinct_ids(claims)
     covered = features.agg(F.count(F.lit(1)).alias("covered"), F.sum("total_paid").alias("total_paid"))
-    # One row each: the cross join of single-row aggregates is one row.
-    row = national.crossJoin(covered)
+    row = sets.with_scalars(covered, national)
     row = row.withColumns({
         "dropped": F.col("national_providers") - F.col("covered"),
         "coverage_pct": 100 * ratio("covered", "national_providers"),
@@ -205,7 +204,7 @@ def coverage(claims: DataFrame, features: DataFrame, rank: str | None = None, k:
     top = ranking.top_k(features, rank, k, "billing_npi").agg(
         F.count(F.lit(1)).alias("top_providers"), F.sum("total_paid").alias("top_paid")
     )
-    return row.crossJoin(top).withColumn("top_pct", 100 * ratio("top_paid", "total_paid"))
+    return sets.with_scalars(row, top).withColumn("top_pct", 100 * ratio("top_paid", "total_paid"))
 
 
 def agreement_ids(scores: DataFrame, ranks: Sequence[str], k: int) -> DataFrame:
