@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,11 @@ def build_session(app: str = "claimscope", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one of this machine."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets a temporary folder of its machine. On a cluster that is an error: executors would
+    write to their own disks, and readers would miss those files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -36,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="claimscope-"))
     return context.getCheckpointDir()
 
