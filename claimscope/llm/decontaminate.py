@@ -81,8 +81,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - WINDOW))
     usable = F.filter(places, lambda p: F.size(F.filter(F.slice(words, p + 1, F.lit(WINDOW)), lambda word: ~_is_slot(word))) >= enough)
     return written(known.where(F.size(words) > 0)).withColumn("places", usable).select(
-        "*", F.size("places").cast("long").alias("n_windows"), F.explode("places").alias("item_at")
-    ).withColumn("hash", F.xxhash64(F.slice(words, F.col("item_at") + 1, F.lit(WINDOW)))).drop("places")
+        "*", F.size("places").cast("long").alias("n_windows"), F.explode_outer("places").alias("item_at")
+    ).withColumn("hash", F.xxhash64(F.slice(words, F.col("item_at") + 1, F.lit(WINDOW)))).drop("places").where("item_at IS NOT NULL")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -98,7 +98,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     pruned = windows.select("item_id", F.xxhash64("item_values").alias("item_hash"), "item_at", "hash", F.col("n_windows").alias("item_windows"))
     worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("words"))
     hashed = worded.select("doc_id", "text_hash", _windows(F.col("words")).alias("hashes"))
-    placed = hashed.select("doc_id", "text_hash", F.posexplode("hashes").alias("at", "hash"))
+    # The outer form: for the inner one, Spark filters by the array's size first, and works out the words anew in each element.
+    placed = hashed.select("doc_id", "text_hash", F.posexplode_outer("hashes").alias("at", "hash"))
     hits = placed.join(F.broadcast(pruned) if small else pruned, "hash")
     lines = written(
         hits.groupBy("doc_id", "text_hash", "item_id", "item_hash", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"))
