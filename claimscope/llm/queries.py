@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import simhash
+from claimscope.llm import decontaminate, interpolation, simhash, toxicity
 from claimscope.llm.common import table
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3, lanes=1)
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
+
+
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op3_lm_scores": op3_lm_scores,
+    "op4_simhash": op4_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op10_template_leaks": op10_template_leaks,
+}
 
 CHECKS: dict[str, str] = {}
