@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import decontaminate, interpolation, simhash, toxicity
+from claimscope.llm import decontaminate, interpolation, kdtree, mixing, simhash, toxicity, warc
 from claimscope.llm.common import table
 
 
+def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = ["mix_block", "mix_phase", "mix_release", "mix_deadline", "mix_slot", "mix_row"]
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", *places)
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"), folds=10)
 
@@ -16,18 +21,29 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3, lanes=1)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
 
 
+def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_pfair_mix": op1_pfair_mix,
     "op3_lm_scores": op3_lm_scores,
     "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
     "op7_toxicity": op7_toxicity,
+    "op8_kdtree": op8_kdtree,
     "op10_template_leaks": op10_template_leaks,
 }
 
