@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from claimscope.llm.common import fold, written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 ROUNDS = 30  # of expectation-maximisation, over a histogram of bounded size
 STEP = 2.0  # cells of the histogram per doubling of a probability
 BUCKETS = 40
@@ -78,13 +78,23 @@ def _events(tokens: bytes, vocab: bytes, held: np.ndarray, lengths: np.ndarray)
 
 
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by part, and where each non-empty part starts in that order."""
+    """Order by part and key, and where each non-empty part starts in that order."""
     part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((keys, part))
     present, starts = np.unique(part[order], return_index=True)
     return order, present, starts
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte: the leading bytes are alike, and compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _keys(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(body, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _requests(parts: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -96,7 +106,7 @@ def _requests(parts: int):
                     order, present, starts = _dealt(asked, parts)
                     yield pd.DataFrame({
                         "part": present, "kind": kind, "block": row.block,
-                        "keys": [x.tobytes() for x in np.split(asked[order], starts[1:])][: len(present)],
+                        "keys": [_planes(x) for x in np.split(asked[order], starts[1:])][: len(present)],
                         "counts": [x.tobytes() for x in np.split(counts[order].astype(np.int32), starts[1:])][: len(present)],
                     })
 
@@ -116,7 +126,7 @@ def _unpacked(small: bytes, large: bytes) -> np.ndarray:
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts for all requests of one part and kind."""
-    keys = np.frombuffer(b"".join(rows["keys"]), np.uint64)
+    keys = np.concatenate([_keys(body) for body in rows["keys"]])
     counts = np.frombuffer(b"".join(rows["counts"]), np.int32)
     distinct, place = np.unique(keys, return_inverse=True)
     total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
