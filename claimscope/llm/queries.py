@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.llm import decontaminate, interpolation, kdtree, mixing, simhash, toxicity, warc
+from claimscope.llm import decontaminate, html, interpolation, kdtree, mixing, simhash, toolcalls, toxicity, urls, warc
 from claimscope.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", *places)
 
 
+def op2_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.score(table(spark, sf_dir, "documents"), folds=10)
 
@@ -25,6 +29,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
 
@@ -33,17 +41,24 @@ def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.link_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_pfair_mix": op1_pfair_mix,
+    "op2_page_diff": op2_page_diff,
     "op3_lm_scores": op3_lm_scores,
     "op4_simhash": op4_simhash,
     "op5_warc": op5_warc,
+    "op6_url_rules": op6_url_rules,
     "op7_toxicity": op7_toxicity,
     "op8_kdtree": op8_kdtree,
+    "op9_tool_calls": op9_tool_calls,
     "op10_template_leaks": op10_template_leaks,
 }
 

@@ -19,7 +19,7 @@ BAD = "label=bad"
 class Mining:
     """What a rule needs in order to block: its share of the labelled URLs, and the share of bad ones among those it fits."""
 
-    support: float = 0.002
+    support: float = 0.005
     confidence: float = 0.6
 
 
