@@ -9,12 +9,14 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from claimscope import build_session  # noqa: E402
 from claimscope.catalog import QUERIES, stages  # noqa: E402
+from claimscope.session import clean_up  # noqa: E402
 
 HEADLINES = [
     "flagship_price_outliers", "r1_profile_claims", "r2_provider_features", "m3_baseline_rank", "r3_score_providers",
@@ -29,7 +31,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
-        "spark.sql.shuffle.partitions": cpus,
+        "spark.sql.shuffle.partitions": cpus, "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     for name in ("a1_distinct_ids", "a4_peer_rollup", "w2_rank_min"):  # JVM warm-up, not timed
@@ -44,6 +46,7 @@ def main() -> None:
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
+    clean_up(spark)
     spark.stop()
 
 

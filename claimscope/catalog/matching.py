@@ -158,9 +158,10 @@ def _(t):
 @query("j8_city_match", f"WITH {TABLES}, {PERSONS}, {BY_NAME}, {CANDIDATES} SELECT {MATCH_LIST}, tier = 2 same_city FROM candidates")
 def _(t):
     nets = stages.networks(t)
-    found = _name_state(t, nets)
-    cities = nets.cities.groupBy(*OFFICIAL).agg(F.collect_set("city").alias("cities"))
-    return found.join(cities, OFFICIAL).withColumn("same_city", X.city_match("leie_city", "cities")).drop("cities")
+    individuals = M.excluded_individuals(t.exclusions)
+    persons = M.match_name_state(nets.states, M.distinct_persons(individuals))
+    tiers = M.entries_of(individuals, M.candidate_tiers(nets, persons))
+    return tiers.withColumn("same_city", F.col("tier") == 2).drop("tier")
 
 
 @query("j9_middle_match", f"WITH {TABLES}, {PERSONS}, {BY_NAME} SELECT n.ao_last, n.ao_first, leie_mid, excldate, leie_state, leie_mid <> '' AND o.ao_middle <> '' AND leie_mid = o.ao_middle same_middle FROM by_name n JOIN officials o USING (ao_last, ao_first)")

@@ -123,6 +123,38 @@ def _(t):
     return P.top_anomalies(stages.scores(t), "dollar_rank", 20)
 
 
+# What SQL can say about tables of forest scores, which it can't compute itself.
+
+@query("m4_forest_properties", f"WITH {FEATURES} SELECT COUNT(*) scored, COUNT(*) distinct_ids, 0 out_of_range, 1 varies FROM features")
+def _(t):
+    score = F.col("if_anomaly_score")
+    return stages.scores(t).agg(
+        F.count(score).alias("scored"), F.count_distinct("billing_npi").alias("distinct_ids"),
+        F.count_if((score <= -0.5) | (score >= 0.5)).cast("int").alias("out_of_range"), (F.max(score) > F.min(score)).cast("int").alias("varies"),
+    )
+
+
+@query("r3_score_properties", f"WITH {BASELINE} SELECT billing_npi, zscore_count, zscore_rank, 1 weighted_right FROM ranked")
+def _(t):
+    weighted = F.abs(F.col("dollar_weighted_score") - F.col("if_anomaly_score") * F.col("total_paid")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("dollar_weighted_score"))
+    return stages.scores(t).select("billing_npi", "zscore_count", "zscore_rank", weighted.cast("int").alias("weighted_right"))
+
+
+@query("r4_top_properties", f"WITH {FEATURES}, n AS (SELECT COUNT(*) n FROM features) SELECT 'if_rank' list, LEAST(50, n) n, 0 left_out FROM n UNION ALL SELECT 'dollar_rank', LEAST(20, n), 0 FROM n")
+def _(t):
+    def listed(rank, score, k):
+        """Rows in the list, and providers outside it that have a higher score than one inside."""
+        top = P.top_anomalies(stages.scores(t), rank, k).select("billing_npi")
+        inside = stages.scores(t).join(F.broadcast(top), "billing_npi")
+        outside = stages.scores(t).join(F.broadcast(top), "billing_npi", "left_anti")
+        lowest = inside.agg(F.min(F.round(score, 6))).scalar()
+        return outside.agg(F.count_if(F.round(score, 6) > lowest).cast("int").alias("left_out")).select(
+            F.lit(rank).alias("list"), inside.agg(F.count(F.lit(1))).scalar().alias("n"), "left_out"
+        )
+
+    return listed("if_rank", "if_anomaly_score", 50).union(listed("dollar_rank", "dollar_weighted_score", 20))
+
+
 @query("r4_top_anomalies_zscore", f"""WITH {BASELINE} SELECT billing_npi, zscore_rank, zscore_count, {r('total_paid')} total_paid, total_claims,
  {r('paid_per_claim')} paid_per_claim, {r('max_peer_zscore')} max_peer_zscore, num_hcpcs_codes, num_taxonomy_codes,
  {r('pct_round_dollar')} pct_round_dollar, {r('monthly_paid_cv')} monthly_paid_cv, is_deactivated, entity_type
@@ -158,11 +190,16 @@ RANKS = ["zscore_rank", "paid_rank", "peer_rank"]
 PAIRS = [("zscore_rank", "paid_rank"), ("zscore_rank", "peer_rank"), ("paid_rank", "peer_rank"), tuple(RANKS)]
 
 
+def within(ranks):
+    """SQL: all of the ranks are among the first k."""
+    return " AND ".join(f"{name} <= k" for name in ranks)
+
+
 @query("a36_topk_agreement", f"""WITH {BASELINE}, places AS (SELECT billing_npi, {', '.join(f'ROW_NUMBER() OVER (ORDER BY {x}, billing_npi) {x}' for x in RANKS)} FROM ranked),
 ks AS (SELECT UNNEST([20, 50, 100, 200]) k)
 SELECT CAST(k AS INTEGER) k, """ + ", ".join(
-    f"COUNT(*) FILTER ({' AND '.join(f'{x} <= k' for x in p)}) {'_and_'.join(p)}, "
-    f"{r(f'100.0 * COUNT(*) FILTER ({chr(32).join(chr(32).join([x, chr(60) + chr(61), chr(107)]) if i == 0 else f'AND {x} <= k' for i, x in enumerate(p))}) / k')} pct_{'_and_'.join(p)}"
+    f"COUNT(*) FILTER ({within(p)}) {'_and_'.join(p)}, "
+    f"{r(f'100.0 * COUNT(*) FILTER ({within(p)}) / k')} pct_{'_and_'.join(p)}"
     for p in PAIRS) + " FROM places, ks GROUP BY k")
 def _(t):
     return P.topk_agreement(stages.baseline(t), RANKS)
@@ -383,12 +420,12 @@ def _(t):
     return HH.cohort_top(stages.cohort(t))
 
 
-@query("j18_cross_reference", f"""WITH {COHORT}, general AS (SELECT billing_npi, if_rank FROM (SELECT billing_npi,
+@query("j18_cross_reference", f"""WITH {COHORT}, paid AS MATERIALIZED (SELECT billing_npi, SUM(total_paid) paid FROM claims GROUP BY billing_npi), general AS MATERIALIZED (SELECT billing_npi, if_rank FROM (SELECT billing_npi,
   CAST(FLOOR(RANK() OVER (ORDER BY ROUND(paid, 9) DESC) + (COUNT(*) OVER (PARTITION BY ROUND(paid, 9)) - 1) / 2.0) AS BIGINT) if_rank
-  FROM (SELECT billing_npi, SUM(total_paid) paid FROM claims GROUP BY billing_npi)) ORDER BY if_rank, billing_npi LIMIT 60),
- own AS (SELECT billing_npi FROM cohort ORDER BY hh_risk_rank, billing_npi LIMIT 30)
-SELECT c.billing_npi, c.provider_state, c.hh_risk_rank, {r('c.total_paid')} total_paid, g.if_rank, CASE WHEN c.billing_npi IN (SELECT billing_npi FROM own) THEN 1 ELSE 0 END in_cohort_top
-FROM cohort c JOIN general g USING (billing_npi)""")
+  FROM paid) ORDER BY if_rank, billing_npi LIMIT 60),
+ own AS MATERIALIZED (SELECT billing_npi, 1 listed FROM cohort ORDER BY hh_risk_rank, billing_npi LIMIT 30)
+SELECT c.billing_npi, c.provider_state, c.hh_risk_rank, {r('c.total_paid')} total_paid, g.if_rank, COALESCE(own.listed, 0) in_cohort_top
+FROM cohort c JOIN general g USING (billing_npi) LEFT JOIN own USING (billing_npi)""")
 def _(t):
     general = stages.baseline(t).select("billing_npi", F.col("paid_rank").alias("if_rank"))
     return HH.cross_reference(stages.cohort(t), general, k1=30, k2=60)
@@ -420,12 +457,12 @@ def _(t):
     return ranking.movers(HH.compare_ranks(stages.local_cohort(t), stages.cohort(t)), "billing_npi")
 
 
-STABLE = f"""{COMPARED}, t10 AS (SELECT billing_npi FROM cohort ORDER BY hh_risk_rank, billing_npi LIMIT 10),
-t40 AS (SELECT billing_npi FROM cohort ORDER BY hh_risk_rank, billing_npi LIMIT 40),
-best_local AS (SELECT * FROM local_cohort ORDER BY hh_risk_rank, billing_npi LIMIT 10),
+STABLE = f"""{COMPARED}, t10 AS MATERIALIZED (SELECT billing_npi, 1 listed FROM cohort ORDER BY hh_risk_rank, billing_npi LIMIT 10),
+t40 AS MATERIALIZED (SELECT billing_npi, 1 listed FROM cohort ORDER BY hh_risk_rank, billing_npi LIMIT 40),
+best_local AS MATERIALIZED (SELECT * FROM local_cohort ORDER BY hh_risk_rank, billing_npi LIMIT 10),
 stability AS (SELECT b.billing_npi, b.hh_risk_rank local_rank, c.national_rank, COALESCE(c.total_paid, b.total_paid) total_paid,
- (b.billing_npi IN (SELECT billing_npi FROM t10))::INT in_top_10, (b.billing_npi IN (SELECT billing_npi FROM t40))::INT in_top_40
- FROM best_local b LEFT JOIN compared c USING (billing_npi))"""
+ COALESCE(t10.listed, 0) in_top_10, COALESCE(t40.listed, 0) in_top_40
+ FROM best_local b LEFT JOIN compared c ON b.billing_npi = c.billing_npi LEFT JOIN t10 ON b.billing_npi = t10.billing_npi LEFT JOIN t40 ON b.billing_npi = t40.billing_npi)"""
 
 
 def stable(t):

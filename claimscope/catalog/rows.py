@@ -79,6 +79,13 @@ def _(t):
     return readers.read_deactivated(t.spark, path)
 
 
+@query("s3_read_deactivated_table", "SELECT DISTINCT npi FROM deactivated")
+def _(t):
+    path = scratch_path(t.spark, "listed")  # a folder name says nothing about the format
+    t.deactivated.select("npi").write.parquet(path)
+    return readers.read_deactivated(t.spark, path, format="parquet")
+
+
 @query("s4_read_exclusions", "SELECT lastname, firstname, midname, busname, npi, city, state, excltype, excldate FROM exclusions")
 def _(t):
     blank_to_null = t.exclusions.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in t.exclusions.columns})
@@ -128,6 +135,15 @@ def _(t):
     return sample.withColumn("total_rows", F.lit(total))
 
 
+@query("s10_sample_properties", "SELECT COUNT(*) total_rows, LEAST(10000, COUNT(*)) sample_rows, 0 not_in_claims FROM claims")
+def _(t):
+    total, sample = readers.uniform_sample(t.claims, 10_000, 42)
+    strange = sample.exceptAll(t.claims)
+    return sample.agg(F.count(F.lit(1)).alias("sample_rows")).select(
+        F.lit(total).cast("bigint").alias("total_rows"), "sample_rows", strange.agg(F.count(F.lit(1))).scalar().cast("int").alias("not_in_claims")
+    )
+
+
 @query("s11_member_ids", """WITH multi AS (SELECT ao_last, ao_first FROM org_npis GROUP BY ALL HAVING COUNT(DISTINCT npi) >= 2)
  SELECT DISTINCT npi FROM org_npis JOIN multi USING (ao_last, ao_first)""")
 def _(t):

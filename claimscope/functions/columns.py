@@ -116,8 +116,3 @@ def individual_score(tier: str | Column, penalty: str | Column) -> Column:
 
 def middle_match(left: str | Column, right: str | Column) -> Column:
     return (as_col(left) != "") & (as_col(right) != "") & (as_col(left) == as_col(right))
-
-
-def city_match(city: str | Column, cities: str | Column) -> Column:
-    """Whether a non-blank city is one of an array of cities."""
-    return (as_col(city) != "") & F.array_contains(as_col(cities), as_col(city))

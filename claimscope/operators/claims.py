@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.columns import count_of, flag, in_cohort, multiple_of_100, ratio, share_of, whole_dollars
 from claimscope.functions.constants import CATEGORIES, COHORT_PREFIXES, OTHER_CATEGORY
-from claimscope.operators.scale import lookup_join
+from claimscope.operators.scale import lookup_join, summed_for
 
 # Columns that vary among the rows of one provider, used to spread a provider with very many rows.
 _VARYING = ["total_paid", "hcpcs_code", "claim_from_month"]
@@ -194,20 +194,26 @@ def cohort_codes(claims: DataFrame) -> DataFrame:
     return claims.groupBy("billing_npi").agg(F.countDistinct(mapped).alias("num_hh_codes"))
 
 
-def exposure_by_npi(claims: DataFrame) -> DataFrame:
-    """Spending per billing id; code and month counts come from the distinct pairs, not from a second pass."""
-    codes = claims.groupBy("billing_npi", "hcpcs_code").agg(
-        F.sum("total_paid").alias("paid"), F.sum("total_claims").alias("claims"),
-        F.sum("total_unique_beneficiaries").alias("beneficiaries"),
-    )
+def exposure_by_npi(claims: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Spending per billing id, of the ids in ``ids`` (npi) if given; code and month counts come from the distinct pairs."""
+    def by_code(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("billing_npi", "hcpcs_code").agg(
+            F.sum("total_paid").alias("paid"), F.sum("total_claims").alias("claims"),
+            F.sum("total_unique_beneficiaries").alias("beneficiaries"),
+        )
+
+    def by_month(rows: DataFrame) -> DataFrame:
+        return rows.select("billing_npi", "claim_from_month").distinct()
+
+    if ids is None:
+        codes, pairs = by_code(claims), by_month(claims)
+    else:
+        codes, pairs = summed_for(claims, ids.select(F.col("npi").alias("billing_npi")), "billing_npi", by_code, by_month)
     totals = codes.groupBy("billing_npi").agg(
         F.sum("paid").alias("total_paid"), F.sum("claims").alias("total_claims"),
         F.sum("beneficiaries").alias("total_beneficiaries"), F.count("hcpcs_code").alias("num_hcpcs"),
     )
-    months = (
-        claims.select("billing_npi", "claim_from_month").distinct()
-        .groupBy("billing_npi").agg(F.count("claim_from_month").alias("num_months"))
-    )
+    months = pairs.groupBy("billing_npi").agg(F.count("claim_from_month").alias("num_months"))
     return totals.join(months, "billing_npi", "left")
 
 
@@ -224,12 +230,3 @@ def code_summary(claims: DataFrame) -> DataFrame:
         .withColumnRenamed("hh_category", "category")
         .withColumn("avg_ppc", ratio("total_paid", "total_claims"))
     )
-
-
-def match_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
-    """One row: number of rows, and for each condition the number and the share for which it holds."""
-    return df.agg(
-        F.count(F.lit(1)).alias("num_rows"),
-        *[count_of(condition).alias(f"n_{name}") for name, condition in conditions.items()],
-        *[share_of(condition).alias(f"share_{name}") for name, condition in conditions.items()],
-    )

@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.operators.ranking import first_per_key
+from claimscope.session import cut
 
 # Tasks get the small numpy helpers below with their code, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EULER = 0.5772156649
-# Trees draw their samples from a pool of this many samples' worth of rows.
-POOL_SAMPLES = 40
+# A tree draws from about this many times its sample, thinned from all rows by the same hash that orders the draw.
+THINNING = 2.0
+HASH_SPACE = 2**31 - 1
 FIT_TASKS = 32
 
 
@@ -62,21 +64,31 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> pd.
     return pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path"])
 
 
+def draw_samples(filled: DataFrame, rows: int, trees: int, psi: int, seed: int, thinning: float = THINNING) -> DataFrame:
+    """Per tree, the ``psi`` rows (all, if fewer) with the smallest hash of id and tree: a draw from all rows.
+
+    Each row is copied only to the trees for which its hash is small enough to have a chance, so about ``thinning`` x ``psi`` x ``trees``
+    rows are shuffled, however many there are. Should a tree get too few, the cut-off is doubled; it never changes the draw.
+    """
+    while True:
+        draw = lambda tree: F.pmod(F.xxhash64("_id", tree, F.lit(seed)), F.lit(HASH_SPACE))
+        cut_off = HASH_SPACE if not rows else min(HASH_SPACE, int(HASH_SPACE * thinning * psi / rows) + 1)
+        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < F.lit(cut_off))
+        draws = filled.withColumn("tree", F.explode_outer(chosen)).where("tree IS NOT NULL").repartition(FIT_TASKS, "tree")
+        sample = cut(first_per_key(draws, ["tree"], [draw(F.col("tree")), F.col("_id")], psi))
+        sizes = [row["count"] for row in sample.groupBy("tree").count().collect()]
+        if cut_off == HASH_SPACE or len(sizes) == trees and min(sizes) >= min(psi, rows):
+            return sample
+        thinning *= 2
+
+
 def fit_forest(
     z: DataFrame, id_col: str, features: Sequence[str], rows: int, trees: int = 200, psi: int = 256, seed: int = 42,
 ) -> DataFrame:
     """Nodes of all trees: (tree, node, feature, split, left, right, path). ``rows`` is the number of rows of ``z``."""
     features = list(features)
     filled = z.select(F.col(id_col).cast("string").alias("_id"), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features])
-    size = psi * POOL_SAMPLES
-    if rows > 4 * size:
-        # Thin out by the hash first, to about twice the pool, so that no task gets a full pool from every partition.
-        share = F.pmod(F.xxhash64("_id", F.lit(seed), F.lit("pool")), F.lit(1_000_000_007)) / 1_000_000_007
-        filled = filled.where(share < 2 * size / rows)
-    # The pool is bounded; it is spread before it is copied per tree, and trees are spread for fitting.
-    pool = filled.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(size).repartition(FIT_TASKS, "_id")
-    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).repartition(FIT_TASKS, "tree")
-    sample = first_per_key(draws, ["tree"], [F.xxhash64("_id", "tree", F.lit(seed)), F.col("_id")], psi)
+    sample = draw_samples(filled, rows, trees, psi, seed)
     max_depth = math.ceil(math.log2(max(psi, 2)))
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -9,15 +9,16 @@ They run small jobs while they build their plan; what the driver gets is bounded
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.session import cut
 
-# A side is broadcast only if it is counted to have at most this many (narrow) rows.
+# A side is broadcast only if it is measured to have at most this many rows, and this many bytes.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 # The HOT_KEYS most frequent keys are spread if they have at least HOT_ROWS rows; any other key has < 1/HOT_KEYS of all rows.
 HOT_KEYS = 64
 HOT_ROWS = 100_000
@@ -35,14 +36,39 @@ def lookup_join(
     big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
     spread_by: Sequence[str] | None = None, max_broadcast_rows: int | None = None,
 ) -> DataFrame:
-    """Join to a table that is cheap to count: broadcast if it is small by count, else ``spread_join``."""
+    """Join to a smaller table, which is written once: broadcast if it is small as measured, else ``spread_join``."""
     keys = key_list(on)
-    limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    if small.count() <= limit:
+    small = cut(small)
+    if is_small(small, max_broadcast_rows):
         return big.join(F.broadcast(small), keys, how)
     return spread_join(big, small, keys, how, spread_by)
 
 
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether a stored table has few enough rows and bytes to be broadcast; text counts with its length, other values with 16."""
+    wide = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            wide = wide + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind[:5] in ("array", "map<", "struc"):
+            wide = wide + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{name}`")))), F.lit(0))
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(wide), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= (MAX_BROADCAST_ROWS if max_rows is None else max_rows) and found["bytes"] <= MAX_BROADCAST_BYTES
+
+
+def summed_for(rows: DataFrame, ids: DataFrame, on: str, *summaries: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """Summaries of ``rows``, grouped by ``on`` and more, for the listed ids alone.
+
+    Few ids are broadcast, and restrict the rows before they are summed. Of many, the sums are restricted: then what is
+    shuffled by id is summed before, so no id has many rows, and nothing is salted.
+    """
+    listed = cut(ids.select(on).distinct())
+    if is_small(listed):
+        restricted = rows.join(F.broadcast(listed), on, "left_semi")
+        return [summary(restricted) for summary in summaries]
+    return [summary(rows).join(listed, on, "left_semi") for summary in summaries]
+
+
 def spread_join(
     big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner",
     spread_by: Sequence[str] | None = None, counts: DataFrame | None = None,

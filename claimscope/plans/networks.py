@@ -37,7 +37,7 @@ def match_deactivated(networks: Networks, deactivated_persons: DataFrame) -> Dat
 
 def spending_exposure(claims: DataFrame, networks: Networks) -> DataFrame:
     """Spending per organisation of a multi-member official."""
-    return C.exposure_by_npi(C.claims_of(claims, N.member_ids(networks.members)))
+    return C.exposure_by_npi(claims, N.member_ids(networks.members))
 
 
 def network_risk(
@@ -176,7 +176,3 @@ def top_spending(scored: DataFrame, n: int = 10) -> DataFrame:
     return ranking.top_k(scored, "total_spending", n, OFFICIAL, desc=True).select(
         *OFFICIAL, "total_spending", "npi_count", "num_states", "risk_rank"
     )
-
-
-def tier_label(df: DataFrame) -> DataFrame:
-    return df.withColumn("label", code_lookup(F.col("tier").cast("string"), {str(k): v for k, v in TIER_LABELS.items()}))

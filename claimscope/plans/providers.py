@@ -13,6 +13,7 @@ from claimscope.operators import claims as C
 from claimscope.operators import peers, profile, ranking, sets
 from claimscope.operators.iforest import isolation_forest
 from claimscope.operators.risk import dollar_weight
+from claimscope.operators.scale import summed_for
 from claimscope.operators.standardize import extreme_count, preprocess
 from claimscope.session import cut
 
@@ -52,9 +53,10 @@ def provider_features(
     ``providers`` is the registry scoped to a state, one row per npi. Claims are read twice, once summed per code and
     once per month; all else comes from those sums. Registry columns join the finished provider rows.
     """
-    scoped = C.claims_of(claims, providers)
-    codes = cut(C.provider_code(scoped))
-    months = C.monthly_stats(C.provider_month(scoped), ddof=0)
+    ids = providers.select(F.col("npi").alias("billing_npi"))
+    codes, monthly = summed_for(claims, ids, "billing_npi", C.provider_code, C.provider_month)
+    codes = cut(codes)
+    months = C.monthly_stats(monthly, ddof=0)
     z = peers.peer_zscore(codes, min_count=min_peers, ddof=0)
     volume = C.assemble(
         C.provider_totals(codes), C.billing_patterns(codes), C.concentration(codes), months, peers.peer_rollup(z),

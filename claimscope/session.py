@@ -60,3 +60,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession, folder: str | None = None) -> None:
+    """Remove the application's folder of intermediate tables (or ``folder``), in whatever file system it lies."""
+    path = folder or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -19,30 +19,39 @@ from claimscope.functions.constants import (
 DATE_COLUMNS = ["enumeration_date", "deactivation_date", "reactivation_date"]
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
+FORMATS = ("csv", "parquet")
+
+
+def _is_parquet(format: str) -> bool:
+    if format not in FORMATS:
+        raise ValueError(f"format is one of {FORMATS}, not {format!r}")
+    return format == "parquet"
+
+
+def _read(spark: SparkSession, path: str, format: str) -> DataFrame:
     """A Parquet table, or a CSV file with header in which every column is text."""
-    if str(path).rstrip("/").endswith(".parquet"):
+    if _is_parquet(format):
         return spark.read.parquet(path)
     return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def read_spending(spark: SparkSession, path: str) -> DataFrame:
-    """Spending by provider, procedure and month, with typed columns."""
-    if str(path).rstrip("/").endswith(".parquet"):
+def read_spending(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+    """Spending by provider, procedure and month, with typed columns. A CSV row that doesn't fit the types is an error."""
+    if _is_parquet(format):
         raw = spark.read.parquet(path)
     else:
         schema = T.StructType([
             T.StructField(header, T._parse_datatype_string(kind)) for header, (_, kind) in SPENDING_COLUMNS.items()
         ])
-        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+        raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     return raw.select(*[F.col(header).cast(kind).alias(name) for header, (name, kind) in SPENDING_COLUMNS.items()])
 
 
 def read_registry(
-    spark: SparkSession, path: str, columns: Mapping[str, str], date_format: str | None = None,
+    spark: SparkSession, path: str, columns: Mapping[str, str], date_format: str | None = None, format: str = "csv",
 ) -> DataFrame:
     """The named columns of the registry as text; with a date format, its date columns as dates (bad text: null)."""
-    registry = _read(spark, path).select(*[F.col(f"`{header}`").cast("string").alias(name) for header, name in columns.items()])
+    registry = _read(spark, path, format).select(*[F.col(f"`{header}`").cast("string").alias(name) for header, name in columns.items()])
     if date_format is None:
         return registry
     return registry.withColumns({
@@ -51,10 +60,10 @@ def read_registry(
     })
 
 
-def read_providers(spark: SparkSession, path: str, date_format: str = "MM/dd/yyyy") -> DataFrame:
+def read_providers(spark: SparkSession, path: str, date_format: str = "MM/dd/yyyy", format: str = "csv") -> DataFrame:
     """The registry as the provider features need it."""
     taxonomies = [f"taxonomy_{i}" for i in range(1, NUM_TAXONOMIES + 1)]
-    registry = read_registry(spark, path, PROVIDER_COLUMNS, date_format)
+    registry = read_registry(spark, path, PROVIDER_COLUMNS, date_format, format)
     return (
         registry.withColumn("entity_type", F.col("entity_type").try_cast("int"))
         .withColumn("primary_taxonomy", F.col("taxonomy_1"))
@@ -63,17 +72,17 @@ def read_providers(spark: SparkSession, path: str, date_format: str = "MM/dd/yyy
     )
 
 
-def read_organisations(spark: SparkSession, path: str) -> DataFrame:
-    return read_registry(spark, path, ORGANISATION_COLUMNS)
+def read_organisations(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+    return read_registry(spark, path, ORGANISATION_COLUMNS, format=format)
 
 
-def read_individuals(spark: SparkSession, path: str) -> DataFrame:
-    return read_registry(spark, path, INDIVIDUAL_COLUMNS)
+def read_individuals(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+    return read_registry(spark, path, INDIVIDUAL_COLUMNS, format=format)
 
 
-def read_deactivated(spark: SparkSession, path: str) -> DataFrame:
+def read_deactivated(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """Distinct identifiers of a one-column list; title rows and other text are dropped."""
-    raw = spark.read.parquet(path) if str(path).rstrip("/").endswith(".parquet") else spark.read.csv(path)
+    raw = spark.read.parquet(path) if _is_parquet(format) else spark.read.csv(path)
     return numeric_ids(raw, raw.columns[0])
 
 
@@ -82,9 +91,9 @@ def numeric_ids(df: DataFrame, column: str) -> DataFrame:
     return df.select(npi.alias("npi")).where(F.col("npi").try_cast("bigint").isNotNull()).distinct()
 
 
-def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
+def read_exclusions(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
     """The exclusion list as text, blank where a value is missing."""
-    raw = _read(spark, path)
+    raw = _read(spark, path, format)
     return raw.select(*[
         F.coalesce(F.col(header).cast("string"), F.lit("")).alias(name) for header, name in EXCLUSION_COLUMNS.items()
     ])
@@ -107,13 +116,20 @@ def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int) -> tuple[int, DataFrame]:
-    """The number of rows, and exactly n of them (all, if fewer) drawn at random without replacement.
+    """The number of rows, and exactly n of them (all, if fewer) drawn without replacement, alike on any partitioning.
 
-    Rows get a random number and the n smallest are taken. In a large table only rows below a cut-off that keeps about
-    2n + 100 of them are sorted, so that no task gets n rows from every partition.
+    The rows with the smallest hashes of all their columns are taken. They are first counted by leading bits of the hash (4096
+    counts reach the driver), so that beyond the n rows only those of one more part in 4096 are sorted.
     """
-    total = df.count()
-    numbered = df.withColumn("_draw", F.rand(seed))
-    if total > 4 * n + 400:
-        numbered = numbered.where(F.col("_draw") < (2 * n + 100) / total)
-    return total, numbered.orderBy("_draw").limit(n).drop("_draw")
+    draw = F.xxhash64(F.lit(seed), *df.columns)
+    numbered = df.withColumn("_draw", draw)
+    lead = F.shiftrightunsigned(F.col("_draw"), 52)
+    counts = sorted(tuple(row) for row in numbered.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(count for _, count in counts)
+    last, taken = -1, 0
+    for part, count in counts:
+        if taken >= n:
+            break
+        last, taken = part, taken + count
+    order = [lead, F.col("_draw"), *[F.col(f"`{name}`") for name in df.columns]]
+    return total, numbered.where(lead <= F.lit(last)).orderBy(*order).limit(n).drop("_draw")

@@ -1,6 +1,7 @@
 """Edge cases on small hand-made frames."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -246,16 +247,19 @@ def test_forest_properties(spark):
     assert scores[1]["twin1"] == scores[1]["twin2"]
 
 
-def test_forest_from_a_thinned_pool(spark, monkeypatch):
+def test_forest_is_drawn_from_all_rows(spark, monkeypatch):
     from claimscope.operators import iforest
 
-    monkeypatch.setattr(iforest, "POOL_SAMPLES", 2)
     rows = {}
-    for parts in (1, 8):
+    for thinning, parts in ((2.0, 1), (2.0, 8), (0.05, 3), (1e9, 8)):  # too few at first, and no thinning at all
+        monkeypatch.setattr(iforest.draw_samples, "__defaults__", (thinning,))
         scores = iforest.isolation_forest(forest_input(spark, parts), "id", ["a", "b", "c"], trees=30, psi=32).collect()
-        rows[parts] = {r["id"]: r["if_anomaly_score"] for r in scores}
-    assert rows[1] == rows[8] and len(rows[1]) == 604
-    assert {"out1", "out2"} <= set(sorted(rows[1], key=rows[1].get)[-6:])
+        rows[thinning, parts] = {r["id"]: r["if_anomaly_score"] for r in scores}
+    first, *others = rows.values()
+    assert len(first) == 604 and all(other == first for other in others)
+    many = spark.range(30_000).select(F.col("id").cast("string").alias("_id"), F.col("id").cast("double").alias("a"))
+    drawn = iforest.draw_samples(many, 30_000, 60, 32, 42, 2.0)
+    assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {32} and drawn.select("_id").distinct().count() > 60 * 32 * 0.9
 
 
 def test_average_path():
@@ -287,5 +291,35 @@ def test_uniform_sample(spark):
     for rows in (10, 100, 5000):
         total, sample = readers.uniform_sample(spark.range(rows), 20, 42)
         assert total == rows and sample.distinct().count() == min(20, rows)
-    again = readers.uniform_sample(spark.range(5000), 20, 42)[1]
-    assert sorted(r["id"] for r in sample.collect()) == sorted(r["id"] for r in again.collect())
+    for parts in (1, 8):
+        again = readers.uniform_sample(spark.range(5000).repartition(parts), 20, 42)[1]
+        assert sorted(r["id"] for r in sample.collect()) == sorted(r["id"] for r in again.collect())
+    same = spark.createDataFrame([("x", 1.0)] * 500, "a string, b double")
+    assert readers.uniform_sample(same, 20, 1)[1].count() == 20 and readers.uniform_sample(same.limit(0), 20, 1)[1].count() == 0
+
+
+def test_readers_take_the_format_from_the_caller(spark, tmp_path):
+    path = str(tmp_path / "stage-without-suffix")
+    spark.createDataFrame([("1",), ("2",), ("2",), ("text",)], "npi string").write.parquet(path)
+    assert sorted(r["npi"] for r in readers.read_deactivated(spark, path, format="parquet").collect()) == ["1", "2"]
+    with pytest.raises(ValueError, match="format"):
+        readers.read_deactivated(spark, path, format="xlsx")
+    bad = tmp_path / "bad.csv"
+    bad.write_text(
+        "BILLING_PROVIDER_NPI_NUM,SERVICING_PROVIDER_NPI_NUM,HCPCS_CODE,CLAIM_FROM_MONTH,TOTAL_UNIQUE_BENEFICIARIES,TOTAL_CLAIMS,TOTAL_PAID\n"
+        "0012,0013,00100,2020-02-01,5,12,many\n"
+    )
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_spending(spark, str(bad)).collect()
+
+
+def test_shared_folder(spark, tmp_path):
+    from claimscope.session import clean_up, cut, scratch_path
+
+    path = scratch_path(spark, "x").rsplit("/", 1)[0]
+    cut(spark.range(3))
+    assert any(p.name.startswith("stage-") for p in Path(path.removeprefix("file:")).iterdir())
+    other = tmp_path / "app"
+    (other / "stage-1").mkdir(parents=True)
+    clean_up(spark, str(other))
+    assert not other.exists()

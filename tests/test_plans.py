@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimscope.catalog.views import Tables
 from claimscope.operators import claims as C
@@ -43,6 +44,23 @@ def test_scoped_claims_use_a_counted_broadcast_or_spread(tables, stored_claims,
     assert "_salt" in plan(C.provider_code(C.claims_of(stored_claims, tables.providers)))
 
 
+def test_sums_are_restricted_after_the_shuffle_where_ids_are_many(tables, stored_claims, monkeypatch):
+    ids = tables.providers.select(F.col("npi").alias("billing_npi"))
+    want = sorted(map(str, C.provider_code(C.claims_of(stored_claims, tables.providers)).collect()))
+    monkeypatch.setattr(scale, "MAX_BROADCAST_ROWS", 0)
+    codes, months = scale.summed_for(stored_claims, ids, "billing_npi", C.provider_code, C.provider_month)
+    for frame in (codes, months):
+        lines = plan(frame).splitlines()
+        assert "_salt" not in plan(frame) and plan(frame).count("BatchScan") + plan(frame).count("FileScan") == 2
+        claims = next(i for i, line in enumerate(lines) if "total_paid" in line and "FileScan" in line)
+        exchange = max(i for i, line in enumerate(lines[:claims]) if "Exchange hashpartitioning" in line)
+        assert "partial_" in lines[exchange + 1]
+    rounded = lambda rows: sorted(str({k: round(v, 6) if isinstance(v, float) else v for k, v in r.asDict().items()}) for r in rows)
+    monkeypatch.setattr(scale, "MAX_BROADCAST_ROWS", 10**9)
+    few = scale.summed_for(stored_claims, ids, "billing_npi", C.provider_code)[0]
+    assert rounded(codes.collect()) == rounded(few.collect()) and len(want) == codes.count()
+
+
 def test_no_all_pairs_join_and_no_unpartitioned_window(stored_claims):
     text = plan(peers.peer_rollup(peers.peer_zscore(cut(C.provider_code(stored_claims)), min_count=3)))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "Window" not in text
