@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from claimscope.llm import decontaminate, html, interpolation, kdtree, mixing, simhash, toolcalls, toxicity, urls, warc
+from claimscope.llm.checks import CHECKS
 from claimscope.llm.common import table
 
 
@@ -42,7 +44,7 @@ def op8_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link_conversations(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_conversations(table(spark, sf_dir, "conversations")).withColumn("errors", F.array_join("errors", ","))
 
 
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +64,4 @@ QUERIES = {
     "op10_template_leaks": op10_template_leaks,
 }
 
-CHECKS: dict[str, str] = {}
+__all__ = ["CHECKS", "QUERIES"]
