@@ -88,10 +88,10 @@ def _(t):
     return N.network_counts(t.orgs)
 
 
-@query("a15_network_lists", """SELECT ao_last, ao_first, 'npi_list' list, 0 chunk, STRING_AGG(DISTINCT npi, '|' ORDER BY npi) items FROM org_npis GROUP BY ALL
- UNION ALL SELECT ao_last, ao_first, 'states', 0, STRING_AGG(DISTINCT state, '|' ORDER BY state) FROM org_npis GROUP BY ALL
- UNION ALL SELECT ao_last, ao_first, 'org_names', 0, STRING_AGG(org_name, '|' ORDER BY npi) FROM org_npis GROUP BY ALL
- UNION ALL SELECT ao_last, ao_first, 'cities', 0, STRING_AGG(DISTINCT city, '|' ORDER BY city) FROM (SELECT ao_last, ao_first, UPPER(TRIM(city)) city FROM org_npis) GROUP BY ALL""")
+@query("a15_network_lists", """SELECT DISTINCT ao_last, ao_first, 'npi_list' list, npi item FROM org_npis
+ UNION ALL SELECT DISTINCT ao_last, ao_first, 'states', state FROM org_npis WHERE state IS NOT NULL
+ UNION ALL SELECT ao_last, ao_first, 'org_names', org_name FROM org_npis WHERE org_name IS NOT NULL
+ UNION ALL SELECT DISTINCT ao_last, ao_first, 'cities', UPPER(TRIM(city)) FROM org_npis WHERE city IS NOT NULL""")
 def _(t):
     return N.network_lists(t.orgs)
 

@@ -75,8 +75,8 @@ def _(t):
 
 @query("m5_dollar_weight", f"""WITH {FEATURES}, given AS (SELECT billing_npi, total_paid, max_peer_zscore if_anomaly_score,
   max_peer_zscore * total_paid dollar_weighted_score FROM features)
- SELECT billing_npi, {r('dollar_weighted_score', 3)} dollar_weighted_score, CAST(FLOOR(RANK() OVER (ORDER BY dollar_weighted_score DESC)
-  + (COUNT(*) OVER (PARTITION BY dollar_weighted_score) - 1) / 2.0) AS BIGINT) dollar_rank FROM given""", digits=3)
+ SELECT billing_npi, {r('dollar_weighted_score', 3)} dollar_weighted_score, CAST(FLOOR(RANK() OVER (ORDER BY ROUND(dollar_weighted_score, 2) DESC)
+  + (COUNT(*) OVER (PARTITION BY ROUND(dollar_weighted_score, 2)) - 1) / 2.0) AS BIGINT) dollar_rank FROM given""", digits=3)
 def _(t):
     # The score under test is given: SQL has no forest.
     scored = stages.features(t).select("billing_npi", "total_paid", F.col("max_peer_zscore").alias("if_anomaly_score"))
@@ -173,6 +173,17 @@ def _(t):
     return P.feature_contributions(stages.baseline(t), "zscore_rank", 20, 5)
 
 
+@query("a23_zscore_distribution", f"""WITH {BASELINE}, c AS (SELECT zscore_count, COUNT(*) n FROM ranked GROUP BY 1)
+SELECT zscore_count, n, {r('100.0 * n / (SELECT SUM(n) FROM c)')} pct, CAST(SUM(n) OVER (ORDER BY zscore_count DESC) AS BIGINT) n_at_least FROM c""")
+def _(t):
+    return P.zscore_distribution(stages.baseline(t))
+
+
+@query("a23_entity_counts", f"WITH {FEATURES} SELECT entity_type, COUNT(*) n, {r('100.0 * COUNT(*) / (SELECT COUNT(*) FROM features)')} pct FROM features WHERE entity_type IS NOT NULL GROUP BY 1")
+def _(t):
+    return P.entity_counts(stages.features(t))
+
+
 @query("a44_deactivated_summary", f"""WITH {FEATURES} SELECT COUNT(*) FILTER (is_deactivated = 1) num_deactivated,
  {r('SUM(total_paid) FILTER (is_deactivated = 1)')} total_paid, COUNT(*) FILTER (is_deactivated = 1 AND was_reactivated = 1) also_reactivated FROM features""")
 def _(t):

@@ -93,6 +93,20 @@ def _(t):
     return NET.tier_table(layer.individual, layer.scored, [3, 4])
 
 
+@query("r21_tier_table_sure", f"WITH {RISK}, {BEST} SELECT {BEST_LIST} WHERE tier IN (1, 2) ORDER BY risk.total_spending DESC, ao_last, ao_first LIMIT 10")
+def _(t):
+    layer = stages.layer3(t)
+    return NET.tier_table(layer.individual, layer.scored, [1, 2])
+
+
+@query("r21_section_totals", f"""WITH {RISK} SELECT COUNT(*) FILTER (num_states >= 2) num_multi_state, COUNT(*) FILTER (num_deactivated > 0 AND npi_count > num_deactivated) num_cycling,
+ COUNT(*) FILTER (same_address_count >= 2 AND npi_count >= 2) num_clustered, COUNT(*) FILTER (has_hh_taxonomy = 1 AND num_states >= 2) num_cohort_multi_state,
+ (SELECT COUNT(*) FROM org_matches) num_org_matches, (SELECT COUNT(DISTINCT npi) FROM org_matches) num_matched_orgs, (SELECT COUNT(*) FROM gone) num_deactivated_matches FROM risk""")
+def _(t):
+    layer = stages.layer3(t)
+    return NET.section_totals(layer.scored, layer.organisation, layer.deactivated, min_states=2, cluster=2)
+
+
 @query("r21_organisation_matches", f"WITH {RISK} SELECT npi, leie_busname, org_name, state, match_type FROM org_matches ORDER BY npi LIMIT 20")
 def _(t):
     return NET.organisation_matches(stages.layer3(t).organisation)
@@ -127,8 +141,8 @@ def _org_cohort(t):
 
 
 @query("r21_cohort_multi_state", f"""WITH {HH_CLAIMS}, {cohort_sql("hh", "c_")}, {RISK}, best AS (SELECT * FROM risk WHERE has_hh_taxonomy = 1 AND num_states >= 2 ORDER BY total_spending DESC, ao_last, ao_first LIMIT 20),
-ranks AS (SELECT f.ao_last, f.ao_first, STRING_AGG(CAST(c.hh_risk_rank AS STRING), '|' ORDER BY c.hh_risk_rank) hh_ranks FROM flagged f JOIN c_cohort c ON f.npi = 'C' || c.billing_npi WHERE f.is_hh = 1 GROUP BY ALL)
-SELECT ao_last, ao_first, npi_count, num_states, num_hh, {r('best.total_spending')} total_spending, CASE WHEN hh_ranks IS NOT NULL THEN 0 END chunk, hh_ranks FROM best LEFT JOIN ranks USING (ao_last, ao_first)""")
+ranks AS (SELECT f.ao_last, f.ao_first, COUNT(*) num_ranked, ARRAY_TO_STRING(LIST(c.hh_risk_rank ORDER BY c.hh_risk_rank)[1:10], '|') hh_ranks FROM flagged f JOIN c_cohort c ON f.npi = 'C' || c.billing_npi WHERE f.is_hh = 1 GROUP BY ALL)
+SELECT ao_last, ao_first, npi_count, num_states, num_hh, {r('best.total_spending')} total_spending, num_ranked, hh_ranks FROM best LEFT JOIN ranks USING (ao_last, ao_first)""")
 def _(t):
     return NET.cohort_multi_state(stages.layer3(t).scored, t.orgs, _org_cohort(t))
 

@@ -1,7 +1,7 @@
 """Organisations grouped by their authorized official.
 
 An official may control very many organisations, so ids, states and cities stay in long tables with one row per
-(official, value); matching joins to those. Arrays are only built in pieces, by ``network_lists``.
+(official, value); matching joins to those. lists stay long tables.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.columns import address_key, clean, count_of, flag, in_cohort, is_blank, ratio
-from claimscope.operators.scale import chunked_lists, spread_join
+from claimscope.operators.scale import spread_join
 from claimscope.operators.sets import with_scalars
 
 OFFICIAL = ["ao_last", "ao_first"]
@@ -98,22 +98,14 @@ def network_cities(orgs: DataFrame) -> DataFrame:
 
 
 def network_lists(orgs: DataFrame) -> DataFrame:
-    """Ids, states, names and cities per official as sorted arrays: (official, list, chunk, items).
-
-    A list longer than a thousand items comes in several chunks.
-    """
-    names = named(orgs).select(*OFFICIAL, "npi", "org_name")
+    """Ids, states, names and cities per official in long form: (official, list, item); a name per organisation, the rest once."""
+    names = named(orgs).where(F.col("org_name").isNotNull()).select(*OFFICIAL, "org_name")
     lists = {
-        "npi_list": chunked_lists(network_members(orgs), OFFICIAL, "npi"),
-        "states": chunked_lists(network_states(orgs), OFFICIAL, "state"),
-        "org_names": chunked_lists(names, OFFICIAL, "org_name", order=["npi"]),
-        "cities": chunked_lists(network_cities(orgs), OFFICIAL, "city"),
+        "npi_list": network_members(orgs).where(F.col("npi").isNotNull()), "states": network_states(orgs), "org_names": names,
+        "cities": network_cities(orgs).where(F.col("city").isNotNull()),
     }
-    result = None
-    for name, frame in lists.items():
-        frame = frame.withColumn("list", F.lit(name))
-        result = frame if result is None else result.unionByName(frame)
-    return result
+    parts = [frame.toDF(*OFFICIAL, "item").withColumn("list", F.lit(name)) for name, frame in lists.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).select(*OFFICIAL, "list", "item")
 
 
 def multi_member(networks: DataFrame, k: int = 2) -> DataFrame:
@@ -172,8 +164,9 @@ def name_frequency(persons: DataFrame) -> DataFrame:
 
 
 def exposure_by_official(exposure: DataFrame, members: DataFrame) -> DataFrame:
-    """Spending per official over the organisations that bill. An organisation has one official."""
-    return exposure.withColumnRenamed("billing_npi", "npi").join(members, "npi").groupBy(*OFFICIAL).agg(
+    """Spending per official over the organisations that bill. An organisation counts for one official: the first by name."""
+    owners = members.groupBy("npi").agg(F.min(F.struct(*OFFICIAL)).alias("owner")).select("npi", "owner.*")
+    return exposure.withColumnRenamed("billing_npi", "npi").join(owners, "npi").groupBy(*OFFICIAL).agg(
         F.sum("total_paid").alias("total_spending"),
         F.sum("total_claims").alias("total_claims"),
         F.count("npi").alias("npis_with_spending"),

@@ -45,12 +45,18 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def cardinality(df: DataFrame) -> DataFrame:
-    """Per column: number of distinct non-null values."""
-    as_text = df.select(*[F.col(name).cast("string").alias(name) for name in df.columns])
-    return (
-        as_text.unpivot([], df.columns, "column", "value").where(F.col("value").isNotNull()).distinct()
-        .groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
-    )
+    """Per column: number of distinct non-null values, compared as values of their type (0.0 equals -0.0)."""
+    kinds: dict[str, list[str]] = {}
+    for name, kind in df.dtypes:
+        kinds.setdefault(kind, []).append(name)
+    parts = []
+    for names in kinds.values():
+        long = df.select(*names).unpivot([], names, "column", "value").where(F.col("value").isNotNull())
+        parts.append(long.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
 
 
 def length_histogram(df: DataFrame, col: str) -> DataFrame:

@@ -25,9 +25,9 @@ def weighted(weights: Mapping[str, float], suffix: str = "") -> Column:
 
 
 def dollar_weight(scores: DataFrame) -> DataFrame:
-    """Anomaly score times payments, and its rank."""
+    """Anomaly score times payments, and its rank. Amounts that are equal to the cent tie."""
     weighted_scores = scores.withColumn("dollar_weighted_score", F.col("if_anomaly_score") * F.col("total_paid"))
-    return global_rank(weighted_scores, "dollar_weighted_score", "average_floor", "dollar_rank", spread_by=["billing_npi"])
+    return global_rank(weighted_scores, "dollar_weighted_score", "average_floor", "dollar_rank", digits=2, spread_by=["billing_npi"])
 
 
 def cohort_risk(features: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 * ``lookup_join`` / ``spread_join``: join to a smaller table without sending a hot key to one task.
 * ``ordered_counts`` / ``exact_quantiles``: exact positions in a sorted order, without a one-task window.
-* ``chunked_lists``: lists per key in pieces of bounded length.
+* ``summed_for``: sums restricted to listed ids, without shuffling unsummed rows by id.
 
 They run small jobs while they build their plan; what the driver gets is bounded by the constants below, not by the data.
 """
@@ -23,7 +23,6 @@ MAX_BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 64
 HOT_ROWS = 100_000
 SALTS = 64
-CHUNK = 1000
 # Up to this many distinct values, counted beforehand, one task orders them.
 ONE_TASK_VALUES = 100_000
 
@@ -178,28 +177,3 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float],
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         results.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return found.select(*([group] if group else []), *results)
-
-
-def chunked_lists(
-    df: DataFrame, keys: Sequence[str], item: str, order: Sequence[str] | None = None, size: int = CHUNK,
-) -> DataFrame:
-    """Items per key as sorted arrays of about ``size`` at most: (keys, chunk, items); nulls are left out.
-
-    A key with up to ``size`` items has chunk 0 alone. A longer list is divided by a hash of the item and its order
-    columns, so that no task and no row holds it whole.
-    """
-    keys = list(keys)
-    carried = list(dict.fromkeys([*(order or []), item]))
-    rows = df.where(F.col(item).isNotNull()).select(*keys, *carried)
-    lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    long_ones = lengths.where(F.col("n") > size).select(*keys, F.ceil(F.col("n") / size).cast("int").alias("_chunks"))
-    if long_ones.isEmpty():
-        pieces = rows.withColumn("chunk", F.lit(0))
-    else:
-        chunk = F.pmod(F.xxhash64(*carried), F.coalesce("_chunks", F.lit(1))).cast("int")
-        pieces = lookup_join(rows, long_ones, keys, "left", spread_by=carried).withColumn("chunk", chunk)
-    return (
-        pieces.groupBy(*keys, "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct(*carried))).alias("items"))
-        .withColumn("items", F.transform("items", lambda entry: entry[item]))
-    )

@@ -15,12 +15,14 @@ from claimscope.operators import matching as M
 from claimscope.operators import networks as N
 from claimscope.operators import ranking, risk, sets
 from claimscope.operators.networks import OFFICIAL, Networks
-from claimscope.operators.scale import chunked_lists
 from claimscope.session import cut
 
 
 def build_networks(orgs: DataFrame) -> Networks:
-    """Networks of flagged organisations. Counts, members and states are written once; the matching steps read them."""
+    """Networks of flagged organisations. Used columns, counts, members and states are written once; later steps read them."""
+    used = ["ao_last", "ao_first", "ao_middle", "ao_phone", "npi", "state", "city", "address_line1", "zip5"]
+    flags = ["is_deactivated", "is_reactivated", "is_hh", "is_subpart_flag"]
+    orgs = cut(N.named(orgs).select(*used, *flags))  # the pruned rows are read several times, the registry once
     networks = N.build_networks(orgs, cut(N.all_officials(orgs)))
     return replace(networks, members=cut(networks.members), states=cut(networks.states))
 
@@ -156,9 +158,9 @@ def clustered_addresses(scored: DataFrame, k: int = 3, n: int = 20) -> DataFrame
 
 
 def cohort_multi_state(
-    scored: DataFrame, orgs: DataFrame, cohort: DataFrame | None = None, min_states: int = 2, n: int = 20,
+    scored: DataFrame, orgs: DataFrame, cohort: DataFrame | None = None, min_states: int = 2, n: int = 20, show: int = 10,
 ) -> DataFrame:
-    """Officials with home-health organisations in several states; with cohort scores, also the ranks, in list chunks."""
+    """Officials with home-health organisations in several states; with cohort scores, also how many are ranked and the first ranks."""
     wide = scored.where((F.col("has_hh_taxonomy") == 1) & (F.col("num_states") >= min_states))
     top = ranking.top_k(wide, "total_spending", n, OFFICIAL, desc=True).select(
         *OFFICIAL, "npi_count", "num_states", "num_hh", "total_spending"
@@ -169,10 +171,28 @@ def cohort_multi_state(
     ranked = theirs.select(*OFFICIAL, F.col("npi").alias("billing_npi")).join(
         cohort.select("billing_npi", "hh_risk_rank"), "billing_npi"
     )
-    return top.join(chunked_lists(ranked, OFFICIAL, "hh_risk_rank").withColumnRenamed("items", "hh_ranks"), OFFICIAL, "left")
+    counted = top.join(ranked.groupBy(*OFFICIAL).agg(F.count(F.lit(1)).alias("num_ranked")), OFFICIAL, "left")
+    return with_lists(counted, ranked, "hh_risk_rank", "hh_ranks", show)
 
 
 def top_spending(scored: DataFrame, n: int = 10) -> DataFrame:
     return ranking.top_k(scored, "total_spending", n, OFFICIAL, desc=True).select(
         *OFFICIAL, "total_spending", "npi_count", "num_states", "risk_rank"
     )
+
+
+def section_totals(
+    scored: DataFrame, organisation: DataFrame, deactivated: DataFrame, min_states: int = 3, cluster: int = 3, cohort_states: int = 2,
+) -> DataFrame:
+    """One row: how many officials each section of the report is about, and how many matches there are."""
+    counts = {
+        "num_multi_state": F.col("num_states") >= min_states,
+        "num_cycling": (F.col("num_deactivated") > 0) & (F.col("npi_count") > F.col("num_deactivated")),
+        "num_clustered": (F.col("same_address_count") >= cluster) & (F.col("npi_count") >= cluster),
+        "num_cohort_multi_state": (F.col("has_hh_taxonomy") == 1) & (F.col("num_states") >= cohort_states),
+    }
+    return scored.agg(*[F.count_if(condition).alias(name) for name, condition in counts.items()]).select(
+        "*", organisation.agg(F.count(F.lit(1))).scalar().alias("num_org_matches"),
+        organisation.agg(F.count_distinct("npi")).scalar().alias("num_matched_orgs"),
+        deactivated.agg(F.count(F.lit(1))).scalar().alias("num_deactivated_matches"),
+    )

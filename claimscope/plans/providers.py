@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions.columns import age_years, count_of, multiple_of_100, prefix, ratio, whole_dollars
@@ -99,6 +99,17 @@ def score_quantiles(scores: DataFrame, column: str = "if_anomaly_score") -> Data
     return profile.numeric_profile(scores, [column], probabilities)
 
 
+def zscore_distribution(scores: DataFrame) -> DataFrame:
+    """Providers per number of extreme features, their share, and how many have at least as many."""
+    counts = profile.frequency(scores, "zscore_count")
+    upwards = Window.orderBy(F.desc("zscore_count")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most 22 rows
+    return counts.withColumn("n_at_least", F.sum("n").over(upwards))
+
+
+def entity_counts(features: DataFrame) -> DataFrame:
+    return profile.frequency(features, "entity_type")
+
+
 def top_anomalies(scores: DataFrame, by: str = "if_rank", k: int = 50) -> DataFrame:
     """The k providers of the best rank in ``if_rank``, ``zscore_rank`` or ``dollar_rank``."""
     columns = [

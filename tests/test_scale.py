@@ -97,15 +97,6 @@ def test_exact_quantiles(skewed, forced):
         assert np.allclose([row[name] for name in probabilities], expected)
 
 
-def test_chunked_lists_keep_everything(skewed, forced):
-    frame, df = skewed
-    rows = scale.chunked_lists(df, ["key"], "id", size=50).collect()
-    assert max(len(row["items"]) for row in rows if row["key"] == "hot") < 100
-    assert all(list(row["items"]) == sorted(row["items"]) for row in rows)
-    for key, ids in frame.groupby("key")["id"]:
-        assert sorted(x for row in rows if row["key"] == key for x in row["items"]) == sorted(ids)
-
-
 def test_keep_first_prunes_before_the_shuffle(skewed):
     _, df = skewed
     kept = ranking.keep_first(df, ["key"], [F.desc("value"), "id"])
