@@ -250,38 +250,60 @@ def _(t):
     return P.coverage(t.claims, stages.baseline(t), "zscore_rank", 50)
 
 
-@query("r1_profile_claims", "SELECT 'code_lengths' part, CAST(LENGTH(hcpcs_code) AS STRING) item, CAST(COUNT(*) AS DOUBLE) value FROM claims GROUP BY 2"
-       " UNION ALL SELECT 'billing_lengths', CAST(LENGTH(billing_npi) AS STRING), COUNT(*) FROM claims GROUP BY 2"
-       " UNION ALL SELECT 'servicing_lengths', CAST(LENGTH(servicing_npi) AS STRING), COUNT(*) FROM claims GROUP BY 2"
-       " UNION ALL (SELECT 'top_codes', hcpcs_code, COUNT(*) n FROM claims GROUP BY 2 ORDER BY n DESC, 2 LIMIT 20)"
-       " UNION ALL (SELECT 'top_providers', billing_npi, COUNT(*) n FROM claims GROUP BY 2 ORDER BY n DESC, 2 LIMIT 10)"
-       f" UNION ALL SELECT 'numbers', 'total_paid', {r('QUANTILE_CONT(total_paid, 0.5)')} FROM claims"
-       " UNION ALL SELECT 'numbers', 'total_claims', QUANTILE_CONT(total_claims, 0.5) FROM claims"
-       " UNION ALL SELECT 'numbers', 'total_unique_beneficiaries', QUANTILE_CONT(total_unique_beneficiaries, 0.5) FROM claims"
-       " UNION ALL SELECT 'cardinality', 'hcpcs_code', COUNT(DISTINCT hcpcs_code) FROM claims"
-       " UNION ALL SELECT 'nulls', 'total_paid', COUNT(*) FILTER (total_paid IS NULL) FROM claims"
-       " UNION ALL SELECT 'dates', 'unparseable', 0"
-       " UNION ALL SELECT 'same_npi', 'n', COUNT(*) FILTER (billing_npi = servicing_npi) FROM claims"
-       " UNION ALL SELECT 'whole_dollars', 'n', COUNT(*) FILTER (total_paid = ROUND(total_paid, 0)) FROM claims"
-       " UNION ALL SELECT 'multiples_of_100', 'n', COUNT(*) FILTER (total_paid % 100 = 0) FROM claims")
+CLAIM_COLUMNS = ["billing_npi", "servicing_npi", "hcpcs_code", "claim_from_month", "total_unique_beneficiaries", "total_claims", "total_paid"]
+CLAIM_NUMBERS = CLAIM_COLUMNS[4:]
+PROFILE_PARTS = [
+    "SELECT 'code_lengths' part, CAST(LENGTH(hcpcs_code) AS STRING) item, CAST(COUNT(*) AS DOUBLE) value FROM claims GROUP BY 2",
+    "SELECT 'billing_lengths', CAST(LENGTH(billing_npi) AS STRING), COUNT(*) FROM claims GROUP BY 2",
+    "SELECT 'servicing_lengths', CAST(LENGTH(servicing_npi) AS STRING), COUNT(*) FROM claims GROUP BY 2",
+    *[f"(SELECT 'top_{kind}', {column}, COUNT(*) n FROM claims GROUP BY 2 ORDER BY n DESC, 2 LIMIT {n})"
+      for kind, column, n in (("codes", "hcpcs_code", 20), ("providers", "billing_npi", 10))],
+    *[f"(SELECT 'top_{kind}_pct', {column}, {r('100.0 * COUNT(*) / (SELECT COUNT(*) FROM claims)')} FROM claims GROUP BY 2 ORDER BY COUNT(*) DESC, 2 LIMIT {n})"
+      for kind, column, n in (("codes", "hcpcs_code", 20), ("providers", "billing_npi", 10))],
+    *[f"SELECT 'numbers', '{c} {name}', {r(sql.format(c=c))} FROM claims" for c in CLAIM_NUMBERS for name, sql in {
+        "min": "MIN({c})", "max": "MAX({c})", "mean": "AVG({c})", "std": "STDDEV_SAMP({c})",
+        **{f"p{q}": f"QUANTILE_CONT(CAST({{c}} AS DOUBLE), {q / 100})" for q in (25, 50, 75, 95, 99)},
+    }.items()],
+    *[f"SELECT 'cardinality', '{c}', COUNT(DISTINCT {c}) FROM claims" for c in CLAIM_COLUMNS],
+    *[f"SELECT 'nulls', '{c}', COUNT(*) FILTER ({c} IS NULL) FROM claims" for c in CLAIM_COLUMNS],
+    "SELECT 'dates', 'unparseable', COUNT(*) FILTER (TRY_CAST(claim_from_month AS DATE) IS NULL) FROM claims",
+    "SELECT 'dates', 'first', DATE_DIFF('day', DATE '1970-01-01', MIN(claim_from_month)) FROM claims",
+    "SELECT 'dates', 'last', DATE_DIFF('day', DATE '1970-01-01', MAX(claim_from_month)) FROM claims",
+    *[f"SELECT '{name}', '{what}', {r(sql)} FROM claims" for name, condition in {
+        "same_npi": "billing_npi = servicing_npi", "whole_dollars": "total_paid = ROUND(total_paid, 0)", "multiples_of_100": "total_paid % 100 = 0",
+    }.items() for what, sql in {"n": f"COUNT(*) FILTER ({condition})", "pct": f"100.0 * COUNT(*) FILTER ({condition}) / COUNT(*)"}.items()],
+    "SELECT 'head', 'rows', LEAST(5, COUNT(*)) FROM claims",
+]
+
+
+@query("r1_profile_claims", " UNION ALL ".join(PROFILE_PARTS))
 def _(t):
     parts = P.profile_claims(t.claims)
-    shape = {
-        "code_lengths": ("length", "n"), "billing_lengths": ("length", "n"), "servicing_lengths": ("length", "n"),
-        "top_codes": ("hcpcs_code", "n"), "top_providers": ("billing_npi", "n"), "numbers": ("column", "p50"),
-    }
-    one = {
-        "cardinality": parts["cardinality"].where(F.col("column") == "hcpcs_code").select("column", "distinct_values"),
-        "nulls": parts["nulls"].where(F.col("column") == "total_paid").select("column", "null_count"),
-        "dates": parts["dates"].select(F.lit("unparseable"), "unparseable"),
-        **{name: parts[name].select(F.lit("n"), "n") for name in ("same_npi", "whole_dollars", "multiples_of_100")},
-    }
-    frames = [(name, parts[name].select(*names)) for name, names in shape.items()] + list(one.items())
-    result = None
-    for name, frame in frames:
-        item, value = frame.columns
-        frame = frame.toDF("item", "value").select(F.lit(name).alias("part"), F.col("item").cast("string"), F.col("value").cast("double"))
-        result = frame if result is None else result.unionByName(frame)
+
+    def long(name, columns):
+        """Statistics of a part as rows; a part with one statistic names only the item."""
+        frame = parts[name]
+        item = F.col("column") if "column" in frame.columns else None
+        stats = [F.struct((F.lit(c) if item is None else F.concat(item, F.lit(" " + c))).alias("item"), F.col(c).cast("double").alias("value")) for c in columns]
+        return frame.select(F.lit(name).alias("part"), F.inline(F.array(*stats)))
+
+    def pairs(name, item, value, part=None):
+        return parts[name].select(F.lit(part or name).alias("part"), F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("value"))
+
+    day = lambda name: F.datediff(name, F.lit("1970-01-01").cast("date")).alias(name)
+    parts["dates"] = parts["dates"].select("unparseable", day("first"), day("last"))
+    frames = [
+        pairs("code_lengths", "length", "n"), pairs("billing_lengths", "length", "n"), pairs("servicing_lengths", "length", "n"),
+        pairs("top_codes", "hcpcs_code", "n"), pairs("top_providers", "billing_npi", "n"),
+        pairs("top_codes", "hcpcs_code", "pct", "top_codes_pct"), pairs("top_providers", "billing_npi", "pct", "top_providers_pct"),
+        long("numbers", ["min", "max", "mean", "std", "p25", "p50", "p75", "p95", "p99"]),
+        pairs("cardinality", "column", "distinct_values"), pairs("nulls", "column", "null_count"), long("dates", ["unparseable", "first", "last"]),
+        *[long(name, ["n", "pct"]) for name in ("same_npi", "whole_dollars", "multiples_of_100")],
+        parts["head"].agg(F.lit("head").alias("part"), F.lit("rows").alias("item"), F.count(F.lit(1)).cast("double").alias("value")),
+    ]
+    result = frames[0]
+    for frame in frames[1:]:
+        result = result.union(frame)
     return result
 
 

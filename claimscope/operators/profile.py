@@ -28,8 +28,47 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], probabilities: Mapping[s
     moments = _tall(doubles, {
         c: {"min": F.min(c), "max": F.max(c), "mean": F.avg(c), "std": F.stddev_samp(c)} for c in cols
     })
-    long = doubles.unpivot([], list(cols), "column", "value")
-    return moments.join(exact_quantiles(long, "value", dict(probabilities), group="column"), "column", "left")
+    return moments.join(numeric_quantiles(df, cols, probabilities), "column", "left")
+
+
+def numeric_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Mapping[str, float] = QUARTILES) -> DataFrame:
+    """Per column: exact quantiles, all columns in one pass."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
+    return exact_quantiles(long, "value", dict(probabilities), group="column")
+
+
+def one_pass(df: DataFrame, numbers: Sequence[str], dates: Sequence[str], rates: Mapping[str, Column]) -> DataFrame:
+    """One row from one pass: rows, nulls of every column, moments of numbers, range of dates, and rows for which conditions hold.
+
+    Columns: ``rows``, ``nulls`` / ``numbers`` / ``dates`` / ``rates`` as arrays of structs, in the shapes of the single profiles.
+    """
+    rows = F.count(F.lit(1))
+
+    def structs(parts: Mapping[str, Mapping[str, Column]]) -> Column:
+        return F.array(*[F.struct(F.lit(name).alias("column"), *[v.alias(k) for k, v in own.items()]) for name, own in parts.items()])
+
+    missing = {name: count_of(F.col(name).isNull()) for name in df.columns}
+    return df.agg(
+        rows.alias("rows"),
+        structs({
+            name: {"type": F.lit(kind), "null_count": missing[name], "null_pct": 100 * ratio(missing[name], rows)} for name, kind in df.dtypes
+        }).alias("nulls"),
+        structs({
+            name: {"min": F.min(value), "max": F.max(value), "mean": F.avg(value), "std": F.stddev_samp(value)}
+            for name in numbers for value in [F.col(name).cast("double")]
+        }).alias("numbers"),
+        structs({
+            name: {"first": F.min(value), "last": F.max(value), "unparseable": count_of(value.isNull())}
+            for name in dates for value in [F.col(name).try_cast("date")]
+        }).alias("dates"),
+        structs({name: {"n": count_of(condition), "total": rows, "pct": 100 * share_of(condition)} for name, condition in rates.items()}).alias("rates"),
+    )
+
+
+def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, n) for the non-null values of text columns, in one pass."""
+    long = df.select(*[F.col(name).cast("string").alias(name) for name in cols]).unpivot([], list(cols), "column", "value")
+    return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -27,21 +27,45 @@ FEATURE_COLUMNS = [
 ]
 
 
-def profile_claims(claims: DataFrame, top_codes: int = 20, top_providers: int = 10) -> dict[str, DataFrame]:
-    """Profile tables of the spending data, over all rows."""
+def profile_claims(claims: DataFrame, top_codes: int = 20, top_providers: int = 10, first_rows: int = 5) -> dict[str, DataFrame]:
+    """Profile tables of the spending data, over all rows, and its first rows.
+
+    The claims are read four times: once for all plain aggregates, once for the values of the identifiers, once for the
+    numbers' quantiles, and once for distinct numbers and months.
+    """
+    numbers, texts = ["total_unique_beneficiaries", "total_claims", "total_paid"], ["billing_npi", "servicing_npi", "hcpcs_code"]
+    conditions = {
+        "same_npi": F.col("billing_npi") == F.col("servicing_npi"), "whole_dollars": whole_dollars("total_paid"),
+        "multiples_of_100": multiple_of_100("total_paid"),
+    }
+    whole = cut(profile.one_pass(claims, numbers, ["claim_from_month"], conditions))
+    values = cut(profile.value_counts(claims, texts))
+    rates = whole.select(F.inline("rates"))
+    quantiles = profile.numeric_quantiles(claims, numbers)
+    rest = [name for name in claims.columns if name not in texts]
+
+    def lengths(name: str) -> DataFrame:
+        """Ids are counted per value already; nulls are one more length."""
+        known = values.where(F.col("column") == name).groupBy(F.length("value").alias("length")).agg(F.sum("n").alias("n"))
+        nulls = whole.select(F.inline("nulls")).where((F.col("column") == name) & (F.col("null_count") > 0))
+        return known.union(nulls.select(F.lit(None).cast("int"), F.col("null_count")))
+
+    def frequent(name: str, n: int) -> DataFrame:
+        top = values.where(F.col("column") == name).orderBy(F.desc("n"), "value").limit(n)
+        return top.select(F.col("value").alias(name), "n", (100 * ratio(F.col("n"), whole.select("rows").scalar())).alias("pct"))
+
     return {
-        "nulls": profile.null_profile(claims),
-        "billing_lengths": profile.length_histogram(claims, "billing_npi"),
-        "servicing_lengths": profile.length_histogram(claims, "servicing_npi"),
-        "code_lengths": profile.length_histogram(claims, "hcpcs_code"),
-        "dates": profile.date_profile(claims, "claim_from_month"),
-        "cardinality": profile.cardinality(claims),
-        "numbers": profile.numeric_profile(claims, ["total_unique_beneficiaries", "total_claims", "total_paid"]),
-        "same_npi": profile.rate_where(claims, F.col("billing_npi") == F.col("servicing_npi")),
-        "whole_dollars": profile.rate_where(claims, whole_dollars("total_paid")),
-        "multiples_of_100": profile.rate_where(claims, multiple_of_100("total_paid")),
-        "top_codes": profile.frequency(claims, "hcpcs_code", top_codes),
-        "top_providers": profile.frequency(claims, "billing_npi", top_providers),
+        "nulls": whole.select(F.inline("nulls")),
+        "billing_lengths": lengths("billing_npi"),
+        "servicing_lengths": lengths("servicing_npi"),
+        "code_lengths": lengths("hcpcs_code"),
+        "dates": whole.select(F.inline("dates")).drop("column"),
+        "cardinality": values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values")).union(profile.cardinality(claims.select(*rest))),
+        "numbers": whole.select(F.inline("numbers")).join(quantiles, "column", "left"),
+        **{name: rates.where(F.col("column") == name).drop("column") for name in conditions},
+        "top_codes": frequent("hcpcs_code", top_codes),
+        "top_providers": frequent("billing_npi", top_providers),
+        "head": claims.limit(first_rows),
     }
 
 
