@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as references
 import os.path
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -219,11 +220,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def aligned(own: pd.Series, other: pd.Series) -> pd.Series:
         return pd.Series([[] if b is None else shared_lines(a.tolist(), b.tolist()) for a, b in zip(own, other, strict=True)])
 
+    @F.pandas_udf("binary")
+    def packed(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda body: zlib.compress(body.encode("utf-8", "surrogatepass"), 1))
+
     @F.pandas_udf("struct<text:string,n_lines:int>")
     def text_of(bodies: pd.Series, shared: pd.Series) -> pd.DataFrame:
         found = []
         for body, places in zip(bodies, shared, strict=True):
-            lines = page_lines(body)
+            lines = page_lines(zlib.decompress(body).decode("utf-8", "surrogatepass"))
             found.append((main_text(lines, set() if places is None else set(places.tolist())), len(lines)))
         return pd.DataFrame(found, columns=["text", "n_lines"])
 
@@ -239,7 +244,9 @@ def extract(pages: DataFrame) -> DataFrame:
     pairs = pairs.join(bodies.select("host", F.col("content").alias("other"), F.col("lines").alias("beside")), ["host", "other"], "left")
     shared = pairs.select("host", "content", aligned("lines", "beside").alias("shared"))
     places = lined.select("host", "path", "key", "content").distinct().join(shared, ["host", "content"]).drop("content")
-    met = keyed.join(written(places), ["host", "path", "key"], "left")
+    # Pages are packed before they are shuffled; this is the only step that moves them.
+    moved = keyed.select("page_id", "url", "host", "path", "key", packed("html").alias("html"))
+    met = moved.join(written(places), ["host", "path", "key"], "left")
     return met.withColumn("found", text_of("html", "shared")).select(
         "page_id", "url", F.col("found.text").alias("text"), F.char_length("found.text").cast("bigint").alias("n_chars"),
         F.col("found.n_lines").alias("n_lines"), F.coalesce(F.size("shared"), F.lit(0)).alias("n_shared"),
