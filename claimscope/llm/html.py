@@ -61,12 +61,14 @@ def _attributes(text: str) -> dict[str, str]:
 
 def _marks(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
     """Whether an element starts noise, and whether it starts an article."""
-    words = set(re.split(r"[^a-z0-9]+", " ".join(attributes.get(k, "") for k in ("class", "id", "role"))))
+    names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split()
+    words = {word for name in names if not name.startswith(("has-", "no-", "with-", "without-")) for word in re.split("[^a-z0-9]+", name)}
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
     article = tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articlebody"
     head = (tag == "header" or bool(words & HEADER_WORDS)) and not in_article and not words & ARTICLE_WORDS
-    named = bool(words & NOISE_WORDS) and tag not in ("html", "body")
-    return hidden or tag in NOISE_TAGS or head or (named and not article), article
+    named = bool(words & NOISE_WORDS) and tag not in ("html", "body", "main")
+    noise = hidden or tag in NOISE_TAGS or head or named
+    return noise, article and not noise
 
 
 def page_lines(page: str | None) -> list[Line]:

@@ -44,6 +44,7 @@ def test_page_lines():
         ("x", False, True), ("y", False, True), ("Buy", True, True), ("me", True, True), ("nice", True, False), ("Go", True, False), ("p", False, False),
         ("q", False, False), ("tail", False, False), ("h", True, False),
     ]
+    assert lines("<body class='has-sidebar'><div class='no-ads page'>x</div><article class='comment'>y</article></body>") == [("x", False, False), ("y", True, False)]
     assert lines(None) == lines("") == lines("<p></p>") == lines("<script>x") == [] and lines("a < b & c &amp d") == [("a < b & c & d", False, False)]
 
 
