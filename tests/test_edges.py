@@ -13,8 +13,9 @@ from claimscope.functions.constants import CATEGORY_CODES, MODEL_FEATURES, PROFI
 from claimscope.operators import claims as C
 from claimscope.operators import matching as M
 from claimscope.operators import networks as N
-from claimscope.operators import peers, ranking, standardize
+from claimscope.operators import peers, profile, ranking, standardize
 from claimscope.operators.iforest import average_path, isolation_forest
+from claimscope.operators.risk import dollar_weight
 from claimscope.plans import cohort as HH
 from claimscope.plans import networks as NET
 from claimscope.plans import providers as P
@@ -323,3 +324,27 @@ def test_shared_folder(spark, tmp_path):
     (other / "stage-1").mkdir(parents=True)
     clean_up(spark, str(other))
     assert not other.exists()
+
+
+def test_cardinality_compares_values_of_their_type(spark):
+    df = spark.createDataFrame([(0.0, "a", 1), (-0.0, "a", 2), (1.0, None, 2), (None, "b", None)], "x double, y string, z int")
+    found = {r["column"]: r["distinct_values"] for r in profile.cardinality(df).collect()}
+    assert found == {"x": 2, "y": 2, "z": 2}
+
+
+def test_an_organisation_counts_for_one_official(spark):
+    exposure = spark.createDataFrame([("1", 10.0, 2)], "billing_npi string, total_paid double, total_claims bigint")
+    members = spark.createDataFrame([("B", "x", "1"), ("A", "y", "1")], "ao_last string, ao_first string, npi string")
+    rows = N.exposure_by_official(exposure, members).collect()
+    assert [(r["ao_last"], r["total_spending"], r["npis_with_spending"]) for r in rows] == [("A", 10.0, 1)]
+
+
+def test_long_lists_keep_one_shape(spark):
+    orgs = spark.createDataFrame([("L", "F", str(i), "S", "C", "name") for i in range(2500)], "ao_last string, ao_first string, npi string, state string, city string, org_name string")
+    counts = {r["list"]: r["count"] for r in N.network_lists(orgs).groupBy("list").count().collect()}
+    assert counts == {"npi_list": 2500, "states": 1, "org_names": 2500, "cities": 1}
+
+
+def test_amounts_tie_to_the_cent(spark):
+    scores = spark.createDataFrame([("a", 1.0, 1e8 + 0.001), ("b", 1.0, 1e8 - 0.001), ("c", 1.0, 5.0)], "billing_npi string, if_anomaly_score double, total_paid double")
+    assert {r["billing_npi"]: r["dollar_rank"] for r in dollar_weight(scores).collect()} == {"a": 1, "b": 1, "c": 3}
