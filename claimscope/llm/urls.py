@@ -17,9 +17,10 @@ BAD = "label=bad"
 
 @dataclass
 class Mining:
-    """What a rule needs in order to block: its share of the labelled URLs, and the share of bad ones among those it fits."""
+    """What a rule needs in order to block: its share and number of the labelled URLs, and the share of bad ones among those it fits."""
 
     support: float = 0.005
+    least_urls: int = 10
     confidence: float = 0.6
 
 
@@ -53,11 +54,17 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] = R
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: its scheme, host, domains, words of the host, parts of the path, and names in the query."""
+    """Distinct tokens of a URL: its scheme, host and parent domains, words before the domain, parts of the path, names in the query.
+
+    Tokens that always come together would only multiply the combinations: top-level domains and words of the last two
+    labels are in the domains already.
+    """
     host, path = url_host(url), url_path(url)
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    words = F.transform(F.filter(F.split(host, r"[.\-_]"), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1))
+    parents = F.transform(starts, lambda i: F.concat(F.lit("domain="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    front = F.array_join(F.slice(labels, 1, F.greatest(F.lit(0), F.size(labels) - 2)), ".")
+    words = F.transform(F.filter(F.split(front, r"[.\-_]"), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x))
     parts = F.transform(F.filter(F.split(ascii_lower(path), r"[/\-_.]"), lambda x: (x != "") & ~x.rlike("^[0-9]+$")), lambda x: F.concat(F.lit("path="), x))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("query="), F.regexp_extract(x, "^([^=]*)", 1)))
@@ -74,9 +81,10 @@ def mine_rules(labelled: DataFrame, mining: Mining | None = None) -> DataFrame:
     m = mining or Mining()
     baskets = labelled.where(F.col("bad").isNotNull()).select(F.when(F.col("bad"), F.array_append(tokens(F.col("url")), BAD)).otherwise(tokens(F.col("url"))).alias("items"))
     baskets = written(baskets)
-    if baskets.isEmpty():
+    n = baskets.count()
+    if not n:
         return labelled.sparkSession.createDataFrame([], "rule_id bigint, token string, size int, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=m.support, minConfidence=m.confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(m.support, m.least_urls / n)), minConfidence=m.confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
     rules = written(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").withColumn("rule_id", F.xxhash64("tokens")))
     return _general(rules).select("rule_id", F.explode("tokens").alias("token"), F.size("tokens").alias("size"), "confidence", "support")
