@@ -145,9 +145,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     if not broken.isEmpty():
         complete = complete.union(_joined(spark, path, placed, reached, broken).select(*fields))
     records = written(complete)
-    responses = records.where("record_type = 'response'").select(
+    # Written first, so that Spark can split the side of the revisits where very many refer to one response.
+    responses = written(records.where("record_type = 'response'").select(
         F.col("page_id").alias("id"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")
-    ).dropDuplicates(["id"])
+    ).dropDuplicates(["id"]))
     revisit = F.col("record_type") == "revisit"
     met = records.join(responses, revisit & (F.col("refers_to") == F.col("id")), "left")
     digest = F.when(revisit, F.col("d")).otherwise(F.col("payload_digest"))
