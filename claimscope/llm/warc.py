@@ -93,9 +93,9 @@ def _parsed(pieces: DataFrame) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Text between magic lines, read in parts of files; ``seq`` orders the pieces of a part."""
+    """Text between magic lines, read in parts of files; ``file`` is a hash of its path, ``seq`` orders the pieces of a part."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+        "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
         F.monotonically_increasing_id().alias("seq"), F.xxhash64("value").alias("piece"), F.octet_length("value").cast("bigint").alias("bytes"),
     )
 

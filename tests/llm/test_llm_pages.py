@@ -119,7 +119,7 @@ def test_archive_of_no_pages(spark):
 
 def test_chain_reaches_only_what_the_start_points_at(spark):
     rows = [("f", 0, 0, 10), ("f", 0, 4, 20), ("f", 0, 10, 20), ("f", 5, 20, 35), ("f", 5, 27, 35), ("f", 5, 35, 50), ("f", 9, 41, 99), ("g", 0, 3, 7), ("g", 0, 7, 9)]
-    frame = spark.createDataFrame(rows, "file string, part bigint, at bigint, next bigint")
+    frame = spark.createDataFrame(rows, "file string, part bigint, at bigint, next bigint")  # files by any key
     assert {tuple(r) for r in warc._reached(frame).collect()} == {("f", 0), ("f", 10), ("f", 20), ("f", 35)}
 
 
