@@ -181,7 +181,9 @@ def groups(prints: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
     lowest = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     member = components(fingerprint_links(lowest, radius, lanes)).withColumnRenamed("node", "fp")
     rooted = lowest.join(member, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    # Written first, so that Spark can split the other side where one component has very many fingerprints.
+    ids = written(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
+    return rooted.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: int = 1) -> DataFrame:
