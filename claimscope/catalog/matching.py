@@ -119,6 +119,11 @@ def _(t):
     return N.name_frequency(N.individuals(t.individuals))
 
 
+@query("a19_name_totals", f"WITH {FREQ} SELECT COUNT(*) num_names, CAST(SUM(name_freq_count) AS BIGINT) num_persons FROM freq")
+def _(t):
+    return N.name_totals(N.name_frequency(N.individuals(t.individuals)))
+
+
 @query("a18_exposure_by_official", f"WITH {TABLES}, {EXPOSURE}, {SPENT} SELECT ao_last, ao_first, {r('total_spending')} total_spending, total_claims, npis_with_spending FROM spent")
 def _(t):
     nets = stages.networks(t)

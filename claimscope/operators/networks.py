@@ -189,6 +189,11 @@ def burn_and_churn(networks: DataFrame) -> DataFrame:
     ).withColumn("num_active", F.col("npi_count") - F.col("num_deactivated"))
 
 
+def name_totals(frequency: DataFrame) -> DataFrame:
+    """One row: how many different names persons have, and how many persons there are, from ``name_frequency``."""
+    return frequency.agg(F.count(F.lit(1)).alias("num_names"), F.sum("name_freq_count").alias("num_persons"))
+
+
 def common_names(matches: DataFrame, k: int = 10) -> DataFrame:
     """Officials with k or more distinct deactivated persons of their name."""
     return matches.groupBy(*OFFICIAL).agg(
