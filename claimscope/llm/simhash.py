@@ -1,4 +1,7 @@
-"""SimHash near-duplicates: fingerprints compared exactly, tile against tile, with exclusive-or and bit counts."""
+"""SimHash near-duplicates: fingerprints compared exactly, tile against tile, with exclusive-or and bit counts.
+
+Where the similarity of shingles decides, fingerprints only find the candidates; each is verified by its sets of shingles.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +21,7 @@ SIDE = 16_384  # fingerprints in a block; two blocks are one task's work
 TILE = 512  # fingerprints in a tile
 CHUNK = 1 << 17  # words of a text whose bits are counted at once
 LINKS = 1 << 21  # links that a task holds before it reduces them to a forest
+MINIMA = 4  # smallest hashes of a text, by different hash functions, by which near copies meet first
 _ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
 
@@ -57,6 +61,32 @@ def with_fingerprint(docs: DataFrame, text: str, name: str, shingle: int = 3, la
     return docs.withColumn(name, of(F.coalesce(F.col(text), F.lit(""))))
 
 
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of all word shingles, in order; a text with fewer words than a shingle is one, no words give none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    size = min(shingle, len(words))
+    grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(gram, SEED) for gram in grams), np.uint64))
+
+
+def _sketch(text: str | None, shingle: int, lanes: int) -> tuple[bytes, bytes, int, list[int]]:
+    """Name and fingerprint of a text's set of shingles, its size, and its smallest hash by each of some hash functions."""
+    grams = shingles(text, shingle)
+    name = xxhash.xxh3_128_digest(grams.tobytes())
+    if not len(grams):
+        return name, bytes(8 * lanes), 0, []
+    ones = np.zeros((lanes, 64), np.int64)
+    for start in range(0, len(grams), CHUNK):
+        part = grams[start : start + CHUNK]
+        for lane in range(lanes):
+            bits = (_mixed(part, lane) if lane else part).astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones[lane] += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+    lowest = [int(_mixed(grams, lanes + k).min().view(np.int64)) for k in range(MINIMA)]
+    return name, np.packbits(2 * ones > len(grams)).tobytes(), len(grams), lowest
+
+
 def _forest(size: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links with the same components: from each node to the smallest one of its component."""
     label = np.arange(size)
@@ -122,18 +152,58 @@ def _compare(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[n
     return _forest(size, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
 
-def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
+def _sizes(rows: np.ndarray) -> np.ndarray:
+    return rows[:, -1].byteswap().astype(np.int64)
+
+
+def _pairs_apart(left: np.ndarray, right: np.ndarray | None, radius: int, lanes: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within the radius, of sizes that allow the similarity, whose components differ; positions as in ``_compare``.
+
+    Rows are the fingerprint's lanes, two words of name, two of component and the size; they come in the order of sizes, and
+    tiles whose sizes lie too far apart are skipped.
+    """
+    alone, right = right is None, left if right is None else right
+    shift = 0 if alone else len(left)
+    both = left if alone else np.concatenate([left, right])
+    label = np.unique(both[:, lanes + 2 : lanes + 4], axis=0, return_inverse=True)[1].reshape(-1)
+    size = _sizes(both)
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+    for x in range(0, len(left), TILE):
+        for y in range(x if alone else 0, len(right), TILE):
+            a, b = size[: len(left)][x : x + TILE], size[shift:][y : y + TILE]
+            if a[-1] < similarity * b[0] - 1e-6 or b[-1] < similarity * a[0] - 1e-6:
+                continue
+            bits = np.zeros((len(left[x : x + TILE]), len(right[y : y + TILE])), np.uint16)
+            for lane in range(lanes):
+                bits += np.bitwise_count(left[x : x + TILE, None, lane] ^ right[None, y : y + TILE, lane])
+            i, j = np.nonzero(bits <= radius)
+            i, j = i + x, j + y + shift
+            fits = (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6)
+            if alone:
+                fits &= i < j
+            if fits.any():
+                found.append((i[fits], j[fits]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1, similarity: float | None = None) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column ``fp``) just as all pairs within ``radius`` bits would.
 
+    With a similarity, ``fp`` is a row of ``_pairs_apart``, the links are its pairs, and cells are ranges of sizes.
+
     Fingerprints are dealt to cells by the population counts of their halves, each cell to blocks of about ``SIDE``; a
     fingerprint can only be near to those of its own and the touching cells. One task compares two blocks; it returns a
     forest, at most one link for each of its fingerprints, so a dense group gives no square of links. The driver holds the
     number of fingerprints per cell (at most (32 x lanes / (radius + 1) + 1) squared numbers).
     """
     width = radius + 1
+    words = lanes if similarity is None else lanes + 5
 
     @F.pandas_udf("int")
     def cell_of(values: pd.Series) -> pd.Series:
+        if similarity is not None:
+            sizes = _sizes(np.frombuffer(b"".join(values), np.uint64).reshape(len(values), words))
+            return pd.Series((np.log(sizes) / (1.0001 * np.log(1 / similarity))).astype(np.int32) * 1000)
         bits = np.bitwise_count(np.frombuffer(b"".join(values), np.uint8)).reshape(len(values), 2, -1).sum(axis=2)
         return pd.Series((bits[:, 0] // width * 1000 + bits[:, 1] // width).astype(np.int32))
 
@@ -145,8 +215,8 @@ def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1) -> DataFra
     dealt = celled.withColumn("block", F.pmod(F.xxhash64("fp"), number).cast("int"))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), lanes)
-        own = own[np.lexsort(_part_counts(own).T[::-1])]
+        own = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), words)
+        own = own[np.lexsort(_part_counts(own).T[::-1]) if similarity is None else np.argsort(_sizes(own))]
         return pd.DataFrame({"cell": [key[0]], "block": [key[1]], "prints": [own.tobytes()]})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,10 +231,11 @@ def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1) -> DataFra
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         alone = key[:2] == key[2:]
         rows = rows.sort_values("first", ascending=False)
-        sides = [np.frombuffer(body, np.uint64).reshape(-1, lanes) for body in rows["prints"]]
+        sides = [np.frombuffer(body, np.uint64).reshape(-1, words) for body in rows["prints"]]
         if len(sides) < 2 and not alone:
             return pd.DataFrame({"a": [], "b": []})
-        i, j = _compare(sides[0], None if alone else sides[1], radius)
+        other = None if alone else sides[1]
+        i, j = _compare(sides[0], other, radius) if similarity is None else _pairs_apart(sides[0], other, radius, lanes, similarity)
         both = sides[0] if alone else np.concatenate(sides)
         return pd.DataFrame({"a": [both[x].tobytes() for x in i], "b": [both[x].tobytes() for x in j]})
 
@@ -200,26 +271,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: i
     )
 
 
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of names whose sets of shingles have a Jaccard similarity of at least ``similarity``; ``texts`` is (node, text)."""
+
+    @F.pandas_udf("array<bigint>")
+    def grams_of(values: pd.Series) -> pd.Series:
+        return values.map(lambda value: shingles(value, shingle).view(np.int64))
+
+    pairs = written(pairs.distinct())
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(texts.join(met, "node", "left_semi").select("node", grams_of(F.coalesce("text", F.lit(""))).alias("grams")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b"
+    )
+    common = F.size(F.array_intersect("left", "right"))
+    return written(both.where(common / (F.size("left") + F.size("right") - common) >= similarity).select("a", "b"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """``docs`` with one row left of each group of near-duplicates: that with the smallest doc_id.
 
-    Two texts are near-duplicates when at least ``similarity`` of their 64 x ``lanes`` fingerprint bits agree; groups are the
-    components of those links. With five-word shingles and 256 bits, 0.8 of agreeing bits is reached by about 99 of 100 pairs of
-    texts that share 0.8 of their shingles, and by about one of 100 that share half. A null doc_id counts as larger than any other. Of
-    repeated rows with the smallest doc_id, the one whose text has the smallest hash stays. Columns are those of ``docs``.
+    Two texts are near-duplicates when the Jaccard similarity of their sets of word shingles is at least ``similarity``; groups are the
+    components of those links. Texts of the same set are one node. Nodes that share a smallest hash are verified against the
+    first of them, so that large groups of near copies are linked without their square of pairs. Then all pairs of nodes of
+    different components whose 64 x ``lanes`` fingerprint bits lie within ``wide_radius`` are verified. A null doc_id counts as
+    larger than any other. Of repeated rows with the smallest doc_id, the one whose text has the smallest hash stays. Columns
+    are those of ``docs``.
     """
-    radius = int((1 - similarity) * 64 * lanes + 1e-9)
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
-    printed = with_fingerprint(rows, "text", "fp", shingle, lanes)
-    prints = written(printed.select("doc_id", "fp"))
-    member = written(groups(prints, radius, lanes))
-    first = prints.join(member, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(first.groupBy("root").agg(F.count(F.lit(1)).alias("n")))  # n is over 1 where that doc_id is repeated
-    left = printed.join(member.join(kept, "root"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+    @F.pandas_udf("node binary, fp binary, size bigint, minima array<bigint>")
+    def sketch_of(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_sketch(value, shingle, lanes) for value in values], columns=["node", "fp", "size", "minima"])
+
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    prints = written(hashed.withColumn("sketch", sketch_of(F.coalesce("text", F.lit("")))).select("doc_id", "hash", "sketch.*"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    nodes = written(prints.groupBy("node").agg(
+        F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("minima").alias("minima"), F.min(place).alias("first")
+    ))
+    known = nodes.select("node", F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
+    texts = hashed.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
+    met = written(nodes.select("node", "size", F.posexplode("minima").alias("k", "low")))
+    stars = met.groupBy("k", "low").agg(F.min(F.struct("node", "size")).alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = met.join(written(stars), ["k", "low"]).where(F.col("node") != F.col("star.node")).where(
+        F.least("size", "star.size") >= similarity * F.greatest("size", "star.size") - 1e-6
+    )
+    links = verified(near.select(F.col("star.node").alias("a"), F.col("node").alias("b")), texts, shingle, similarity)
+    labelled = nodes.where("size > 0").join(components(links), "node", "left").select(
+        F.concat("fp", "node", F.coalesce("root", "node"), F.unhex(F.lpad(F.hex(F.col("size")), 16, "0"))).alias("fp")
+    )
+    found = fingerprint_links(written(labelled), wide_radius(similarity, lanes), lanes, similarity)
+    name = [F.substring(side, 8 * lanes + 1, 16).alias(side) for side in ("a", "b")]
+    links = written(links.union(verified(found.select(*name), texts, shingle, similarity)))
+    member = written(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    # Written first, so that Spark can split the other side where one component has very many nodes.
+    rooted = prints.join(member, "node").select("root", place.alias("place"))
+    first = written(rooted.groupBy("root").agg(F.min("place").alias("first")))
+    kept = written(rooted.join(first, "root").where("place = first").groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("first").alias("first")  # n is over 1 where that row is repeated
+    ))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
+    left = rows.join(
+        kept.select("root", "n", F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h")),
+        F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_h")),
+    )
     result = left.where("n = 1").select("_row")
     if not kept.where("n > 1").isEmpty():
-        tied = left.where("n > 1").groupBy("root").agg(
-            F.min_by("_row", F.struct(F.xxhash64("text"), F.to_json("_row"))).alias("_row")
-        )
+        tied = left.where("n > 1").groupBy("root").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
         result = result.union(tied.select("_row"))
     return result.select("_row.*")
+
+
+def wide_radius(similarity: float, lanes: int) -> int:
+    """Bits in which fingerprints of sets of at least that similarity differ at most, five standard deviations above the mean.
+
+    Sets of equal size with Jaccard similarity s share 2s / (1 + s) of their shingles, the cosine of the angle; sets of four and
+    five shingles differ most, in 3 of 16 bits at 0.8, which is why a quarter is added to the share of differing bits.
+    """
+    share = min(0.5, 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(64 * lanes * share + 5 * np.sqrt(64 * lanes * share * (1 - share)))

@@ -133,6 +133,49 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 60, 5))
 
 
+def jaccard_groups(texts, shingle=5, similarity=0.8):
+    sets = []
+    for text in texts:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    low = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if low[i] != low[j] and (a == b or a and b and len(a & b) / len(a | b) >= similarity):
+                    low[i] = low[j] = min(low[i], low[j])
+                    changed = True
+    return low
+
+
+def test_near_duplicates_are_those_of_shingle_sets(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    line, texts = fresh(12), []
+    for tail in range(4):  # one line very often, and two different ends
+        texts.append(" ".join(line * 60 + fresh(40)))
+    base = fresh(6)
+    texts += [" ".join(base), " ".join(base[:5]), " ".join(["x", *base[1:]]), "same " * 300, "same " * 7, "other " * 9]
+    for size in (5, 8, 60, 200):  # runs that share 0.6 to 0.95 of their shingles
+        for share in (0.6, 0.7, 0.75, 0.79, 0.8, 0.85, 0.95):
+            own = fresh(size + 4)
+            texts += [" ".join(own), " ".join(own + fresh(round(size / share) - size))]
+    for _ in range(20):  # exactly 0.8, of four and of five shingles
+        own = fresh(8)
+        texts += [" ".join(own), " ".join(own + fresh(1))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted(set(jaccard_groups(texts)))
+
+
+def test_near_duplicates_of_the_test_table(spark):
+    docs = table(spark, "documents").select("doc_id", "text").orderBy("doc_id").collect()
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, "documents")).collect())
+    assert kept == [docs[i]["doc_id"] for i in sorted(set(jaccard_groups([d["text"] for d in docs])))]
+
+
 def test_scores_against_brute_force(spark):
     docs = table(spark, "documents").select("doc_id", "text").collect()
     words, ones, pairs, total, train = {}, Counter(), Counter(), 0, 0
