@@ -1,8 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages of a host are paired with the neighbour in the order of their paths; the lines (blocks of text) of both are aligned by longest
-common subsequence, and lines that both have are deleted. What stands in a marked article is kept even if shared, since
-articles repeat passages; what stands in an element marked as menu, footer, advert and the like goes even if unique.
+common subsequence, and lines that both have are deleted. What stands in a marked article that is the larger part of its page is kept
+even if shared, since articles repeat passages; what stands in an element marked as menu, footer, advert and the like goes even if unique.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ NOISE_WORDS = set(
     "overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments "
     "disqus respond reply replies toolbar pagination pager skip complementary contentinfo dialog".split()
 )
+# Words that a name of several may have besides those: cookie-notice and ad-box are noise, category-notice and tag-search aren't.
+LAYOUT_WORDS = set(
+    "area bar block bottom box button buttons col column container content fixed footer form global group header inner item items left link links list "
+    "main outer page primary right row secondary section site sticky top wrap wrapper".split()
+)
 HEADER_WORDS = {"header", "topbar"}
 ARTICLE_WORDS = {"article", "post", "entry", "story"}
 # An open element of these is closed by the next one, up to the element that holds both.
@@ -59,6 +64,12 @@ def _attributes(text: str) -> dict[str, str]:
     return {name.lower(): references.unescape(value.strip("\"'")).lower() for name, value in _ATTRIBUTE.findall(text)}
 
 
+def _is_noise(name: str) -> bool:
+    """Whether a class, id or role is a word of noise, or made of such words, words of layout and numbers."""
+    parts = [part for part in re.split("[^a-z0-9]+", name) if part and not part[0].isdigit()]
+    return any(part in NOISE_WORDS for part in parts) and all(part in NOISE_WORDS or part in LAYOUT_WORDS for part in parts)
+
+
 def _marks(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool, bool]:
     """Whether an element starts noise, and whether it starts an article."""
     names = " ".join(attributes.get(k, "") for k in ("class", "id", "role")).split()
@@ -66,7 +77,7 @@ def _marks(tag: str, attributes: dict[str, str], in_article: bool) -> tuple[bool
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
     article = tag in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articlebody"
     head = (tag == "header" or bool(words & HEADER_WORDS)) and not in_article and not words & ARTICLE_WORDS
-    named = bool(words & NOISE_WORDS) and tag not in ("html", "body", "main")
+    named = any(name in NOISE_WORDS if article else _is_noise(name) for name in names) and tag not in ("html", "body", "main")
     noise = hidden or tag in NOISE_TAGS or head or named
     return noise, article and not noise
 
@@ -169,9 +180,13 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
 
 
 def main_text(lines: list[Line], shared: set[int]) -> str:
-    """Lines that are not noise and, outside a marked article, not shared; a page with a marked article has only its lines."""
-    marked = any(line.article and not line.noise for line in lines)
-    kept = [line.text for i, line in enumerate(lines) if not line.noise and (line.article if marked else i not in shared)]
+    """Lines that are neither noise nor shared; where marked articles hold at least as much text as is unshared around them, all of theirs.
+
+    So unshared lines around an article stay, and teasers that pages share go though they are marked as articles.
+    """
+    inside = sum(len(line.text) for line in lines if line.article and not line.noise)
+    around = sum(len(line.text) for i, line in enumerate(lines) if not line.article and not line.noise and i not in shared)
+    kept = [line.text for i, line in enumerate(lines) if not line.noise and (i not in shared or line.article and inside >= around)]
     return "\n\n".join(kept)
 
 

@@ -71,6 +71,23 @@ def test_shared_lines_go_where_no_article_is_marked(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_stories_outside_of_articles_stay(spark):
+    teasers = "<article>Teaser one</article><article>Teaser two</article>"
+    page = lambda own: f"<div>Our shop</div><div>{own}</div>{teasers}<footer>{own}</footer>"
+    story = lambda n: f"A story of some length, number {n}, in a plain element."
+    deck = "<div>Our shop</div><div>Deck</div><article>A long article, much longer than its deck</article>"
+    rows = [(1, "http://h/a/1", page(story(1))), (2, "http://h/a/2", page(story(2))), (3, "http://g/1", deck), (4, "http://g/2", deck.replace("Deck", "Other"))]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    long = "A long article, much longer than its deck"
+    assert found == {1: story(1), 2: story(2), 3: f"Deck\n\n{long}", 4: f"Other\n\n{long}"}
+
+
+def test_noise_is_told_by_whole_names():
+    page = """<article class="post category-notice tag-search share-enabled">a</article><div class="category-notice">b</div><div class="tag-search">c</div>
+    <div class="site-footer">d</div><div class="sidebar-2">e</div><article class="promo">f</article>"""
+    assert lines(page) == [("a", False, True), ("b", False, False), ("c", False, False), ("d", True, False), ("e", True, False), ("f", True, False)]
+
+
 def test_neighbours_across_ranges(spark):
     rows = [(f"h{i % 3}", f"/p{i:03d}", i) for i in range(200)]
     nodes = spark.createDataFrame(rows, "host string, path string, content int")
