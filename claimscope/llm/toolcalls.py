@@ -28,7 +28,8 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A turn whose text is a JSON object with tool_calls makes these calls, one with tool_call_id is that call's result. Any other
     user turn is a call of the tool reply, named by its turn, with the conversation's first user turn as context; an assistant
-    turn is the result of the turn before it. System turns, and turns without a number, are neither.
+    turn is the result of the turn before it, and any other tool turn a result without identifier. System turns, turns of another
+    role and turns without a number are neither.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).where("turn IS NOT NULL")
     parsed = rows.withColumn("message", F.when(F.ltrim("text").startswith("{"), F.from_json("text", _MESSAGE)))
@@ -50,7 +51,10 @@ def messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     said = marked.where("NOT calling AND NOT answering AND role = 'assistant'").select(
         "conv_id", "turn", _turn_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
     )
-    return stated.union(told), given.union(said)
+    stray = marked.where("NOT calling AND NOT answering AND role = 'tool'").select(
+        "conv_id", "turn", F.lit(None).cast("string").alias("call_id"), F.col("text").alias("content")
+    )
+    return stated.union(told), given.union(said).union(stray)
 
 
 def _problems(schemas: Schemas) -> Column:
@@ -104,17 +108,20 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """(conv_id, call_id, level, turn, index, name, status, errors, n_results, json): one row per call, and per result without one.
+    """(conv_id, call_id, level, turn, index, name, status, errors, n_results, json): one row per call, and per result that isn't linked.
 
-    ``level``, ``turn`` and ``index`` sort a conversation's calls topologically. The first result by turn (then by text) is linked. ``status``
-    is ok, or the first of: orphan_result, cyclic, duplicate_id, dangling_reference, invalid_arguments, no_result; ``errors`` are the
+    ``level``, ``turn`` and ``index`` sort a conversation's calls topologically. The first result by turn (then by text) is linked, each
+    further one is a row of its own (extra_result), as is each result without a call (orphan_result). ``n_results`` counts the results of
+    the identifier. ``status`` of a call is ok, or the first of: cyclic, duplicate_id, dangling_reference, invalid_arguments, no_result; ``errors`` are the
     faults of the arguments. ``json`` has its keys in order and no white space, arguments too; arguments that are no JSON stay text.
     Null and empty arguments are no object; a null identifier is never linked; repeated rows are duplicates; tables without rows
     give no rows.
     """
-    firsts = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("first"), F.count(F.lit(1)).alias("n_results")).select(
-        F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "first", "n_results"
-    )
+    # A number tells repeated results apart; it is written, so that it stays the same.
+    results = written(results.withColumn("number", F.monotonically_increasing_id()))
+    firsts = written(
+        results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content", "number")).alias("first"), F.count(F.lit(1)).alias("n_results"))
+    ).select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "first", "n_results")
     order = levels(calls).select(F.col("conv_id").alias("oc"), F.col("call_id").alias("oi"), "level", "dangling")
     same = calls.groupBy(F.col("conv_id").alias("sc"), F.col("call_id").alias("si")).agg(F.count(F.lit(1)).alias("n_same"))
     joined = (
@@ -132,10 +139,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         "arguments", "given", "first",
     )
     known = calls.select(F.col("conv_id").alias("kc"), F.col("call_id").alias("ki")).distinct()
-    orphans = firsts.join(known, F.col("c").eqNullSafe(F.col("kc")) & (F.col("i") == F.col("ki")), "left_anti").select(
-        F.col("c").alias("conv_id"), F.col("i").alias("call_id"), F.lit(None).cast("bigint").alias("level"), F.col("first.turn").alias("turn"),
-        F.lit(0).cast("bigint").alias("index"), F.lit(None).cast("string").alias("name"), F.lit("orphan_result").alias("status"),
-        F.array().cast("array<string>").alias("errors"), "n_results", F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("variant").alias("given"), "first",
+    told = firsts.join(known.withColumn("called", F.lit(True)), F.col("c").eqNullSafe(F.col("kc")) & (F.col("i") == F.col("ki")), "left")
+    each = results.join(told, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("call_id").eqNullSafe(F.col("i")))
+    unlinked = each.where(F.col("called").isNull() | (F.col("number") != F.col("first.number"))).select(
+        "conv_id", "call_id", F.lit(None).cast("bigint").alias("level"), "turn", F.lit(0).cast("bigint").alias("index"), F.lit(None).cast("string").alias("name"),
+        F.when(F.col("called"), "extra_result").otherwise("orphan_result").alias("status"), F.array().cast("array<string>").alias("errors"), "n_results",
+        F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("variant").alias("given"), F.struct("turn", "content", "number").alias("first"),
     )
     def plain(column: Column) -> Column:
         """One value as JSON: what stands between {"v": and }."""
@@ -148,10 +157,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
         plain(F.col("errors")), F.lit(',"level":'), plain(F.col("level")), F.lit(',"name":'), plain(F.col("name")), F.lit(',"result":'), plain(F.col("first.content")),
         F.lit(',"status":'), plain(F.col("status")), F.lit(',"turn":'), plain(F.col("turn")), F.lit("}"),
     )
-    return linked.union(orphans).select("conv_id", "call_id", "level", "turn", "index", "name", "status", "errors", "n_results", json.alias("json"))
+    return linked.union(unlinked).select("conv_id", "call_id", "level", "turn", "index", "name", "status", "errors", "n_results", json.alias("json"))
 
 
 def link_conversations(conversations: DataFrame, schemas: Schemas | None = None) -> DataFrame:
     """Calls and results of ``conversations`` (conv_id, turn, role, text), linked; cases as in ``messages`` and ``link_calls``."""
     calls, results = messages(conversations)
-    return link_calls(written(calls), written(results), REPLY | (schemas or {}))
+    return link_calls(written(calls), results, REPLY | (schemas or {}))

@@ -217,6 +217,23 @@ def test_tool_calls(spark):
     assert toolcalls.link_conversations(frame.limit(0)).count() == 0
 
 
+def test_every_result_is_kept(spark):
+    result = lambda name, text: json.dumps({"tool_call_id": name, "content": text})
+    rows = [
+        (1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 1, "assistant", "second"), (1, 1, "assistant", "second"),
+        (1, 5, "tool", result("zz", "a")), (1, 6, "tool", result("zz", "b")), (1, 7, "tool", "no json"), (1, 7, "tool", "nor this"),
+        *[(None, 3, "assistant", f"answer {i}") for i in range(40)],
+    ]
+    found = toolcalls.link_conversations(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    told = sorted((r["conv_id"] or 0, r["turn"], r["call_id"] or "", r["status"], json.loads(r["json"])["result"]) for r in found)
+    assert told == sorted([
+        (1, 0, "turn-0", "ok", "first"), (1, 1, "turn-0", "extra_result", "second"), (1, 1, "turn-0", "extra_result", "second"),
+        (1, 5, "zz", "orphan_result", "a"), (1, 6, "zz", "orphan_result", "b"), (1, 7, "", "orphan_result", "no json"), (1, 7, "", "orphan_result", "nor this"),
+        *[(0, 3, "turn-2", "orphan_result", f"answer {i}") for i in range(40)],
+    ])
+    assert {r["n_results"] for r in found if r["conv_id"] is None} == {40}
+
+
 def test_levels_follow_the_longest_chain(spark):
     calls = [(1, f"k{i}", json.dumps({"v": f"$ref:k{i - 1} $ref:k{i // 2}"} if i else {})) for i in range(6)]
     frame = spark.createDataFrame(calls, "conv_id bigint, call_id string, arguments string")
