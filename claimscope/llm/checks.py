@@ -54,4 +54,16 @@ SELECT conv_id, call_id, level, turn, 0::BIGINT "index", name, status, '' errors
  COALESCE(conv_id::VARCHAR, 'null') || ',"errors":[],"level":' || COALESCE(level::VARCHAR, 'null') || ',"name":' || CASE WHEN name IS NULL THEN 'null' ELSE '"reply"' END ||
  ',"result":' || COALESCE(TO_JSON(content)::VARCHAR, 'null') || ',"status":"' || status || '","turn":' || turn || '}' json FROM a"""
 
-CHECKS = {"op1_pfair_mix": PFAIR, "op5_warc": WARC, "op8_kdtree": TOP_K, "op9_tool_calls": TOOL_CALLS}
+_TERMS = r"""REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+RANKED = f"""
+WITH d AS (SELECT doc_id, ROW_NUMBER() OVER () doc, terms, LEN(terms) n FROM (SELECT doc_id, {_TERMS} terms FROM documents) WHERE LEN(terms) > 0),
+s AS (SELECT COUNT(*) n_docs, SUM(n)::BIGINT total FROM d),
+q AS (SELECT item_id, text, term, COUNT(*) asked FROM (SELECT item_id, text, UNNEST({_TERMS}) term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+tf AS (SELECT doc, term, COUNT(*) tf FROM (SELECT doc, UNNEST(terms) term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, FLOOR(1000 * LN((2 * n_docs + 2) / (2 * df + 1)))::BIGINT w FROM (SELECT term, COUNT(*) df FROM tf GROUP BY term), s),
+x AS (SELECT item_id, text, doc, SUM(asked * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total))))::BIGINT score
+ FROM q JOIN w USING (term) JOIN tf USING (term) JOIN d USING (doc), s GROUP BY ALL)
+SELECT item_id, "rank", doc_id, score FROM (SELECT item_id, doc_id, score, CAST(ROW_NUMBER() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id) AS INTEGER) "rank"
+ FROM x JOIN d USING (doc) WHERE score > 0) WHERE "rank" <= 10"""
+
+CHECKS = {"op1_pfair_mix": PFAIR, "op5_warc": WARC, "op8_kdtree": TOP_K, "op9_tool_calls": TOOL_CALLS, "op12_balltree": RANKED}

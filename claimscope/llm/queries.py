@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimscope.llm import decontaminate, html, interpolation, kdtree, mixing, simhash, toolcalls, toxicity, urls, warc
+from claimscope.llm import (
+    balltree, decontaminate, html, interpolation, kdtree, mixing, simhash, tokens, toolcalls, toxicity, urls, warc, whitening,
+)
 from claimscope.llm.checks import CHECKS
 from claimscope.llm.common import table
 
@@ -51,6 +53,20 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op12_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES = {
     "op1_pfair_mix": op1_pfair_mix,
     "op2_page_diff": op2_page_diff,
@@ -62,6 +78,9 @@ QUERIES = {
     "op8_kdtree": op8_kdtree,
     "op9_tool_calls": op9_tool_calls,
     "op10_template_leaks": op10_template_leaks,
+    "op11_whitening": op11_whitening,
+    "op12_balltree": op12_balltree,
+    "op13_token_counts": op13_token_counts,
 }
 
 __all__ = ["CHECKS", "QUERIES"]
