@@ -7,15 +7,18 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import DenseMatrix
+from pyspark.mllib.common import callMLlibFunc
+from pyspark.mllib.linalg import DenseMatrix, MatrixUDT
 from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimscope.llm.common import written
+from claimscope.session import scratch_path
 
-BLOCK_ROWS = 4096
-BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 2048
+BLOCK_BYTES = 1 << 20
 # An eigenvalue of a smaller share of the largest one is rounding noise: its component has no direction.
 NOISE = 1e-11
 _BLOCKS = "block bigint, rows int, ids array<bigint>, whole binary, sums array<decimal(38,0)>"
@@ -78,13 +81,46 @@ def _deviations(away: np.ndarray) -> list[int | None]:
     return [x if x < 2**63 else None for x in squares]
 
 
+def _index(kind: T.DataType) -> T.StructField:
+    return T.StructField("blockIndex", T.StructType([T.StructField("_1", kind), T.StructField("_2", kind)]))
+
+
 def block_matrix(blocks: DataFrame, columns: list[str], entries, block_rows: int, rows: int, width: int) -> BlockMatrix:
-    """A block per row of ``blocks``; ``entries`` turns the row into its rows x width array of doubles."""
-    return BlockMatrix(
-        blocks.select("block", "rows", *columns).rdd.map(
-            lambda row: ((row["block"], 0), DenseMatrix(row["rows"], width, np.ascontiguousarray(entries(row)).ravel(), True))
-        ), block_rows, width, rows, width,
+    """A block per row of ``blocks``; ``entries`` turns the row into its rows x width array of doubles.
+
+    The blocks go through a written table, whose column of structs is read back as one of matrices: no number passes
+    through a Python object, and a lost block is read again.
+    """
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yield pd.DataFrame({"block": [row["block"]], "rows": [row["rows"]], "values": [np.ascontiguousarray(entries(row)).ravel()]})
+
+    filled = blocks.select("block", "rows", *columns).mapInPandas(fill, "block bigint, rows int, values array<double>")
+    none = F.lit(None).cast("array<int>")
+    structs = filled.select(
+        F.struct(F.col("block").alias("_1"), F.lit(0).cast("bigint").alias("_2")).alias("blockIndex"),
+        F.struct(  # a dense matrix, row by row
+            F.lit(1).cast("tinyint").alias("type"), F.col("rows").alias("numRows"), F.lit(width).alias("numCols"), none.alias("colPtrs"),
+            none.alias("rowIndices"), F.col("values"), F.lit(True).alias("isTransposed"),
+        ).alias("subMatrix"),
     )
+    path = scratch_path(blocks.sparkSession, "matrix")
+    structs.write.option("compression", "zstd").parquet(path)
+    schema = T.StructType([_index(T.LongType()), T.StructField("subMatrix", MatrixUDT())])
+    read = blocks.sparkSession.read.schema(schema).parquet(path)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", read, block_rows, width, rows, width), block_rows, width)
+
+
+def stored_blocks(matrix: BlockMatrix, spark) -> DataFrame:
+    """(block, projected): the number of each block row, and its numbers column by column, of a matrix of one block column."""
+    path = scratch_path(spark, "matrix")
+    blocks = callMLlibFunc("getMatrixBlocks", matrix._java_matrix_wrapper._java_model).toDF("blockIndex", "subMatrix")
+    blocks.write.option("compression", "zstd").parquet(path)
+    plain = T.StructType([_index(T.IntegerType()), T.StructField("subMatrix", MatrixUDT.sqlType())])
+    found = spark.read.schema(plain).parquet(path)
+    return found.select(F.col("blockIndex._1").cast("bigint").alias("block"), F.col("subMatrix.values").alias("projected"))
 
 
 def product(left: BlockMatrix, right: BlockMatrix, splits: int) -> BlockMatrix:
@@ -123,10 +159,9 @@ def _whiten(rows: DataFrame, width: int, components: int, block_rows: int) -> Da
     if kept:
         # A single block: width x components.
         turn = BlockMatrix(spark.sparkContext.parallelize([((0, 0), DenseMatrix(width, kept, rooted.ravel(order="F")))], 1), width, kept, width, kept)
-        found = product(centred, turn, 1).blocks.map(lambda b: (b[0][0], np.ascontiguousarray(b[1].toArray()).tobytes()))
-        projected = spark.createDataFrame(found, "block bigint, projected binary")
+        projected = stored_blocks(product(centred, turn, 1), spark)
     else:
-        projected = blocks.select("block", F.lit(b"").alias("projected"))
+        projected = blocks.select("block", F.lit(None).cast("array<double>").alias("projected"))
 
     def deviate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,7 +177,8 @@ def _whiten(rows: DataFrame, width: int, components: int, block_rows: int) -> Da
         for batch in batches:
             for row in batch.itertuples(index=False):
                 out = np.full((row.rows, k), np.nan)
-                out[:, :kept] = np.frombuffer(row.projected, float).reshape(row.rows, kept)
+                if kept:
+                    out[:, :kept] = row.projected.reshape(kept, row.rows).T
                 yield pd.DataFrame({
                     "vec_id": pd.array(list(row.ids), "Int64").repeat(k), "component": np.tile(np.arange(1, k + 1, dtype=np.int32), row.rows),
                     "n": n, "deviation": pd.array(list(row.deviations), "Int64").repeat(k), "whitened": pd.Series(out.ravel()).astype(object).where(~np.isnan(out.ravel()), None),
@@ -158,7 +194,7 @@ def _identity_error(projected: DataFrame, n: int, k: int, block_rows: int, split
     """The largest entry of the projected rows' covariance minus the identity."""
 
     def entries(row) -> np.ndarray:
-        return np.frombuffer(row["projected"], float).reshape(-1, k)
+        return row["projected"].reshape(k, -1).T
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
