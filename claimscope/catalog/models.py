@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from claimscope.catalog import stages
@@ -12,7 +14,7 @@ from claimscope.functions.constants import (
 )
 from claimscope.operators import claims as C
 from claimscope.operators import peers, profile, ranking
-from claimscope.operators.iforest import isolation_forest
+from claimscope.operators.iforest import DRAW_DIGITS, DRAWS_PER_HASH, EULER, FRACTION_DIGITS, isolation_forest
 from claimscope.operators.risk import dollar_weight
 from claimscope.operators.standardize import extreme_count, preprocess
 from claimscope.plans import cohort as HH
@@ -39,7 +41,55 @@ def z_sql(source: str, features: list[str], value) -> str:
     )
 
 
+def forest_sql(trees: int = 200, psi: int = 256, seed: int = 42) -> str:
+    """CTEs from ``z`` to ``forest`` (billing_npi, if_anomaly_score): the isolation forest of the same hashes, grown and walked by recursion."""
+    depth = math.ceil(math.log2(psi))
+    n = len(MODEL_FEATURES)
+    values = ", ".join(f"ROUND(COALESCE({c}, 0), 9)" for c in MODEL_FEATURES)
+
+    def fraction(start: int) -> str:
+        return f"(('0x' || SUBSTR(h, {start}, {FRACTION_DIGITS}))::BIGINT / {16**FRACTION_DIGITS}e0)"
+
+    def average(size: str) -> str:
+        return f"CASE WHEN {size} > 2 THEN 2 * (LN({size} - 1e0) + {EULER}) - 2 * ({size} - 1e0) / {size} WHEN {size} = 2 THEN 1e0 ELSE 0e0 END"
+
+    def split(source: str) -> str:
+        """The rows of nodes with the feature and value that part them, and the number of rows in their node."""
+        lows, highs = (", ".join(f"{way}(xs[{i}]) OVER w" for i in range(1, n + 1)) for way in ("MIN", "MAX"))
+        return f"""SELECT tree, id, xs, node, depth, size, feature, CASE WHEN between_them < high THEN between_them ELSE low END split FROM (
+ SELECT *, low + {fraction(1 + FRACTION_DIGITS)} * (high - low) between_them FROM (SELECT *, lows[feature] low, highs[feature] high FROM (
+ SELECT *, CASE WHEN depth < {depth} THEN usable[1 + CAST(FLOOR({fraction(1)} * LEN(usable)) AS BIGINT)] END feature FROM (
+ SELECT *, LIST_FILTER(RANGE(1, {n + 1}), LAMBDA i: highs[i] > lows[i]) usable, MD5('{seed}|' || tree || '|' || node) h FROM (
+ SELECT *, [{lows}] lows, [{highs}] highs, COUNT(*) OVER w size FROM ({source}) WINDOW w AS (PARTITION BY tree, node)))))) """
+
+    drawn = f"""SELECT t.tree, id, xs, ROW_NUMBER() OVER (PARTITION BY t.tree ORDER BY SUBSTR(MD5('{seed}|' || id || '|' || (t.tree // {DRAWS_PER_HASH})),
+ 1 + {DRAW_DIGITS} * (t.tree % {DRAWS_PER_HASH}), {DRAW_DIGITS}), id) place FROM prepared, RANGE({trees}) t(tree)"""
+    return f"""prepared AS MATERIALIZED (SELECT billing_npi id, [{values}] xs FROM z),
+drawn AS MATERIALIZED (SELECT tree, id, xs FROM ({drawn}) WHERE place <= {psi}),
+grown AS ({split('SELECT tree, id, xs, 1::BIGINT node, 0::BIGINT depth FROM drawn')}
+ UNION ALL {split('SELECT tree, id, xs, 2 * node + (xs[feature] > split)::BIGINT node, depth + 1 depth FROM grown WHERE feature IS NOT NULL')}),
+nodes AS MATERIALIZED (SELECT DISTINCT tree, node, depth, size, feature, split FROM grown),
+walked AS (SELECT t.tree, id, xs, 1::BIGINT node FROM prepared, RANGE({trees}) t(tree)
+ UNION ALL SELECT w.tree, w.id, w.xs, 2 * w.node + (w.xs[n.feature] > n.split)::BIGINT FROM walked w JOIN nodes n ON w.tree = n.tree AND w.node = n.node WHERE n.feature IS NOT NULL),
+forest AS MATERIALIZED (SELECT w.id billing_npi, POW(2, -AVG(n.depth + {average('n.size')}) / (SELECT {average(f'LEAST({psi}, COUNT(*))')} FROM prepared)) - 0.5 if_anomaly_score
+ FROM walked w JOIN nodes n ON w.tree = n.tree AND w.node = n.node WHERE n.feature IS NULL GROUP BY w.id)"""
+
+
+def average_place(column: str, digits: int) -> str:
+    """SQL: the descending rank of a rounded column, with the whole part of the average place for ties."""
+    value = f"ROUND({column}, {digits})"
+    return f"CAST(FLOOR(RANK() OVER (ORDER BY {value} DESC) + (COUNT(*) OVER (PARTITION BY {value}) - 1) / 2.0) AS BIGINT)"
+
+
+def scored_list(columns: list[str]) -> str:
+    """SQL select list of score columns, rounded as ``tidy`` does."""
+    plain = {"zscore_count", "if_rank", "zscore_rank", "dollar_rank"}
+    cents = {"dollar_weighted_score": f"{r('ROUND(dollar_weighted_score, 2)')} dollar_weighted_score"}
+    return ", ".join(c if c in plain else cents.get(c, shown([c])) for c in columns)
+
+
 Z = z_sql("features", MODEL_FEATURES, prepared)
+FOREST = forest_sql()
 BASELINE = f"""{FEATURES}, {Z}, counted AS (SELECT billing_npi, {' + '.join(f'(ROUND(ABS({c}), 9) > 3)::INT' for c in MODEL_FEATURES)} zscore_count FROM z),
 ranked AS (SELECT f.*, c.zscore_count, RANK() OVER (ORDER BY c.zscore_count DESC) zscore_rank,
  CAST(FLOOR(RANK() OVER (ORDER BY ROUND(total_paid, 9) DESC) + (COUNT(*) OVER (PARTITION BY ROUND(total_paid, 9)) - 1) / 2.0) AS BIGINT) paid_rank,
@@ -68,7 +118,7 @@ def _(t):
     return P.zscore_baseline(stages.features(t))
 
 
-@query("m4_isolation_forest")
+@query("m4_isolation_forest", f"WITH RECURSIVE {FEATURES}, {Z}, {FOREST} SELECT billing_npi, {r('if_anomaly_score')} if_anomaly_score FROM forest")
 def _(t):
     return isolation_forest(preprocess(stages.features(t)), "billing_npi", MODEL_FEATURES)
 
@@ -108,17 +158,28 @@ def _(t):
     return scoped.select("billing_npi", "total_paid", "num_rows", "num_hcpcs_codes")
 
 
-@query("r3_score_providers")
+# Scores are ranked as rounded to nine decimals; ties share the whole part of their average place.
+SCORES = f"""{BASELINE}, {FOREST}, weighted AS (SELECT k.*, o.if_anomaly_score, o.if_anomaly_score * k.total_paid dollar_weighted_score FROM ranked k JOIN forest o USING (billing_npi)),
+scores AS (SELECT *, {average_place('if_anomaly_score', 9)} if_rank, {average_place('dollar_weighted_score', 2)} dollar_rank FROM weighted)"""
+SCORE_COLUMNS = [*P.FEATURE_COLUMNS, "zscore_count", "if_anomaly_score", "if_rank", "zscore_rank", "dollar_weighted_score", "dollar_rank"]
+
+
+@query("r3_score_providers", f"WITH RECURSIVE {SCORES} SELECT {scored_list(SCORE_COLUMNS)} FROM scores")
 def _(t):
-    return P.score_providers(stages.features(t))
+    # To the cent, as the amounts are ranked.
+    return P.score_providers(stages.features(t)).withColumn("dollar_weighted_score", F.round("dollar_weighted_score", 2)).select(*SCORE_COLUMNS)
+
+
+TOP_COLUMNS = ["billing_npi", "if_rank", "zscore_rank", "dollar_rank", "if_anomaly_score", "zscore_count", "total_paid", "total_claims", "paid_per_claim",
+               "max_peer_zscore", "num_hcpcs_codes", "num_taxonomy_codes", "pct_round_dollar", "monthly_paid_cv", "is_deactivated", "entity_type"]
 
 
-@query("r4_top_anomalies_forest")
+@query("r4_top_anomalies_forest", f"WITH RECURSIVE {SCORES} SELECT {scored_list(TOP_COLUMNS)} FROM scores ORDER BY scores.if_rank, scores.billing_npi LIMIT 50")
 def _(t):
     return P.top_anomalies(stages.scores(t), "if_rank", 50)
 
 
-@query("r4_top_anomalies_dollars")
+@query("r4_top_anomalies_dollars", f"WITH RECURSIVE {SCORES} SELECT {scored_list(TOP_COLUMNS)} FROM scores ORDER BY scores.dollar_rank, scores.billing_npi LIMIT 20")
 def _(t):
     return P.top_anomalies(stages.scores(t), "dollar_rank", 20)
 

@@ -50,12 +50,13 @@ def scores(t: Tables) -> DataFrame:
 
 def baseline(t: Tables) -> DataFrame:
     """Features with the z-score count and rank, which SQL can check; ranks by payments stand in for the model's."""
-    from claimscope.operators.ranking import global_rank
+    from claimscope.operators.ranking import Rank, global_ranks
 
     def build() -> DataFrame:
-        base = features(t).join(P.zscore_baseline(features(t)), "billing_npi")
-        ranked = global_rank(cut(base), "total_paid", "average_floor", "paid_rank", spread_by=["billing_npi"])
-        return cut(global_rank(ranked, "max_peer_zscore", "average_floor", "peer_rank", spread_by=["billing_npi"]))
+        base = cut(features(t).join(P.zscore_baseline(features(t)), "billing_npi"))
+        return cut(global_ranks(base, ["billing_npi"], {
+            "paid_rank": Rank("total_paid", "average_floor"), "peer_rank": Rank("max_peer_zscore", "average_floor"),
+        }))
 
     return _stored(t, "baseline", build)
 

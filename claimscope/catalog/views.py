@@ -84,8 +84,9 @@ def check_sql(text: str) -> str:
     used = [name for name in VIEWS if re.search(rf"\b{name}\b", text)]
     views = [f"{name} AS ({re.sub(r'{(\w+)}', r'\1', VIEWS[name]).strip()})" for name in used]
     text = text.strip()
-    if text.upper().startswith("WITH "):
-        return "WITH " + ",\n".join([*views, text[5:]])
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if text.upper().startswith(start):
+            return start + ",\n".join([*views, text[len(start):]])
     return "WITH " + ",\n".join(views) + "\n" + text
 
 

@@ -1,7 +1,7 @@
-"""Isolation forest (Liu, Ting and Zhou, ICDM 2008) fitted and applied by Spark tasks.
+"""Isolation forest (Liu, Ting and Zhou, ICDM 2008), grown level by level with DataFrame operations.
 
-Trees are fitted in parallel, each on its own sample of rows; all rows are then scored in Arrow batches against the
-broadcast forest. Samples are drawn by hashes of the row id, so the result does not depend on partitioning.
+Samples and splits come from MD5 hashes of the seed, the tree and the id or node, which any SQL engine computes alike: the forest is
+the same on every partitioning, and can be grown again elsewhere. All rows are scored in Arrow batches against the broadcast forest.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.operators.ranking import first_per_key
@@ -25,8 +25,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 EULER = 0.5772156649
 # A tree draws from about this many times its sample, thinned from all rows by the same hash that orders the draw.
 THINNING = 2.0
-HASH_SPACE = 2**31 - 1
-FIT_TASKS = 32
+# One hash has the draws of this many trees, of this many hexadecimal digits each.
+DRAWS_PER_HASH, DRAW_DIGITS = 4, 8
+# Hexadecimal digits of a fraction: 52 bits, which a double holds exactly.
+FRACTION_DIGITS = 13
+# Features are compared to this many decimals: means and deviations over a cluster have no fixed order of addition.
+DIGITS = 9
+FIT_TASKS = 16
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -37,69 +42,90 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_tree(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> pd.DataFrame:
-    """Nodes of one tree; leaves have feature -1 and carry the path length they stand for."""
-    nodes: list[list[float]] = []
-    todo = [(np.arange(len(rows)), 0, -1, 0)]
-    while todo:
-        members, depth, parent, side = todo.pop()
-        number = len(nodes)
-        if parent >= 0:
-            nodes[parent][3 + side] = number
-        values = rows[members]
-        low, high = values.min(axis=0), values.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if depth >= max_depth or len(usable) == 0:
-            nodes.append([number, -1, 0.0, -1, -1, depth + float(average_path(len(members)))])
-            continue
-        feature = int(rng.choice(usable))
-        split = float(rng.uniform(low[feature], high[feature]))
-        goes_left = values[:, feature] <= split
-        if goes_left.all():
-            split = float(np.nextafter(high[feature], low[feature]))
-            goes_left = values[:, feature] <= split
-        nodes.append([number, feature, split, -1, -1, 0.0])
-        todo.append((members[~goes_left], depth + 1, number, 1))
-        todo.append((members[goes_left], depth + 1, number, 0))
-    return pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path"])
+def tree_depth(psi: int) -> int:
+    return math.ceil(math.log2(max(psi, 2)))
+
+
+def prepared(z: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
+    """The id and the features as they are compared: rounded, nulls as 0."""
+    return z.select(id_col, *[F.round(F.coalesce(F.col(f), F.lit(0.0)), DIGITS).alias(f) for f in features])
 
 
 def draw_samples(filled: DataFrame, rows: int, trees: int, psi: int, seed: int, thinning: float = THINNING) -> DataFrame:
-    """Per tree, the ``psi`` rows (all, if fewer) with the smallest hash of id and tree: a draw from all rows.
+    """Per tree, the ``psi`` rows (all, if fewer) with the smallest draw, ties by id: a draw from all rows.
 
-    Each row is copied only to the trees for which its hash is small enough to have a chance, so about ``thinning`` x ``psi`` x ``trees``
-    rows are shuffled, however many there are. Should a tree get too few, the cut-off is doubled; it never changes the draw.
+    A draw is a part of the MD5 of seed, id and a number for four trees. Each row is copied only to the trees for which its draw is small
+    enough to have a chance, so about ``thinning`` x ``psi`` x ``trees`` rows are shuffled, however many there are. Should a tree
+    get too few, the cut-off is doubled; it never changes the draw.
     """
+    space = 16**DRAW_DIGITS
+    hashes = filled.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // DRAWS_PER_HASH)))).withColumn(
+        "_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), "_id", F.col("_group").cast("string")))
+    )
     while True:
-        draw = lambda tree: F.pmod(F.xxhash64("_id", tree, F.lit(seed)), F.lit(HASH_SPACE))
-        cut_off = HASH_SPACE if not rows else min(HASH_SPACE, int(HASH_SPACE * thinning * psi / rows) + 1)
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < F.lit(cut_off))
-        draws = filled.withColumn("tree", F.explode_outer(chosen)).where("tree IS NOT NULL").repartition(FIT_TASKS, "tree")
-        sample = cut(first_per_key(draws, ["tree"], [draw(F.col("tree")), F.col("_id")], psi))
+        limit = space if not rows else min(space, int(space * thinning * psi / rows) + 1)
+
+        def chance(slot: int) -> Column:
+            draw = F.substr("_hash", F.lit(1 + DRAW_DIGITS * slot), F.lit(DRAW_DIGITS))
+            tree = F.col("_group") * DRAWS_PER_HASH + slot
+            small = F.lit(True) if limit == space else draw < F.lit(f"{limit:0{DRAW_DIGITS}x}")
+            return F.when(small & (tree < trees), F.struct(tree.alias("tree"), draw.alias("draw")))
+
+        chosen = F.array_compact(F.array(*[chance(slot) for slot in range(DRAWS_PER_HASH)]))
+        draws = hashes.withColumn("_draw", F.explode(chosen)).select(*filled.columns, "_draw.tree", "_draw.draw").repartition(FIT_TASKS, "tree")
+        sample = cut(first_per_key(draws, ["tree"], ["draw", "_id"], psi))
         sizes = [row["count"] for row in sample.groupBy("tree").count().collect()]
-        if cut_off == HASH_SPACE or len(sizes) == trees and min(sizes) >= min(psi, rows):
+        if limit == space or len(sizes) == trees and min(sizes) >= min(psi, rows):
             return sample
         thinning *= 2
 
 
+def _fraction(start: int) -> str:
+    """SQL: a number from 0 up to 1 from hexadecimal digits of ``_hash``."""
+    return f"CAST(CAST(CONV(SUBSTR(_hash, {start}, {FRACTION_DIGITS}), 16, 10) AS BIGINT) AS DOUBLE) / {16**FRACTION_DIGITS}D"
+
+
+def grow_forest(sample: DataFrame, features: Sequence[str], seed: int, max_depth: int) -> DataFrame:
+    """(tree, node, feature, split, size) of the nodes of all trees, from the sampled rows (tree, features).
+
+    Node 1 is the root, 2 i and 2 i + 1 are below node i; a leaf has no feature. A node's hash picks one of the features that vary in it, and a place
+    between its smallest and largest value: rows up to there go to 2 i. Each level is one window over (tree, node); rows stay with
+    the tasks of their tree, so all levels take one shuffle of the sample, whose size doesn't depend on the data's.
+    """
+    own = "OVER (PARTITION BY tree, node)"
+    names = [f"`{f}`" for f in features]
+    # The expressions of a level are SQL text: as columns they would take longer to build than to run.
+    varying = ", ".join(
+        f"CASE WHEN _high{i} > _low{i} THEN STRUCT({i} AS feature, _low{i} AS low, _high{i} AS high, {name} AS value) END" for i, name in enumerate(names)
+    )
+    state = sample.select("tree", *features).repartition(FIT_TASKS, "tree").selectExpr("tree", *names, "1L AS node")
+    kept: list[str] = []
+    for level in range(max_depth):
+        ends = [f"{way}({name}) {own} AS {end}{i}" for i, name in enumerate(names) for way, end in (("MIN", "_low"), ("MAX", "_high"))]
+        state = state.selectExpr("*", f"COUNT(1) {own} AS _size", *ends)
+        state = state.selectExpr(
+            "tree", *names, "node", *kept, "_size", f"ARRAY_COMPACT(ARRAY({varying})) AS _varying", f"MD5(CONCAT_WS('|', '{seed}', tree, node)) AS _hash"
+        )
+        state = state.selectExpr("*", f"GET(_varying, CAST(FLOOR({_fraction(1)} * SIZE(_varying)) AS INT)) AS _picked")
+        state = state.selectExpr("*", f"_picked.low + {_fraction(1 + FRACTION_DIGITS)} * (_picked.high - _picked.low) AS _between")
+        state = state.selectExpr("*", "CASE WHEN _between < _picked.high THEN _between ELSE _picked.low END AS _split")
+        found = f"STRUCT(node, _picked.feature AS feature, _split AS split, _size AS size) AS _node{level}"
+        below = "COALESCE(2 * node + CAST(_picked.value > _split AS BIGINT), node) AS node"
+        state = state.selectExpr("tree", *names, below, *kept, found)
+        kept.append(f"_node{level}")
+    state = state.selectExpr("*", f"COUNT(1) {own} AS _size")
+    last = "STRUCT(node, CAST(NULL AS INT) AS feature, CAST(NULL AS DOUBLE) AS split, _size AS size)"
+    nodes = state.selectExpr("tree", f"INLINE(ARRAY({', '.join([*kept, last])}))")
+    # A leaf above the last level was found once per level below it.
+    return nodes.groupBy("tree", "node").agg(*[F.max(c).alias(c) for c in ("feature", "split", "size")])
+
+
 def fit_forest(
     z: DataFrame, id_col: str, features: Sequence[str], rows: int, trees: int = 200, psi: int = 256, seed: int = 42,
 ) -> DataFrame:
-    """Nodes of all trees: (tree, node, feature, split, left, right, path). ``rows`` is the number of rows of ``z``."""
-    features = list(features)
-    filled = z.select(F.col(id_col).cast("string").alias("_id"), *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features])
-    sample = draw_samples(filled, rows, trees, psi, seed)
-    max_depth = math.ceil(math.log2(max(psi, 2)))
-
-    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        ordered = rows.sort_values("_id")[features].to_numpy("float64")
-        nodes = grow_tree(ordered, np.random.default_rng([seed, tree]), max_depth)
-        nodes.insert(0, "tree", tree)
-        return nodes
-
-    schema = "tree int, node int, feature int, split double, left int, right int, path double"
-    return sample.groupBy("tree").applyInPandas(grow, schema)
+    """Nodes of all trees, as ``grow_forest`` has them. ``rows`` is the number of rows of ``z``."""
+    filled = prepared(z, id_col, features).withColumn("_id", F.col(id_col).cast("string")).drop(id_col)
+    return grow_forest(draw_samples(filled, rows, trees, psi, seed), features, seed, tree_depth(psi))
 
 
 def score_forest(
@@ -110,35 +136,36 @@ def score_forest(
     The forest has at most trees x (2 psi - 1) nodes, whatever the size of the data; it is broadcast.
     """
     features = list(features)
-    nodes = forest.toPandas().sort_values(["tree", "node"])
-    trees = [
-        tuple(group[column].to_numpy() for column in ["feature", "split", "left", "right", "path"])
-        for _, group in nodes.groupby("tree")
-    ]
-    depth = math.ceil(math.log2(max(psi, 2)))
-    shared = z.sparkSession.sparkContext.broadcast(trees)
+    nodes = forest.toPandas()
+    depth = tree_depth(psi)
+    names, at = np.unique(nodes["tree"].to_numpy(np.int64), return_inverse=True)
+    place = (at, nodes["node"].to_numpy(np.int64))
+    feature = np.full((len(names), 2 << depth), -1)
+    split, path = np.zeros(feature.shape), np.zeros(feature.shape)
+    feature[place] = nodes["feature"].fillna(-1).to_numpy(np.int64)
+    split[place] = nodes["split"].fillna(0.0).to_numpy(float)
+    path[place] = np.floor(np.log2(place[1])) + average_path(nodes["size"].to_numpy(float))
+    shared = z.sparkSession.sparkContext.broadcast((feature, split, path))
     scale = float(average_path(min(psi, rows))) or 1.0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        feature, split, path = shared.value
         for batch in batches:
             values = batch[features].to_numpy("float64")
             total = np.zeros(len(values))
             every = np.arange(len(values))
-            for feature, split, left, right, path in shared.value:
-                at = np.zeros(len(values), dtype="int64")
+            for tree in range(len(feature)):
+                node = np.ones(len(values), dtype="int64")
                 for _ in range(depth):
-                    inner = feature[at] >= 0
-                    if not inner.any():
-                        break
-                    below = values[every, np.maximum(feature[at], 0)] <= split[at]
-                    at = np.where(inner, np.where(below, left[at], right[at]), at)
-                total += path[at]
-            mean = total / max(len(shared.value), 1)
+                    asked = feature[tree, node]
+                    below = 2 * node + (values[every, np.maximum(asked, 0)] > split[tree, node])
+                    node = np.where(asked >= 0, below, node)
+                total += path[tree, node]
+            mean = total / max(len(feature), 1)
             yield pd.DataFrame({id_col: batch[id_col], "if_anomaly_score": np.exp2(-mean / scale) - 0.5})
 
     id_type = dict(z.dtypes)[id_col]
-    filled = z.select(id_col, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in features])
-    return filled.mapInPandas(score, f"{id_col} {id_type}, if_anomaly_score double")
+    return prepared(z, id_col, features).mapInPandas(score, f"{id_col} {id_type}, if_anomaly_score double")
 
 
 def isolation_forest(

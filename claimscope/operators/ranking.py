@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.operators.scale import ordered_counts, spread_join
+from claimscope.operators.scale import ordered_counts, ordered_rows, spread_join
 
 # Scores are compared to this many decimals: sums over a cluster have no fixed order of addition.
 RANK_DIGITS = 9
@@ -40,21 +41,40 @@ def global_rank(
     return spread_join(valued, ranks, "_value", "left", spread_by=spread_by or df.columns, counts=counts).drop("_value")
 
 
-def percentile_ranks(df: DataFrame, keys: Sequence[str], cols: Sequence[str], digits: int = RANK_DIGITS) -> DataFrame:
-    """``<col>_pct`` for several columns at once: ascending average rank divided by the number of rows."""
+@dataclass(frozen=True)
+class Rank:
+    """A column to be ranked, and how: a kind of ``rank_value``, largest or smallest value first, compared to ``digits`` decimals."""
+
+    column: str
+    kind: str = "min"
+    desc: bool = True
+    digits: int = RANK_DIGITS
+
+
+def global_ranks(df: DataFrame, keys: Sequence[str], ranks: Mapping[str, Rank], buckets: int | None = None) -> DataFrame:
+    """``df`` with several ranks over the whole table, one column per name in ``ranks``; ``keys`` are unique in ``df`` and not null.
+
+    All (rank, value, keys) rows are sorted together in ranges of values, one shuffle for any number of ranks, and brought back to a row per
+    key by a second one. No rank is joined back on its value, so values with very many ties cost nothing. Rows
+    with a null value get a null rank. ``df`` is read several times: cut it first if it is costly.
+    """
     keys = list(keys)
-    valued = df.select(*keys, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in cols])
-    long = valued.unpivot(keys, list(cols), "_column", "_value")
-    ordered = ordered_counts(long, "_value", group="_column")
-    ranks = ordered.select("_column", "_value", rank_value("pct", desc=False).alias("_pct"))
-    counts = ordered.select("_column", "_value", F.col("ties").alias("n"))
-    ranked = spread_join(long, ranks, ["_column", "_value"], "left", spread_by=keys, counts=counts)
-    wide = ranked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_column") == c, F.col("_pct"))).alias(f"{c}_pct") for c in cols
+    values = []
+    for rank in ranks.values():
+        value = F.round(F.col(rank.column).cast("double"), rank.digits)
+        values.append((-value if rank.desc else value) + F.lit(0.0))  # the sum makes -0.0 of it 0.0
+    placed = ordered_rows(df, keys, values, buckets)
+    wide = placed.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("series") == i, rank_value(rank.kind, desc=False))).alias(out) for i, (out, rank) in enumerate(ranks.items())
     ])
     return df.join(wide, keys, "left")
 
 
+def percentile_ranks(df: DataFrame, keys: Sequence[str], cols: Sequence[str], digits: int = RANK_DIGITS) -> DataFrame:
+    """``<col>_pct`` for several columns at once: ascending average rank divided by the number of rows."""
+    return global_ranks(df, keys, {f"{c}_pct": Rank(c, "pct", False, digits) for c in cols})
+
+
 def top_k(df: DataFrame, col: str, k: int, tie: str | Sequence[str], desc: bool = False) -> DataFrame:
     """The k rows with the smallest (``desc``: largest) value; equal values in order of ``tie``. Nulls come last."""
     ties = [tie] if isinstance(tie, str) else list(tie)

@@ -11,12 +11,16 @@ from claimscope.functions.columns import individual_score, name_penalty
 from claimscope.functions.constants import COHORT_SCORED, COHORT_WEIGHTS, FLAG_WEIGHTS, PERCENTILE_WEIGHTS
 from claimscope.operators.matching import best_tier
 from claimscope.operators.networks import OFFICIAL
-from claimscope.operators.ranking import RANK_DIGITS, global_rank, percentile_ranks
+from claimscope.operators.ranking import RANK_DIGITS, Rank, global_ranks, percentile_ranks
 from claimscope.operators.sets import attach_lookup, attach_match_flag
 from claimscope.operators.standardize import extreme_count, preprocess
 from claimscope.session import cut
 
 
+# Amounts that are equal to the cent tie.
+DOLLAR_RANK = Rank("dollar_weighted_score", "average_floor", digits=2)
+
+
 def weighted(weights: Mapping[str, float], suffix: str = "") -> Column:
     total = F.lit(0.0)
     for name, weight in weights.items():
@@ -25,9 +29,9 @@ def weighted(weights: Mapping[str, float], suffix: str = "") -> Column:
 
 
 def dollar_weight(scores: DataFrame) -> DataFrame:
-    """Anomaly score times payments, and its rank. Amounts that are equal to the cent tie."""
+    """Anomaly score times payments, and its rank, of one row per provider."""
     weighted_scores = scores.withColumn("dollar_weighted_score", F.col("if_anomaly_score") * F.col("total_paid"))
-    return global_rank(weighted_scores, "dollar_weighted_score", "average_floor", "dollar_rank", digits=2, spread_by=["billing_npi"])
+    return global_ranks(weighted_scores, ["billing_npi"], {"dollar_rank": DOLLAR_RANK})
 
 
 def cohort_risk(features: DataFrame) -> DataFrame:
@@ -40,7 +44,7 @@ def cohort_risk(features: DataFrame) -> DataFrame:
     scored = extreme_count(z, COHORT_SCORED, 2, "hh_extreme_count").select(
         "billing_npi", "hh_extreme_count", F.round(weighted(COHORT_WEIGHTS), RANK_DIGITS).alias("hh_risk_score")
     )
-    ranked = global_rank(cut(scored), "hh_risk_score", "average_floor", "hh_risk_rank", spread_by=["billing_npi"])
+    ranked = global_ranks(cut(scored), ["billing_npi"], {"hh_risk_rank": Rank("hh_risk_score", "average_floor")})
     return features.join(ranked, "billing_npi", "left")
 
 
@@ -64,7 +68,7 @@ def network_risk(networks: DataFrame, ind: DataFrame, org: DataFrame, deact: Dat
     ranked = percentile_ranks(scored, OFFICIAL, list(PERCENTILE_WEIGHTS))
     total = F.col("leie_ind_score") + weighted(FLAG_WEIGHTS) + weighted(PERCENTILE_WEIGHTS, "_pct")
     composed = cut(ranked.withColumn("risk_score", F.round(total, RANK_DIGITS)))
-    return global_rank(composed, "risk_score", "average_floor", "risk_rank", spread_by=OFFICIAL)
+    return global_ranks(composed, OFFICIAL, {"risk_rank": Rank("risk_score", "average_floor")})
 
 
 def flag_subset(risk: DataFrame, max_rank: int = 100) -> DataFrame:

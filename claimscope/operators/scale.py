@@ -1,7 +1,7 @@
 """Building blocks that hold when one key has a large share of all rows.
 
 * ``lookup_join`` / ``spread_join``: join to a smaller table without sending a hot key to one task.
-* ``ordered_counts`` / ``exact_quantiles``: exact positions in a sorted order, without a one-task window.
+* ``ordered_counts`` / ``ordered_rows`` / ``exact_quantiles``: exact positions in a sorted order, without a one-task window.
 * ``summed_for``: sums restricted to listed ids, without shuffling unsummed rows by id.
 
 They run small jobs while they build their plan; what the driver gets is bounded by the constants below, not by the data.
@@ -9,8 +9,10 @@ They run small jobs while they build their plan; what the driver gets is bounded
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,6 +160,56 @@ def ordered_counts(df: DataFrame, value: str, group: str | None = None, buckets:
     )
 
 
+def ordered_rows(df: DataFrame, keys: Sequence[str], values: Sequence[Column], buckets: int | None = None) -> DataFrame:
+    """The place in ascending order of each row's values, for several series of values at once: (keys, series, before, ties, n).
+
+    ``series`` is the place of the value in ``values`` (doubles); ``before`` rows have a smaller value of it, ``ties`` rows the same, ``n`` rows any; nulls have no place.
+    Each series is cut at approximate quantiles, and rows are counted per range. A value that is a cut itself has a range of
+    its own, whose count is all that its rows need: so however many rows share a value, none of them is sorted. The other rows
+    are shuffled once, by range, and ordered within it. The cuts only affect the balance, never the result.
+    """
+    spark = df.sparkSession
+    buckets = buckets or bucket_number(df)
+    names = [f"_v{i}" for i in range(len(values))]
+    wide = df.select(*keys, *[value.alias(name) for name, value in zip(names, values, strict=True)])
+    parts = [i / buckets for i in range(1, buckets)]
+    # The driver gets at most `buckets` numbers per series here, twice as many below.
+    found = wide.agg(*[F.struct(F.count(n).alias("n"), F.percentile_approx(n, parts, F.lit(100 * buckets)).alias("cuts")).alias(n) for n in names]).first()
+
+    def long(frame: DataFrame, *more: str) -> DataFrame:
+        entries = [F.struct(F.lit(i).alias("series"), F.col(n).alias("value"), *[F.col(f"{m}{i}").alias(m) for m in more]) for i, n in enumerate(names)]
+        return frame.select(*keys, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+
+    if max(found[n]["n"] for n in names) <= ONE_TASK_VALUES:
+        upwards = Window.partitionBy("series").orderBy("value")
+        placed = long(wide).withColumns({
+            "before": (F.rank().over(upwards) - 1).cast("bigint"), "ties": F.count(F.lit(1)).over(Window.partitionBy("series", "value")),
+            "n": F.count(F.lit(1)).over(Window.partitionBy("series")),
+        })
+        return placed.select(*keys, "series", "before", "ties", "n")
+    splits = [[-math.inf, *sorted({float(c) for c in found[n]["cuts"] or [] if math.isfinite(c)} or {0.0}), math.inf] for n in names]
+    binned = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"bin{i}" for i in range(len(names))], handleInvalid="keep").transform(wide)
+    edges = spark.createDataFrame(
+        [(i, float(b), low) for i, own in enumerate(splits) for b, low in enumerate(own)], "series int, bin double, low double"
+    )
+    rows = long(binned, "bin").join(F.broadcast(edges), ["series", "bin"]).withColumn("inside", F.col("value") > F.col("low")).drop("low")
+    sizes = rows.groupBy("series", "bin", "inside").agg(F.count(F.lit(1)).alias("size")).collect()
+    starts, totals = [], [0] * len(names)
+    for row in sorted(sizes, key=lambda r: (r["series"], r["bin"], r["inside"])):
+        starts.append((row["series"], row["bin"], row["inside"], totals[row["series"]], row["size"]))
+        totals[row["series"]] += row["size"]
+    offsets = spark.createDataFrame(
+        [(*start, totals[start[0]]) for start in starts], "series int, bin double, inside boolean, offset bigint, size bigint, n bigint"
+    )
+    rows = rows.join(F.broadcast(offsets), ["series", "bin", "inside"])
+    on_cut = rows.where("not inside").select(*keys, "series", F.col("offset").alias("before"), F.col("size").alias("ties"), "n")
+    upwards = Window.partitionBy("series", "bin").orderBy("value")
+    between = rows.where("inside").withColumns({
+        "before": F.col("offset") + F.rank().over(upwards) - 1, "ties": F.count(F.lit(1)).over(Window.partitionBy("series", "bin", "value"))
+    })
+    return on_cut.unionByName(between.select(*keys, "series", "before", "ties", "n"))
+
+
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], group: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per name in ``probabilities``."""
     ordered = ordered_counts(df, value, group)

@@ -12,7 +12,8 @@ from claimscope.functions.constants import MODEL_FEATURES, PROFILE_FEATURES
 from claimscope.operators import claims as C
 from claimscope.operators import peers, profile, ranking, sets
 from claimscope.operators.iforest import isolation_forest
-from claimscope.operators.risk import dollar_weight
+from claimscope.operators.ranking import Rank
+from claimscope.operators.risk import DOLLAR_RANK
 from claimscope.operators.scale import summed_for
 from claimscope.operators.standardize import extreme_count, preprocess
 from claimscope.session import cut
@@ -99,23 +100,23 @@ def feature_summary(features: DataFrame) -> DataFrame:
 def zscore_baseline(features: DataFrame, threshold: float = 3) -> DataFrame:
     """Number of extreme features per provider, and its rank (ties share the best place)."""
     counted = extreme_count(preprocess(features), MODEL_FEATURES, threshold, "zscore_count").select("billing_npi", "zscore_count")
-    return ranking.global_rank(cut(counted), "zscore_count", "min", "zscore_rank", spread_by=["billing_npi"])
+    return ranking.global_ranks(cut(counted), ["billing_npi"], {"zscore_rank": Rank("zscore_count")})
 
 
 def score_providers(features: DataFrame, trees: int = 200, psi: int = 256, seed: int = 42, threshold: float = 3) -> DataFrame:
     """Features with z-score count, forest score, dollar-weighted score and the rank of each.
 
-    ``features`` should be a stored table: it is read several times.
+    All three ranks come from one pass. ``features`` should be a stored table: it is read several times.
     """
     z = cut(preprocess(features))
     counted = extreme_count(z, MODEL_FEATURES, threshold, "zscore_count").select("billing_npi", "zscore_count")
     forest = isolation_forest(z, "billing_npi", MODEL_FEATURES, trees, psi, seed)
     paid = features.select("billing_npi", "total_paid")
-    base = cut(C.assemble(counted, forest, paid))
-    by_forest = ranking.global_rank(base, "if_anomaly_score", "average_floor", "if_rank", spread_by=["billing_npi"])
-    by_count = ranking.global_rank(by_forest, "zscore_count", "min", "zscore_rank", spread_by=["billing_npi"])
-    scores = dollar_weight(by_count).drop("total_paid")
-    return features.join(scores, "billing_npi")
+    base = cut(C.assemble(counted, forest, paid).withColumn("dollar_weighted_score", F.col("if_anomaly_score") * F.col("total_paid")))
+    ranked = ranking.global_ranks(base, ["billing_npi"], {
+        "if_rank": Rank("if_anomaly_score", "average_floor"), "zscore_rank": Rank("zscore_count"), "dollar_rank": DOLLAR_RANK,
+    })
+    return features.join(ranked.drop("total_paid"), "billing_npi")
 
 
 def score_quantiles(scores: DataFrame, column: str = "if_anomaly_score") -> DataFrame:

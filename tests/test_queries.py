@@ -7,7 +7,7 @@ from claimscope.catalog import CHECKS, QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
 # No SQL twin: a random sample and the forest. Their properties are tested elsewhere.
-UNCHECKED = {"s10_uniform_sample", "m4_isolation_forest", "r3_score_providers", "r4_top_anomalies_forest", "r4_top_anomalies_dollars"}
+UNCHECKED = {"s10_uniform_sample"}
 
 
 @pytest.fixture(scope="module")

@@ -79,6 +79,43 @@ def test_rank_of_null_is_null(spark):
     assert [row["rank"] for row in rows] == [1, None, 1]
 
 
+RANKS = {
+    "most": ranking.Rank("value", "average_floor"), "least": ranking.Rank("value", "min", desc=False), "tied": ranking.Rank("few"),
+    "share": ranking.Rank("few", "pct", desc=False), "gaps": ranking.Rank("gap", "average_floor"), "none": ranking.Rank("empty"),
+}
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_several_ranks_in_one_pass(skewed, monkeypatch, large):
+    """Ranks with few values, a value that a third of all rows share, -0.0, infinite values, nulls and no values at all."""
+    if large:
+        monkeypatch.setattr(scale, "ONE_TASK_VALUES", 0)
+    frame, df = skewed
+    number = F.regexp_extract("id", "(\\d+)$", 1).cast("int")
+    df = df.withColumns({
+        "few": F.when(number % 3 == 0, F.lit(-0.0)).when(number % 5 == 0, F.lit(0.0)).when(number % 7 == 0, F.lit(float("inf"))).otherwise((number % 11).cast("double")),
+        "gap": F.when(number % 4 > 0, F.col("value")), "empty": F.lit(None).cast("double"),
+    })
+    ranked = ranking.global_ranks(df, ["id"], RANKS, buckets=16).toPandas().sort_values("id").reset_index(drop=True)
+    assert len(ranked) == len(frame)
+    values = ranked.assign(few=ranked["few"] + 0.0)
+    expected = {
+        "most": values["value"].rank(ascending=False) // 1, "least": values["value"].rank(method="min"), "tied": values["few"].rank(ascending=False, method="min"),
+        "share": values["few"].rank(pct=True), "gaps": values["gap"].rank(ascending=False) // 1,
+    }
+    for name, column in expected.items():
+        assert np.allclose(ranked[name].to_numpy(float), column.to_numpy(float), equal_nan=True), name
+    assert ranked["none"].isna().all()
+
+
+def test_ranks_take_one_shuffle_by_range_and_one_by_key(skewed, monkeypatch):
+    monkeypatch.setattr(scale, "ONE_TASK_VALUES", 0)
+    _, df = skewed
+    placed = scale.ordered_rows(df, ["id"], [F.col("value"), -F.col("value")], buckets=16)
+    text = placed._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "hashpartitioning(series" in text and "hashpartitioning(value" not in text
+
+
 def test_percentile_ranks(skewed, forced):
     frame, df = skewed
     df = df.withColumn("digit", F.substring("id", 6, 1).cast("int"))
