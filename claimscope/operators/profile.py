@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.columns import count_of, ratio, share_of
-from claimscope.operators.scale import exact_quantiles
+from claimscope.operators.quantiles import column_quantiles
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -32,9 +32,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str], probabilities: Mapping[s
 
 
 def numeric_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Mapping[str, float] = QUARTILES) -> DataFrame:
-    """Per column: exact quantiles, all columns in one pass."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "value")
-    return exact_quantiles(long, "value", dict(probabilities), group="column")
+    """Per column: exact quantiles, all columns in the same scans."""
+    return column_quantiles(df, cols, probabilities)
 
 
 def one_pass(df: DataFrame, numbers: Sequence[str], dates: Sequence[str], rates: Mapping[str, Column]) -> DataFrame:
@@ -130,7 +129,7 @@ def compare_groups(df: DataFrame, group: str, medians: Mapping[str, str], means:
     result = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(column).alias(name) for name, column in means.items()]
     ).withColumn("pct", 100 * ratio(F.col("n"), total))
-    for name, column in medians.items():
-        doubles = df.select(group, F.col(column).cast("double").alias(column))
-        result = result.join(exact_quantiles(doubles, column, {name: 0.5}, group=group), group, "left")
-    return result
+    middle = column_quantiles(df, list(dict.fromkeys(medians.values())), {"_median": 0.5}, group)
+    wide = middle.groupBy(group).agg(*[F.max(F.when(F.col("column") == column, F.col("_median"))).alias(name) for name, column in medians.items()])
+    names = wide.withColumnRenamed(group, "_name")
+    return result.join(F.broadcast(names), F.col(group).eqNullSafe(F.col("_name")), "left").drop("_name")

@@ -1,7 +1,7 @@
 """Building blocks that hold when one key has a large share of all rows.
 
 * ``lookup_join`` / ``spread_join``: join to a smaller table without sending a hot key to one task.
-* ``ordered_counts`` / ``ordered_rows`` / ``exact_quantiles``: exact positions in a sorted order, without a one-task window.
+* ``ordered_counts`` / ``ordered_rows``: exact positions in a sorted order, without a one-task window.
 * ``summed_for``: sums restricted to listed ids, without shuffling unsummed rows by id.
 
 They run small jobs while they build their plan; what the driver gets is bounded by the constants below, not by the data.
@@ -208,24 +208,3 @@ def ordered_rows(df: DataFrame, keys: Sequence[str], values: Sequence[Column], b
         "before": F.col("offset") + F.rank().over(upwards) - 1, "ties": F.count(F.lit(1)).over(Window.partitionBy("series", "bin", "value"))
     })
     return on_cut.unionByName(between.select(*keys, "series", "before", "ties", "n"))
-
-
-def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float], group: str | None = None) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per name in ``probabilities``."""
-    ordered = ordered_counts(df, value, group)
-
-    def at(position: Column) -> Column:
-        inside = (F.col("before") <= position) & (position < F.col("before") + F.col("ties"))
-        return F.max(F.when(inside, F.col(value).cast("double")))
-
-    aggregates = [F.max("n").alias("_n")]
-    for name, p in probabilities.items():
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        aggregates += [at(F.floor(position)).alias(f"_lo_{name}"), at(F.ceil(position)).alias(f"_hi_{name}")]
-    found = ordered.groupBy(*([group] if group else [])).agg(*aggregates)
-    results = []
-    for name, p in probabilities.items():
-        position = F.lit(float(p)) * (F.col("_n") - 1)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        results.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return found.select(*([group] if group else []), *results)

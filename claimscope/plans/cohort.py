@@ -183,10 +183,7 @@ def cohort_summary(features: DataFrame, k: int = 30) -> DataFrame:
         F.sum("total_paid").alias("total_paid"), count_of(F.col("hh_extreme_count") >= 2).alias("n_extreme"),
     )
     top = ranking.top_k(features, "hh_risk_rank", k, "billing_npi").agg(F.sum("total_paid").alias("top_paid"))
-    doubles = features.select("paid_per_claim", "hh_max_peer_zscore").unpivot(
-        [], ["paid_per_claim", "hh_max_peer_zscore"], "column", "value"
-    )
-    quantiles = profile.exact_quantiles(doubles, "value", {"p50": 0.5}, group="column")
+    quantiles = profile.numeric_quantiles(features, ["paid_per_claim", "hh_max_peer_zscore"], {"p50": 0.5})
     medians = quantiles.agg(*[
         F.max(F.when(F.col("column") == name, F.col("p50"))).alias(f"median_{name}")
         for name in ("paid_per_claim", "hh_max_peer_zscore")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from claimscope.operators import ranking, scale
+from claimscope.operators import quantiles, ranking, scale
 from claimscope.session import cut
 
 
@@ -125,13 +125,50 @@ def test_percentile_ranks(skewed, forced):
     assert np.allclose(ranked["digit_pct"], digit.rank(pct=True))
 
 
-def test_exact_quantiles(skewed, forced):
+@pytest.mark.parametrize("values, margin, size", [(10**6, 0.002, 4000), (300, 0.01, 200), (50, 0.0, 8), (3, 0.3, 8)])
+def test_exact_quantiles(skewed, monkeypatch, values, margin, size):
+    """With good sketches, sketches of sketches, and sketches so bad that places fall outside of their brackets."""
+    for name, value in (("BRACKET_VALUES", values), ("SKETCH_MARGIN", margin), ("SKETCH_SIZE", size)):
+        monkeypatch.setattr(quantiles, name, value)
     frame, df = skewed
+    number = F.regexp_extract("id", "(\\d+)$", 1).cast("int")
+    df = df.withColumns({
+        "g": F.when(number % 10 > 0, F.col("key") == "hot"), "whole": number % 4, "gap": F.when(number % 3 > 0, F.col("value")), "none": F.lit(None).cast("double"),
+    })
+    local = df.toPandas()
     probabilities = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    rows = scale.exact_quantiles(df.withColumn("g", F.col("key") == "hot"), "value", probabilities, group="g").collect()
+    columns = ["value", "whole", "gap", "none"]
+    rows = quantiles.column_quantiles(df, columns, probabilities, group="g").collect()
+    assert sorted(str((r["g"], r["column"])) for r in rows) == sorted(str((g, c)) for g in (True, False, None) for c in columns[:3])
     for row in rows:
-        expected = frame.loc[(frame["key"] == "hot") == row["g"], "value"].quantile(list(probabilities.values()))
-        assert np.allclose([row[name] for name in probabilities], expected)
+        mask = local["g"].isna() if row["g"] is None else local["g"] == row["g"]
+        assert np.allclose([row[name] for name in probabilities], local.loc[mask, row["column"]].astype(float).quantile(list(probabilities.values()))), row
+    whole = {r["column"]: r for r in quantiles.column_quantiles(df, columns, probabilities).collect()}
+    assert set(whole) == {"value", "whole", "gap"}
+    assert np.allclose([whole["gap"][name] for name in probabilities], local["gap"].quantile(list(probabilities.values())))
+    assert quantiles.column_quantiles(df.limit(0), columns, probabilities, group="g").count() == 0
+
+
+def test_quantiles_of_nan_and_infinite_values(spark):
+    values = [float("nan"), float("inf"), 1.0, 2.0, None, float("-inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = quantiles.column_quantiles(df, ["v"], {"low": 0.0, "second": 0.2, "fourth": 0.6, "top": 1.0}).first()
+    assert (row["low"], row["second"], row["fourth"]) == (float("-inf"), 1.0, float("inf")) and np.isnan(row["top"])
+
+
+def test_only_values_in_brackets_are_shuffled(spark):
+    df = spark.range(200_000).select((F.xxhash64("id") / F.lit(1e9)).alias("v"), (F.col("id") * 1.5).alias("w"))
+    local = df.toPandas()
+    kept = []
+    original = quantiles.cut
+    try:
+        quantiles.cut = lambda frame: kept.append(original(frame)) or kept[-1]
+        rows = {r["column"]: r for r in quantiles.column_quantiles(df, ["v", "w"], {"p25": 0.25, "p50": 0.5}).collect()}
+    finally:
+        quantiles.cut = original
+    for column in ("v", "w"):
+        assert np.allclose([rows[column]["p25"], rows[column]["p50"]], local[column].quantile([0.25, 0.5]))
+    assert len(kept) == 1 and kept[0].count() < 0.03 * 400_000
 
 
 def test_keep_first_prunes_before_the_shuffle(skewed):
