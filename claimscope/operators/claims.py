@@ -60,17 +60,32 @@ def provider_code(claims: DataFrame, attributes: Sequence[str] = ()) -> DataFram
 
     ``attributes`` are columns that depend on the code alone, such as its category.
     """
-    return (
-        claims.groupBy("billing_npi", "hcpcs_code", *attributes).agg(
-            F.sum("total_paid").alias("code_paid"),
-            F.sum("total_claims").alias("code_claims"),
-            F.sum("total_unique_beneficiaries").alias("code_beneficiaries"),
-            F.count(F.lit(1)).alias("code_rows"),
-            count_of(whole_dollars("total_paid")).alias("rows_round_dollar"),
-            count_of(multiple_of_100("total_paid")).alias("rows_round_hundred"),
-            count_of(F.col("billing_npi") != F.col("servicing_npi")).alias("rows_npi_mismatch"),
-        )
-        .withColumn("ppc", ratio("code_paid", "code_claims"))
+    return claims.groupBy("billing_npi", "hcpcs_code", *attributes).agg(*_code_sums()).withColumn("ppc", ratio("code_paid", "code_claims"))
+
+
+def _code_sums() -> list[Column]:
+    return [
+        F.sum("total_paid").alias("code_paid"),
+        F.sum("total_claims").alias("code_claims"),
+        F.sum("total_unique_beneficiaries").alias("code_beneficiaries"),
+        F.count(F.lit(1)).alias("code_rows"),
+        count_of(whole_dollars("total_paid")).alias("rows_round_dollar"),
+        count_of(multiple_of_100("total_paid")).alias("rows_round_hundred"),
+        count_of(F.col("billing_npi") != F.col("servicing_npi")).alias("rows_npi_mismatch"),
+    ]
+
+
+def provider_sums(claims: DataFrame) -> DataFrame:
+    """The rows of ``provider_code`` and of ``provider_month`` in one table, from one scan and one aggregation of the claims.
+
+    ``by_code`` tells them apart. Columns of the other kind are null, so aggregates of either kind run over the whole table.
+    """
+    keys = ["billing_npi", "hcpcs_code", "claim_from_month"]
+    sums = claims.groupingSets([keys[:2], keys[::2]], *keys).agg(*_code_sums(), (F.grouping("claim_from_month") == 1).alias("by_code"))
+    own = [name for name in sums.columns if name not in (*keys, "by_code")]
+    return sums.select(
+        *keys, "by_code", *[F.when(F.col("by_code"), F.col(name)).alias(name) for name in own],
+        F.when(F.col("by_code"), ratio("code_paid", "code_claims")).alias("ppc"), F.when(~F.col("by_code"), F.col("code_paid")).alias("monthly_paid"),
     )
 
 
@@ -79,7 +94,12 @@ def provider_month(claims: DataFrame) -> DataFrame:
 
 
 def monthly_stats(monthly: DataFrame, ddof: int) -> DataFrame:
-    """Active months, largest month and coefficient of variation per provider.
+    """Active months, largest month and coefficient of variation per provider, as ``monthly_aggregates``."""
+    return monthly.groupBy("billing_npi").agg(*monthly_aggregates(ddof))
+
+
+def monthly_aggregates(ddof: int) -> list[Column]:
+    """Of the months' sums of a provider.
 
     ``ddof`` 0: population deviation, and 0 unless the mean is positive. ``ddof`` 1: sample deviation, and 0 only for
     a zero mean or a single month.
@@ -89,11 +109,11 @@ def monthly_stats(monthly: DataFrame, ddof: int) -> DataFrame:
         variation = F.when(mean > 0, ratio(F.stddev_pop("monthly_paid"), mean)).otherwise(F.lit(0.0))
     else:
         variation = F.coalesce(ratio(F.stddev_samp("monthly_paid"), mean), F.lit(0.0))
-    return monthly.groupBy("billing_npi").agg(
+    return [
         F.count("claim_from_month").alias("num_active_months"),
         variation.alias("monthly_paid_cv"),
         F.max("monthly_paid").alias("max_monthly_paid"),
-    )
+    ]
 
 
 def with_intensity(totals: DataFrame) -> DataFrame:
@@ -106,35 +126,44 @@ def with_intensity(totals: DataFrame) -> DataFrame:
 
 def provider_totals(codes: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """Volume and intensity per provider, from ``provider_code`` rows (and ``monthly_stats`` for the active months)."""
-    totals = codes.groupBy("billing_npi").agg(
+    totals = with_intensity(codes.groupBy("billing_npi").agg(*total_aggregates()))
+    if months is None:
+        return totals
+    return totals.join(months.select("billing_npi", "num_active_months"), "billing_npi", "left")
+
+
+def total_aggregates() -> list[Column]:
+    """Of the codes' sums of a provider."""
+    return [
         F.sum("code_paid").alias("total_paid"),
         F.sum("code_claims").alias("total_claims"),
         F.sum("code_beneficiaries").alias("total_beneficiaries"),
         F.count("hcpcs_code").alias("num_hcpcs_codes"),
         F.sum("code_rows").alias("num_rows"),
-    )
-    totals = with_intensity(totals)
-    if months is None:
-        return totals
-    return totals.join(months.select("billing_npi", "num_active_months"), "billing_npi", "left")
+    ]
 
 
 def billing_patterns(codes: DataFrame) -> DataFrame:
     """Shares of whole-dollar rows, multiples of 100, and rows with another servicing provider, from code rows."""
+    return codes.groupBy("billing_npi").agg(*pattern_aggregates())
+
+
+def pattern_aggregates() -> list[Column]:
     rows = F.sum("code_rows")
-    return codes.groupBy("billing_npi").agg(
+    return [
         ratio(F.sum("rows_round_dollar"), rows).alias("pct_round_dollar"),
         ratio(F.sum("rows_round_hundred"), rows).alias("pct_round_hundred"),
         ratio(F.sum("rows_npi_mismatch"), rows).alias("pct_npi_mismatch"),
-    )
+    ]
 
 
 def concentration(codes: DataFrame) -> DataFrame:
     """Share of the best paid code in a provider's payments."""
-    return codes.groupBy("billing_npi").agg(
-        F.max("code_paid").alias("top_code_paid"),
-        ratio(F.max("code_paid"), F.sum("code_paid")).alias("revenue_concentration"),
-    )
+    return codes.groupBy("billing_npi").agg(*concentration_aggregates())
+
+
+def concentration_aggregates() -> list[Column]:
+    return [F.max("code_paid").alias("top_code_paid"), ratio(F.max("code_paid"), F.sum("code_paid")).alias("revenue_concentration")]
 
 
 def share_where(df: DataFrame, key: str, conditions: Mapping[str, Column]) -> DataFrame:

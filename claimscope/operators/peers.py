@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.functions.columns import ratio
@@ -39,8 +39,12 @@ def peer_zscore(
     stats = peer_stats(priced, ddof, code)
     counts = stats.select(code, F.col("num_providers").alias("n"))
     joined = attach_peer_stats(priced, min_peers(stats, min_count), code, entity, counts)
+    return joined.withColumn("peer_zscore", deviation_from_peers())
+
+
+def deviation_from_peers() -> Column:
     z = F.when(F.col("std_ppc") > 0, (F.col("ppc") - F.col("avg_ppc")) / F.col("std_ppc"))
-    return joined.withColumn("peer_zscore", F.coalesce(z, F.lit(0.0)))
+    return F.coalesce(z, F.lit(0.0))
 
 
 def peer_rollup(z: DataFrame, entity: str = "billing_npi", paid: str = "code_paid", positive_only: bool = False) -> DataFrame:
@@ -48,11 +52,12 @@ def peer_rollup(z: DataFrame, entity: str = "billing_npi", paid: str = "code_pai
 
     The mean is 0 where payments add up to zero, or with ``positive_only`` where they are not positive.
     """
+    return z.groupBy(entity).agg(*rollup_aggregates(paid, positive_only))
+
+
+def rollup_aggregates(paid: str = "code_paid", positive_only: bool = False) -> list[Column]:
     total = F.sum(paid)
     mean = ratio(F.sum(F.col("peer_zscore") * F.col(paid)), total)
     if positive_only:
         mean = F.when(total > 0, mean)
-    return z.groupBy(entity).agg(
-        F.coalesce(F.max("peer_zscore"), F.lit(0.0)).alias("max_peer_zscore"),
-        F.coalesce(mean, F.lit(0.0)).alias("mean_peer_zscore"),
-    )
+    return [F.coalesce(F.max("peer_zscore"), F.lit(0.0)).alias("max_peer_zscore"), F.coalesce(mean, F.lit(0.0)).alias("mean_peer_zscore")]

@@ -14,9 +14,9 @@ from claimscope.operators import peers, profile, ranking, sets
 from claimscope.operators.iforest import isolation_forest
 from claimscope.operators.ranking import Rank
 from claimscope.operators.risk import DOLLAR_RANK
-from claimscope.operators.scale import summed_for
+from claimscope.operators.scale import bucket_number, lookup_join, summed_for
 from claimscope.operators.standardize import extreme_count, preprocess
-from claimscope.session import cut
+from claimscope.session import cut, cut_by
 
 FEATURE_COLUMNS = [
     "billing_npi", "total_paid", "total_claims", "total_beneficiaries", "num_hcpcs_codes", "num_active_months", "num_rows",
@@ -75,23 +75,33 @@ def provider_features(
 ) -> DataFrame:
     """The 26 feature columns of every given provider that bills.
 
-    ``providers`` is the registry scoped to a state, one row per npi. Claims are read twice, once summed per code and
-    once per month; all else comes from those sums. Registry columns join the finished provider rows.
+    ``providers`` is the registry scoped to a state, one row per npi. The claims are read once: their sums per code and per
+    month are one table, bucketed by provider, and one aggregation of it, without a shuffle, gives all volume columns. Registry columns join the
+    finished provider rows.
     """
-    ids = providers.select(F.col("npi").alias("billing_npi"))
-    codes, monthly = summed_for(claims, ids, "billing_npi", C.provider_code, C.provider_month)
-    codes = cut(codes)
-    months = C.monthly_stats(monthly, ddof=0)
-    z = peers.peer_zscore(codes, min_count=min_peers, ddof=0)
-    volume = C.assemble(
-        C.provider_totals(codes), C.billing_patterns(codes), C.concentration(codes), months, peers.peer_rollup(z),
-    )
+    volume = provider_volume(provider_sums_of(claims, providers), min_peers)
     registry = C.registry_flags(providers, deactivated).withColumn(
         "provider_age_years", age_years("enumeration_date", as_of)
     ).withColumnRenamed("npi", "billing_npi")
     return volume.join(registry, "billing_npi").select(*FEATURE_COLUMNS)
 
 
+def provider_sums_of(claims: DataFrame, providers: DataFrame) -> DataFrame:
+    """Stored sums per code and per month of the given providers, bucketed by provider."""
+    ids = providers.select(F.col("npi").alias("billing_npi"))
+    return cut_by(summed_for(claims, ids, "billing_npi", C.provider_sums)[0], "billing_npi", bucket_number(claims))
+
+
+def provider_volume(sums: DataFrame, min_peers: int) -> DataFrame:
+    """All columns of a provider that come from its sums. Peer statistics are joined by code; month rows have no code, and no z-score."""
+    stats = peers.min_peers(peers.peer_stats(sums.where("by_code"), ddof=0), min_peers)
+    priced = lookup_join(sums, stats, "hcpcs_code", "left", spread_by=["billing_npi", "claim_from_month"])
+    scored = priced.withColumn("peer_zscore", F.when(F.col("by_code"), peers.deviation_from_peers()))
+    return C.with_intensity(scored.groupBy("billing_npi").agg(
+        *C.total_aggregates(), *C.pattern_aggregates(), *C.concentration_aggregates(), *C.monthly_aggregates(ddof=0), *peers.rollup_aggregates(),
+    ))
+
+
 def feature_summary(features: DataFrame) -> DataFrame:
     """Median, mean and maximum of the numeric features."""
     return profile.numeric_profile(features, PROFILE_FEATURES, {"p50": 0.5}).select("column", "p50", "mean", "max")

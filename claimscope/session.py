@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Names of the bucketed tables of an application.
+_TABLES: dict[str, list[str]] = {}
+
 
 def build_session(app: str = "claimscope", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans are written for; ``conf`` overrides any of them."""
@@ -62,8 +65,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``cut`` into a table bucketed and sorted by ``key``: steps that group or join by the key read it without a shuffle.
+
+    The table has a name of its own in the session's catalog, which ``clean_up`` takes out again.
+    """
+    spark = df.sparkSession
+    name = f"stage_{uuid.uuid4().hex}"
+    bucketed = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    bucketed.option("path", scratch_path(spark, "stage")).saveAsTable(name)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
 def clean_up(spark: SparkSession, folder: str | None = None) -> None:
     """Remove the application's folder of intermediate tables (or ``folder``), in whatever file system it lies."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []) if folder is None else []:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = folder or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

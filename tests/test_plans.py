@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimscope.catalog.views import Tables
 from claimscope.operators import claims as C
 from claimscope.operators import peers, scale
+from claimscope import session
 from claimscope.session import cut
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -70,3 +71,27 @@ def test_large_ranks_have_no_one_task_window(stored_claims, monkeypatch):
     monkeypatch.setattr(scale, "ONE_TASK_VALUES", 0)
     text = plan(scale.ordered_counts(stored_claims, "total_paid"))
     assert re.search(r"Exchange hashpartitioning\(_group#\d+, bucket#\d+", text) and "SinglePartition" not in text
+
+
+def test_features_scan_the_claims_once_and_assemble_without_a_shuffle(tables, stored_claims, monkeypatch):
+    from claimscope.operators import scale as shared
+    from claimscope.plans import providers
+
+    written = []
+    monkeypatch.setattr(providers, "cut_by", lambda df, *rest: written.append(df) or session.cut_by(df, *rest))
+    sums = providers.provider_sums_of(stored_claims, tables.providers)
+    text = plan(written[0])
+    assert text.count("FileScan parquet [billing_npi#") == 2 and "Expand" in text  # the claims, and the ids that restrict them
+    volume = plan(providers.provider_volume(sums, 5))
+    assert "Bucketed: true" in volume and "Exchange hashpartitioning" not in volume
+    # The same columns as from separate roll-ups.
+    codes = cut(C.provider_code(stored_claims))
+    apart = C.assemble(
+        C.provider_totals(codes), C.billing_patterns(codes), C.concentration(codes), C.monthly_stats(C.provider_month(stored_claims), ddof=0),
+        peers.peer_rollup(peers.peer_zscore(codes, min_count=5, ddof=0)),
+    )
+    rounded = lambda frame: sorted(str({k: round(v, 6) if isinstance(v, float) else v for k, v in sorted(r.asDict().items())}) for r in frame.collect())
+    want = rounded(apart)
+    assert rounded(providers.provider_volume(sums, 5)) == want
+    monkeypatch.setattr(shared, "MAX_BROADCAST_ROWS", 0)  # too many ids and codes to be broadcast
+    assert rounded(providers.provider_volume(providers.provider_sums_of(stored_claims, tables.providers), 5)) == want
