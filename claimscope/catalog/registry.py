@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, digits: int = 6) -> Callable:
-    """Register a function of the input tables; ``sql`` is the statement that checks it, if there is one."""
+def query(name: str, sql: str | None = None, digits: int = 6, staged: bool = False) -> Callable:
+    """Register a function of the input tables; ``sql`` is the statement that checks it, if there is one.
+
+    ``staged``: each common table expression of the statement is worked out once, however often it is named.
+    """
 
     def register(function: Callable[[Tables], DataFrame]) -> Callable:
         if name in QUERIES:
@@ -25,7 +29,8 @@ def query(name: str, sql: str | None = None, digits: int = 6) -> Callable:
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            CHECKS[name] = check_sql(sql)
+            text = check_sql(sql)
+            CHECKS[name] = re.sub(r"\b(\w+) AS \((?=\s*SELECT\b)", r"\1 AS MATERIALIZED (", text) if staged else text
         return function
 
     return register

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimscope.catalog import stages
 from claimscope.catalog.registry import big, query, r
+from claimscope.catalog.views import VIEWS
 from claimscope.functions import columns as X
 from claimscope.functions.constants import (
     EXCLUSION_COLUMNS, INDIVIDUAL_COLUMNS, MODEL_FEATURES, ORGANISATION_COLUMNS, PROVIDER_COLUMNS, SPENDING_COLUMNS,
@@ -129,10 +130,19 @@ def _(t):
     return readers.head(t.claims, 10, order).select("billing_npi", "hcpcs_code", "claim_from_month", "total_paid")
 
 
-@query("s10_uniform_sample")
+DRAWN = "SELECT * FROM (SELECT *, ROW_NUMBER() OVER () - 1 row_address FROM lineitem) ORDER BY MD5('42|' || row_address) LIMIT 10000"
+SAMPLED = VIEWS["claims"].strip().replace("{lineitem}", "drawn").replace("{part}", "part")
+
+
+@query("s10_uniform_sample", f"""WITH drawn AS ({DRAWN}), sampled AS ({SAMPLED})
+ SELECT billing_npi, servicing_npi, hcpcs_code, claim_from_month, total_unique_beneficiaries, total_claims, {r('total_paid')} total_paid,
+ (SELECT COUNT(*) FROM lineitem) total_rows FROM sampled""")
 def _(t):
-    total, sample = readers.uniform_sample(t.claims, 10_000, 42)
-    return sample.withColumn("total_rows", F.lit(total))
+    # Each claim is a row of the one file of line items: its number there is its address.
+    rows = t.spark.read.parquet(f"{t.sf_dir}/lineitem.parquet").select("*", readers.row_address()[1].alias("row_address"))
+    total, sample = readers.uniform_sample(rows, 10_000, 42, ["row_address"])
+    part = t.spark.read.parquet(f"{t.sf_dir}/part.parquet")
+    return t.spark.sql(VIEWS["claims"], lineitem=sample, part=part).withColumn("total_rows", F.lit(total).cast("bigint"))
 
 
 @query("s10_sample_properties", "SELECT COUNT(*) total_rows, LEAST(10000, COUNT(*)) sample_rows, 0 not_in_claims FROM claims")

@@ -93,7 +93,6 @@ SPENDING_COLUMNS = {
     "TOTAL_PAID": ("total_paid", "double"),
 }
 NUM_TAXONOMIES = 15
-_ADDRESS = "Provider Business Practice Location Address"
 PROVIDER_COLUMNS = {
     "NPI": "npi",
     "Entity Type Code": "entity_type",
@@ -102,7 +101,7 @@ PROVIDER_COLUMNS = {
     "NPI Reactivation Date": "reactivation_date",
     "Is Sole Proprietor": "sole_proprietor",
     "Is Organization Subpart": "org_subpart",
-    f"{_ADDRESS} State Name": "state",
+    "Provider Business Practice Location Address State Name": "state",
     **{f"Healthcare Provider Taxonomy Code_{i}": f"taxonomy_{i}" for i in range(1, NUM_TAXONOMIES + 1)},
 }
 ORGANISATION_COLUMNS = {
@@ -110,10 +109,10 @@ ORGANISATION_COLUMNS = {
     "Entity Type Code": "entity_type",
     "Provider Organization Name (Legal Business Name)": "org_name",
     "Provider Other Organization Name": "org_dba",
-    f"Provider First Line Business Practice Location Address": "address_line1",
-    f"{_ADDRESS} City Name": "city",
-    f"{_ADDRESS} State Name": "state",
-    f"{_ADDRESS} Postal Code": "zip5",
+    "Provider First Line Business Practice Location Address": "address_line1",
+    "Provider Business Practice Location Address City Name": "city",
+    "Provider Business Practice Location Address State Name": "state",
+    "Provider Business Practice Location Address Postal Code": "zip5",
     "Provider Enumeration Date": "enumeration_date",
     "NPI Deactivation Date": "deactivation_date",
     "NPI Reactivation Date": "reactivation_date",
@@ -131,7 +130,7 @@ INDIVIDUAL_COLUMNS = {
     "Entity Type Code": "entity_type",
     "Provider Last Name (Legal Name)": "ind_last",
     "Provider First Name": "ind_first",
-    f"{_ADDRESS} State Name": "ind_state",
+    "Provider Business Practice Location Address State Name": "ind_state",
     "NPI Deactivation Date": "deactivation_date",
     "Healthcare Provider Taxonomy Code_1": "ind_taxonomy",
 }

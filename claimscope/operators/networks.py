@@ -98,14 +98,16 @@ def network_cities(orgs: DataFrame) -> DataFrame:
 
 
 def network_lists(orgs: DataFrame) -> DataFrame:
-    """Ids, states, names and cities per official in long form: (official, list, item); a name per organisation, the rest once."""
-    names = named(orgs).where(F.col("org_name").isNotNull()).select(*OFFICIAL, "org_name")
-    lists = {
-        "npi_list": network_members(orgs).where(F.col("npi").isNotNull()), "states": network_states(orgs), "org_names": names,
-        "cities": network_cities(orgs).where(F.col("city").isNotNull()),
-    }
-    parts = [frame.toDF(*OFFICIAL, "item").withColumn("list", F.lit(name)) for name, frame in lists.items()]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).select(*OFFICIAL, "list", "item")
+    """Ids, states, names and cities per official in long form: (official, list, item); a name per organisation, the rest once.
+
+    One scan gives all four lists, and items are counted before they are shuffled.
+    """
+    lists = {"npi_list": F.col("npi"), "states": F.col("state"), "org_names": F.col("org_name"), "cities": clean("city")}
+    entries = F.array(*[F.struct(F.lit(name).alias("list"), item.alias("item")) for name, item in lists.items()])
+    long = named(orgs).select(*OFFICIAL, F.inline(entries)).where(F.col("item").isNotNull())
+    counted = long.groupBy(*OFFICIAL, "list", "item").agg(F.count(F.lit(1)).alias("_n"))
+    times = F.when(F.col("list") == "org_names", F.col("_n")).otherwise(F.lit(1)).cast("int")
+    return counted.withColumn("_each", F.explode(F.sequence(F.lit(1), times))).select(*OFFICIAL, "list", "item")
 
 
 def multi_member(networks: DataFrame, k: int = 2) -> DataFrame:

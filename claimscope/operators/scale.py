@@ -2,7 +2,7 @@
 
 * ``lookup_join`` / ``spread_join``: join to a smaller table without sending a hot key to one task.
 * ``ordered_counts`` / ``ordered_rows``: exact positions in a sorted order, without a one-task window.
-* ``summed_for``: sums restricted to listed ids, without shuffling unsummed rows by id.
+* ``summed_for`` / ``maybe_listed``: sums and rows restricted to listed ids, without shuffling unsummed rows by id.
 
 They run small jobs while they build their plan; what the driver gets is bounded by the constants below, not by the data.
 """
@@ -25,6 +25,9 @@ MAX_BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 64
 HOT_ROWS = 100_000
 SALTS = 64
+# A Bloom filter has at most this many words of 64 bits, and about BLOOM_BITS bits an id; where ids are too many for that, there is none.
+BLOOM_WORDS = 1 << 20
+BLOOM_BITS, BLOOM_HASHES = 12, 4
 # Up to this many distinct values, counted beforehand, one task orders them.
 ONE_TASK_VALUES = 100_000
 
@@ -42,9 +45,40 @@ def lookup_join(
     small = cut(small)
     if is_small(small, max_broadcast_rows):
         return big.join(F.broadcast(small), keys, how)
+    if how in ("inner", "left_semi"):
+        big = maybe_listed(big, small, keys)
     return spread_join(big, small, keys, how, spread_by)
 
 
+def maybe_listed(rows: DataFrame, listed: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """The rows whose key may be among those of the stored table ``listed``: all that are, and a per cent or so of the others.
+
+    A Bloom filter of the keys is put together as an aggregate (bits are joined to words, words to one array of at most 8 MB), stored, and reaches the
+    rows as a subquery's value, ahead of the exact join that must follow. Null keys are never listed. With too many keys
+    for the filter all rows are returned.
+    """
+    keys = key_list(on)
+    types = dict(rows.dtypes)
+    n = listed.count()
+    words = 1 << max(0, (max(1, n) * BLOOM_BITS // 64).bit_length())
+    if words > BLOOM_WORDS:
+        return rows
+    places = [F.pmod(F.xxhash64(F.lit(i), *[F.col(k).cast(types[k]) for k in keys]), F.lit(64 * words)) for i in range(BLOOM_HASHES)]
+    valued = listed.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    bits = valued.select(F.explode(F.array(*places)).alias("place")).select(
+        F.shiftright("place", 6).alias("word"), F.expr("SHIFTLEFT(1L, CAST(place % 64 AS INT))").alias("bit")
+    )
+    filled = rows.sparkSession.range(words).withColumnRenamed("id", "word").join(bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), "word", "left")
+    entry = F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    filter_ = cut(filled.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["bits"]).alias("bits"))).scalar()
+    found = [F.getbit(F.element_at(filter_, (F.shiftright(place, 6) + 1).cast("int")), (place % 64).cast("int")) == 1 for place in places]
+    known = [F.col(k).isNotNull() for k in keys]
+    condition = known[0]
+    for part in [*known[1:], *found]:
+        condition = condition & part
+    return rows.where(condition)
+
+
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     """Whether a stored table has few enough rows and bytes to be broadcast; text counts with its length, other values with 16."""
     wide = F.lit(16 * len(df.columns))
@@ -60,14 +94,15 @@ def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
 def summed_for(rows: DataFrame, ids: DataFrame, on: str, *summaries: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
     """Summaries of ``rows``, grouped by ``on`` and more, for the listed ids alone.
 
-    Few ids are broadcast, and restrict the rows before they are summed. Of many, the sums are restricted: then what is
-    shuffled by id is summed before, so no id has many rows, and nothing is salted.
+    Few ids are broadcast, and restrict the rows before they are summed. Of many, a filter takes out most other rows, and the sums are
+    restricted: then what is shuffled by id is summed before, so no id has many rows, and nothing is salted.
     """
     listed = cut(ids.select(on).distinct())
     if is_small(listed):
         restricted = rows.join(F.broadcast(listed), on, "left_semi")
         return [summary(restricted) for summary in summaries]
-    return [summary(rows).join(listed, on, "left_semi") for summary in summaries]
+    likely = maybe_listed(rows, listed, on)
+    return [summary(likely).join(listed, on, "left_semi") for summary in summaries]
 
 
 def spread_join(

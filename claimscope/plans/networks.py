@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimscope.functions.columns import binned, code_lookup
+from claimscope.functions.columns import binned
 from claimscope.functions.constants import SIZE_BINS, SPENDING_TIERS, TIER_LABELS
 from claimscope.operators import claims as C
 from claimscope.operators import matching as M

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,21 +115,31 @@ def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def uniform_sample(df: DataFrame, n: int, seed: int) -> tuple[int, DataFrame]:
+def row_address() -> list[Column]:
+    """The place of a row of Parquet files: the file's name and the row's number in it. The same on every partitioning."""
+    return [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+
+
+def uniform_sample(df: DataFrame, n: int, seed: int, address: Sequence[str | Column] | None = None) -> tuple[int, DataFrame]:
     """The number of rows, and exactly n of them (all, if fewer) drawn without replacement, alike on any partitioning.
 
-    The rows with the smallest hashes of all their columns are taken. They are first counted by leading bits of the hash (4096
-    counts reach the driver), so that beyond the n rows only those of one more part in 4096 are sorted.
+    A row's draw is the MD5 of the seed and its address, such as ``row_address`` for a table read from files: equal rows are drawn
+    independently, and any SQL engine draws the same. Without an address the draw is a hash of all columns, and equal rows are drawn one
+    after the other. Rows are first counted by the leading digits of the draw (4096 counts reach the driver), so
+    that beyond the n rows only those of one more part in 4096 are sorted.
     """
-    draw = F.xxhash64(F.lit(seed), *df.columns)
+    if address is None:
+        draw, order = F.lower(F.lpad(F.hex(F.xxhash64(F.lit(seed), *df.columns)), 16, "0")), [F.col(f"`{name}`") for name in df.columns]
+    else:
+        parts = [F.col(part) if isinstance(part, str) else part for part in address]
+        draw, order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[part.cast("string") for part in parts])), []
     numbered = df.withColumn("_draw", draw)
-    lead = F.shiftrightunsigned(F.col("_draw"), 52)
+    lead = F.substring("_draw", 1, 3)
     counts = sorted(tuple(row) for row in numbered.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("n")).collect())
     total = sum(count for _, count in counts)
-    last, taken = -1, 0
+    last, taken = "", 0
     for part, count in counts:
         if taken >= n:
             break
         last, taken = part, taken + count
-    order = [lead, F.col("_draw"), *[F.col(f"`{name}`") for name in df.columns]]
-    return total, numbered.where(lead <= F.lit(last)).orderBy(*order).limit(n).drop("_draw")
+    return total, numbered.where(lead <= F.lit(last)).orderBy("_draw", *order).limit(n).drop("_draw")

@@ -288,13 +288,20 @@ def test_readers(spark, tmp_path):
     assert [r["npi"] for r in readers.read_deactivated(spark, str(listed)).collect()] == ["0012"]
 
 
-def test_uniform_sample(spark):
+def test_uniform_sample(spark, tmp_path):
     for rows in (10, 100, 5000):
         total, sample = readers.uniform_sample(spark.range(rows), 20, 42)
         assert total == rows and sample.distinct().count() == min(20, rows)
     for parts in (1, 8):
         again = readers.uniform_sample(spark.range(5000).repartition(parts), 20, 42)[1]
         assert sorted(r["id"] for r in sample.collect()) == sorted(r["id"] for r in again.collect())
+    # By address, some of many equal rows are drawn, and the same ones on any partitioning.
+    spark.createDataFrame([("x", 1.0)] * 4000 + [("y", 2.0)] * 4000, "a string, b double").repartition(3).write.parquet(f"{tmp_path}/equal")
+    equal = spark.read.parquet(f"{tmp_path}/equal").select("*", *[c.alias(n) for n, c in zip(("file", "at"), readers.row_address())])
+    drawn = [{(r["file"], r["at"]) for r in readers.uniform_sample(frame, 400, 7, ["file", "at"])[1].collect()} for frame in (equal, equal.repartition(5))]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 400
+    kinds = readers.uniform_sample(equal, 400, 7, ["file", "at"])[1].groupBy("a").count().collect()
+    assert len(kinds) == 2 and all(120 < row["count"] < 280 for row in kinds)
     same = spark.createDataFrame([("x", 1.0)] * 500, "a string, b double")
     assert readers.uniform_sample(same, 20, 1)[1].count() == 20 and readers.uniform_sample(same.limit(0), 20, 1)[1].count() == 0
 
