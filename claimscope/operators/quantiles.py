@@ -83,26 +83,37 @@ class Series:
         return (-math.inf if low is None else low), (self.brackets[region // 2][0] if region // 2 < len(self.brackets) else None)
 
 
-def _regions(doubles: DataFrame, columns: Sequence[str], series: Mapping[tuple, Series], kind: str) -> DataFrame:
-    """(_group, _series, _region, _value) of all non-null values; values in gaps come without value."""
+def _regions(doubles: DataFrame, columns: Sequence[str], series: Mapping[tuple, Series], kind: str | None) -> DataFrame:
+    """(_group, _series, _region, _value) of all non-null values; values in gaps come without value. ``kind``: type of the group, if there are groups."""
     if not series:  # the first scan: one bracket for everything
         entries = [F.struct(F.lit(i).alias("_series"), F.lit(1).alias("_region"), F.col(f"`{c}`").alias("_value")) for i, c in enumerate(columns)]
         return doubles.select("_group", F.inline(F.array(*entries))).where(F.col("_value").isNotNull())
     groups = list({group: None for group, _ in series})
-    whole = [(-math.inf, None)]
-    lists = [[[(low, math.nan if high is None else high) for low, high in (series[g, i].brackets if (g, i) in series else whole)] for i in range(len(columns))] for g in groups]
-    # A bracket or more per group and column.
-    edges = doubles.sparkSession.createDataFrame(
-        list(zip(groups, lists, strict=True)), f"_name {kind}, _edges array<array<struct<low:double,high:double>>>"
-    )
-    placed = doubles.join(F.broadcast(edges), F.col("_group").eqNullSafe(F.col("_name")))
+    whole = Series().brackets
+    lists = [[series[g, i].brackets if (g, i) in series else whole for i in range(len(columns))] for g in groups]
+    most = [max(len(own[i]) for own in lists) for i in range(len(columns))]
+    # NaN is above all numbers, so nothing lies above it.
+    flat = [
+        [edge for i in range(len(columns)) for low, high in [*own[i], *[(None, None)] * (most[i] - len(own[i]))]
+         for edge in (low, math.nan if high is None and low is not None else high)] for own in lists
+    ]
+    names = [(i, f"_low{i}_{j}", f"_high{i}_{j}") for i in range(len(columns)) for j in range(most[i])]
+    if kind is None:
+        given = {name: F.lit(value) for name, value in zip([n for _, *pair in names for n in pair], flat[0], strict=True)}
+        placed = doubles
+    else:
+        # A row per group, with two numbers per column and bracket.
+        edges = doubles.sparkSession.createDataFrame(
+            [(group, *own) for group, own in zip(groups, flat, strict=True)], f"_name {kind}, " + ", ".join(f"{n} double" for _, *pair in names for n in pair)
+        )
+        placed = doubles.join(F.broadcast(edges), F.col("_group").eqNullSafe(F.col("_name")))
+        given = {n: F.col(n) for _, *pair in names for n in pair}
     entries = []
     for i, column in enumerate(columns):
         value, region = F.col(f"`{column}`"), F.lit(0)
-        for j in range(max(len(own[i]) for own in lists)):
-            edge = F.get(F.get("_edges", F.lit(i)), F.lit(j))
-            # NaN is above all numbers, so nothing lies above it.
-            region = region + F.coalesce((value >= edge["low"]).cast("int") + (value > edge["high"]).cast("int"), F.lit(0))
+        for own, low, high in names:
+            if own == i:
+                region = region + F.coalesce((value >= given[low]).cast("int") + (value > given[high]).cast("int"), F.lit(0))
         entries.append(F.struct(F.lit(i).alias("_series"), region.alias("_region"), value.alias("_value")))
     rows = placed.select("_group", F.inline(F.array(*entries))).where(F.col("_value").isNotNull())
     return rows.withColumn("_value", F.when(F.col("_region") % 2 == 1, F.col("_value")))
@@ -121,12 +132,13 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Mappi
     columns = list(columns)
     spark, kind = df.sparkSession, dict(df.dtypes)[group] if group else "string"
     doubles = df.select((F.col(group) if group else F.lit("")).alias("_group"), *[F.col(c).cast("double").alias(c) for c in columns])
-    steps = F.array(*[F.lit(step / SKETCH_STEPS) for step in range(SKETCH_STEPS + 1)])
+    # As text: a column per step would take longer to build than the sketches.
+    steps = F.expr("ARRAY(" + ", ".join(f"{step / SKETCH_STEPS!r}D" for step in range(SKETCH_STEPS + 1)) + ")")
     series: dict[tuple, Series] = {}
     by, expected, margin = ["_group", "_series", "_region"], None, SKETCH_MARGIN
     counted = False
     while True:
-        rows = _regions(doubles, columns, series, kind)
+        rows = _regions(doubles, columns, series, kind if group else None)
         if counted:
             counts = cut(rows.groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("ties")))
             found = counts.groupBy(*by).agg(F.sum("ties").alias("size"), F.lit(None).cast("array<double>").alias("values"))
