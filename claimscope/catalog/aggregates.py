@@ -12,6 +12,7 @@ from claimscope.operators import claims as C
 from claimscope.operators import peers, profile, ranking
 from claimscope.plans import cohort as HH
 from claimscope.plans import providers as P
+from claimscope.session import cut
 
 GATE = stages.GATE
 MONTHS = "months AS (SELECT billing_npi, claim_from_month, SUM(total_paid) monthly_paid FROM claims GROUP BY ALL)"
@@ -270,6 +271,18 @@ def _(t):
     return profile.cardinality(t.claims)
 
 
+SKETCHED = ["billing_npi", "servicing_npi", "hcpcs_code", "total_claims", "total_paid"]
+
+
+@query("a26_sketched_cardinality", " UNION ALL ".join(f"SELECT '{c}' \"column\", COUNT(DISTINCT {c}) distinct_values, TRUE within_margin FROM claims" for c in SKETCHED))
+def _(t):
+    # Sketches of each month, stored, then united, beside the exact counts.
+    sketches = cut(profile.cardinality_sketches(t.claims, SKETCHED, "claim_from_month"))
+    exact = profile.cardinality(t.claims.select(*SKETCHED))
+    near = F.abs(F.col("about") - F.col("distinct_values")) <= F.col("margin")
+    return exact.join(profile.sketched_cardinality(sketches, SKETCHED), "column").select("column", "distinct_values", near.alias("within_margin"))
+
+
 @query("a27_length_histogram", "SELECT CAST(LENGTH(hcpcs_code) AS INTEGER) length, COUNT(*) n FROM claims GROUP BY 1")
 def _(t):
     return profile.length_histogram(t.claims, "hcpcs_code")

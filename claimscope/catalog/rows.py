@@ -107,6 +107,25 @@ def _(t):
     return readers.read_stage(t.spark, path).select("billing_npi", "hcpcs_code", "code_paid", "code_claims", "ppc")
 
 
+CORRECTED = "DATE '1994-03-01'"
+
+
+@query("s6_rerun_month", f"""SELECT claim_from_month, {r(f'SUM(CASE WHEN claim_from_month = {CORRECTED} THEN 2 * total_paid ELSE total_paid END)', 3)} paid,
+ COUNT(*) num_rows FROM claims GROUP BY 1""", digits=3)
+def _(t):
+    path = scratch_path(t.spark, "months")
+    readers.write_stage(C.month_sums(t.claims), path, partition_by=["claim_from_month"])
+    corrected = t.claims.where(f"claim_from_month = {CORRECTED}").withColumn("total_paid", 2 * F.col("total_paid"))
+    readers.rewrite_partitions(C.month_sums(corrected), path, ["claim_from_month"])
+    months = readers.read_stage(t.spark, path).groupBy("claim_from_month")
+    return months.agg(F.sum("code_paid").alias("paid"), F.sum("code_rows").alias("num_rows"))
+
+
+@query("a2_provider_code_of_months", f"WITH {CODES} SELECT billing_npi, hcpcs_code, {r('code_paid')} code_paid, code_claims, {r('ppc')} ppc FROM codes")
+def _(t):
+    return C.provider_code_of(C.month_sums(t.claims)).select("billing_npi", "hcpcs_code", "code_paid", "code_claims", "ppc")
+
+
 @query("s7_write_without_arrays", "SELECT ao_last, ao_first, COUNT(DISTINCT npi) npi_count FROM org_npis GROUP BY ao_last, ao_first")
 def _(t):
     path = scratch_path(t.spark, "networks")

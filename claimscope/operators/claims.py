@@ -89,6 +89,18 @@ def provider_sums(claims: DataFrame) -> DataFrame:
     )
 
 
+def month_sums(claims: DataFrame) -> DataFrame:
+    """Sums per month, provider and code: a stage table to be partitioned by month, so that a month can be replaced alone."""
+    return claims.groupBy("claim_from_month", "billing_npi", "hcpcs_code").agg(*_code_sums())
+
+
+def provider_code_of(months: DataFrame) -> DataFrame:
+    """The rows of ``provider_code`` from ``month_sums``, without the claims."""
+    sums = [name for name in months.columns if name not in ("claim_from_month", "billing_npi", "hcpcs_code")]
+    added = months.groupBy("billing_npi", "hcpcs_code").agg(*[F.sum(name).alias(name) for name in sums])
+    return added.withColumn("ppc", ratio("code_paid", "code_claims"))
+
+
 def provider_month(claims: DataFrame) -> DataFrame:
     return claims.groupBy("billing_npi", "claim_from_month").agg(F.sum("total_paid").alias("monthly_paid"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from claimscope.functions.columns import count_of, ratio, share_of
 from claimscope.operators.quantiles import column_quantiles
 
+# Sketches of 2^12 registers are off by 1.6 % (standard error).
+SKETCH_PRECISION = 12
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
@@ -97,6 +100,21 @@ def cardinality(df: DataFrame) -> DataFrame:
     return found
 
 
+def cardinality_sketches(df: DataFrame, cols: Sequence[str], by: str, precision: int = SKETCH_PRECISION) -> DataFrame:
+    """Per value of ``by``, such as a month, a HyperLogLog sketch of each column: a stage table of a few kilobytes a column and row, which sketches of later months join."""
+    return df.groupBy(by).agg(*[F.hll_sketch_agg(F.col(name).cast("string"), precision).alias(name) for name in cols])
+
+
+def sketched_cardinality(sketches: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per column: about how many distinct non-null values there are over all rows of ``cardinality_sketches``, and three standard errors of that.
+
+    An approximation of ``cardinality`` that never reads or shuffles the values again. Values are compared as text.
+    """
+    united = sketches.agg(*[F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in cols])
+    error = 3 * 1.04 / math.sqrt(2**SKETCH_PRECISION)
+    return united.unpivot([], list(cols), "column", "about").withColumn("margin", F.ceil(F.col("about") * error).cast("bigint"))
+
+
 def length_histogram(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(F.length(F.col(col).cast("string")).alias("length")).agg(F.count(F.lit(1)).alias("n"))
 

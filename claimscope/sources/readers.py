@@ -111,6 +111,11 @@ def write_stage(df: DataFrame, path: str, drop_arrays: bool = False, partition_b
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def rewrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace the partitions of a stage table for which ``df`` has rows, such as those of one corrected month; the files of all others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def head(df: DataFrame, n: int, order: Sequence) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

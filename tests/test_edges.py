@@ -288,6 +288,23 @@ def test_readers(spark, tmp_path):
     assert [r["npi"] for r in readers.read_deactivated(spark, str(listed)).collect()] == ["0012"]
 
 
+def test_a_corrected_month_leaves_other_files_alone(spark, tmp_path):
+    from claimscope.operators import claims as C
+
+    rows = [("a", "a", "x", f"2020-0{m}-01", 1, 2, float(m)) for m in range(1, 5) for _ in range(3)]
+    names = "billing_npi string, servicing_npi string, hcpcs_code string, claim_from_month string, total_unique_beneficiaries bigint, total_claims bigint, total_paid double"
+    claims = spark.createDataFrame(rows, names).withColumn("claim_from_month", F.col("claim_from_month").cast("date"))
+    path = tmp_path / "months"
+    readers.write_stage(C.month_sums(claims), str(path), partition_by=["claim_from_month"])
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in path.glob("*/*.parquet")}
+    before = files()
+    changed = claims.where("claim_from_month = DATE '2020-02-01'").withColumn("total_paid", F.lit(10.0))
+    readers.rewrite_partitions(C.month_sums(changed), str(path), ["claim_from_month"])
+    after = files()
+    assert {f for f in before if after.get(f) == before[f]} == {f for f in before if "2020-02-01" not in f} and len(after) == len(before) == 4
+    assert one(C.provider_code_of(readers.read_stage(spark, str(path))))["code_paid"] == 3 * (1 + 10 + 3 + 4)
+
+
 def test_uniform_sample(spark, tmp_path):
     for rows in (10, 100, 5000):
         total, sample = readers.uniform_sample(spark.range(rows), 20, 42)
