@@ -107,7 +107,7 @@ def _(t):
     return readers.read_stage(t.spark, path).select("billing_npi", "hcpcs_code", "code_paid", "code_claims", "ppc")
 
 
-CORRECTED = "DATE '1994-03-01'"
+CORRECTED = "DATE '1996-08-01'"
 
 
 @query("s6_rerun_month", f"""SELECT claim_from_month, {r(f'SUM(CASE WHEN claim_from_month = {CORRECTED} THEN 2 * total_paid ELSE total_paid END)', 3)} paid,

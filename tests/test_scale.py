@@ -66,6 +66,28 @@ def test_filter_of_many_ids(spark, monkeypatch, kind):
     assert scale.maybe_listed(rows, listed, "key").count() == 40_000
 
 
+def test_many_hot_keys_are_found_without_a_group_by(spark, monkeypatch):
+    """200 keys with a two-hundredth of half of all rows each: none is in one task, and the single keys stay where they are."""
+    monkeypatch.setattr(scale, "HOT_ROWS", 100)
+    big = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 400).otherwise(F.col("id") + 1000).alias("key"), F.col("id").alias("v"))
+    small = big.select("key").distinct().withColumn("w", F.col("key") * 2)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], -1)
+        spark.conf.set(names[1], "false")
+        joined = cut(scale.spread_join(big, small, "key", spread_by=["v"]).withColumn("task", F.spark_partition_id()))
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert joined.count() == 200_000 and joined.where("w != 2 * key").count() == 0
+    tasks = joined.groupBy("key").agg(F.count_distinct("task").alias("tasks"), F.count(F.lit(1)).alias("n"))
+    assert {r["n"] for r in tasks.where("key < 400").collect()} == {500} and tasks.where("key < 400 AND tasks = 1").count() == 0
+    assert tasks.where("key < 400").count() == 200
+    text = scale.spread_join(big, small, "key", spread_by=["v"])._jdf.queryExecution().toString()
+    assert "approx_top_k" in text
+
+
 def test_spread_join_with_null_keys_and_other_key_type(spark, forced):
     big = spark.createDataFrame([(1, "a"), (None, "b"), (1, "c")], "key bigint, id string")
     small = spark.createDataFrame([(1, 5)], "key int, v int")
