@@ -98,24 +98,24 @@ def grow_forest(sample: DataFrame, features: Sequence[str], seed: int, max_depth
     varying = ", ".join(
         f"CASE WHEN _high{i} > _low{i} THEN STRUCT({i} AS feature, _low{i} AS low, _high{i} AS high, {name} AS value) END" for i, name in enumerate(names)
     )
-    state = sample.select("tree", *features).repartition(FIT_TASKS, "tree").selectExpr("tree", *names, "1L AS node")
-    kept: list[str] = []
-    for level in range(max_depth):
+    nodes_type = "ARRAY<STRUCT<node: BIGINT, feature: INT, split: DOUBLE, size: BIGINT>>"
+    # Every level has the same columns, so that Spark compiles its code once.
+    state = sample.select("tree", *features).repartition(FIT_TASKS, "tree").selectExpr("tree", *names, "1L AS node", f"CAST(ARRAY() AS {nodes_type}) AS _nodes")
+    for _ in range(max_depth):
         ends = [f"{way}({name}) {own} AS {end}{i}" for i, name in enumerate(names) for way, end in (("MIN", "_low"), ("MAX", "_high"))]
         state = state.selectExpr("*", f"COUNT(1) {own} AS _size", *ends)
         state = state.selectExpr(
-            "tree", *names, "node", *kept, "_size", f"ARRAY_COMPACT(ARRAY({varying})) AS _varying", f"MD5(CONCAT_WS('|', '{seed}', tree, node)) AS _hash"
+            "tree", *names, "node", "_nodes", "_size", f"ARRAY_COMPACT(ARRAY({varying})) AS _varying", f"MD5(CONCAT_WS('|', '{seed}', tree, node)) AS _hash"
         )
         state = state.selectExpr("*", f"GET(_varying, CAST(FLOOR({_fraction(1)} * SIZE(_varying)) AS INT)) AS _picked")
         state = state.selectExpr("*", f"_picked.low + {_fraction(1 + FRACTION_DIGITS)} * (_picked.high - _picked.low) AS _between")
         state = state.selectExpr("*", "CASE WHEN _between < _picked.high THEN _between ELSE _picked.low END AS _split")
-        found = f"STRUCT(node, _picked.feature AS feature, _split AS split, _size AS size) AS _node{level}"
+        found = "ARRAY_APPEND(_nodes, STRUCT(node, _picked.feature AS feature, _split AS split, _size AS size)) AS _nodes"
         below = "COALESCE(2 * node + CAST(_picked.value > _split AS BIGINT), node) AS node"
-        state = state.selectExpr("tree", *names, below, *kept, found)
-        kept.append(f"_node{level}")
+        state = state.selectExpr("tree", *names, below, found)
     state = state.selectExpr("*", f"COUNT(1) {own} AS _size")
     last = "STRUCT(node, CAST(NULL AS INT) AS feature, CAST(NULL AS DOUBLE) AS split, _size AS size)"
-    nodes = state.selectExpr("tree", f"INLINE(ARRAY({', '.join([*kept, last])}))")
+    nodes = state.selectExpr("tree", f"INLINE(ARRAY_APPEND(_nodes, {last}))")
     # A leaf above the last level was found once per level below it.
     return nodes.groupBy("tree", "node").agg(*[F.max(c).alias(c) for c in ("feature", "split", "size")])
 
