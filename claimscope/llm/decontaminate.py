@@ -2,7 +2,8 @@
 
 Numbers, units and names become typed placeholders; windows of eight template words are hash-joined between texts and
 benchmark items; along each alignment, one value of the item must always stand for one value of the text. So an item
-is found word for word, and also with other numbers, units and names put in.
+is found word for word, and also with other numbers, units and names put in. Windows that are mostly placeholders would fit
+too much; they are joined by their own words instead of their types, and so are short items as a whole.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from claimscope.llm.common import written
 
 WINDOW = 8  # template words
 NEEDED = 6  # windows in line, so 13 words; an item with fewer windows needs all of them
-LITERALS = 4  # words in a window that must not be placeholders; other windows of an item are not used
+LITERALS = 4  # words in a window that must not be placeholders; windows with fewer are joined by their own words
+SHORT = 5  # words of an item that are enough to find it word for word within a longer text
 BROADCAST_ROWS = 1_000_000  # item windows, of some 50 bytes each, that are broadcast at most
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"  # private-use characters stand for the types
 # Spelled-out numbers and units of measure.
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+)
 UNITS = (
     "km kilometers kilometres kilometer kilometre meters metres meter metre cm centimeters centimetres mm millimeters "
     "mile miles yard yards foot feet inch inches kg kilograms kilogram gram grams mg pound pounds lb lbs ounce ounces oz "
@@ -60,50 +65,104 @@ def values(text: Column) -> Column:
     return _split(_bare(F.lower(_clean(text))))
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all windows; a text shorter than a window is one, a text without words has none."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (WINDOW - 1)))
-    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-
-
 def _is_slot(word: Column) -> Column:
     return word.contains(NUMBER) | word.contains(NAME) | word.contains(UNIT)
 
 
+def _none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _starts(words: Column, length: int) -> Column:
+    """Places, from 0, of all windows of that length; a text shorter than a window is one, a text without words has none."""
+    return F.when(F.size(words) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - length))).otherwise(_none("int"))
+
+
+def _own(values: Column, at: Column, length: int | Column) -> Column:
+    """Hash of a window's own words, apart from all hashes of templates."""
+    return F.xxhash64(F.lit("own"), F.lit(length) if isinstance(length, int) else length, F.slice(values, at + 1, length))
+
+
+def _dense(words: Column, slots: Column) -> Column:
+    """Places of the windows with fewer than ``LITERALS`` words that aren't placeholders; ``slots`` are the placeholders' places.
+
+    Such a window holds ``WINDOW - LITERALS + 1`` placeholders in a row of them, so only those rows are looked at.
+    """
+    many = WINDOW - LITERALS + 1
+    rows = F.when(F.size(slots) >= many, F.sequence(F.lit(0), F.size(slots) - many)).otherwise(_none("int"))
+    close = F.filter(rows, lambda k: F.get(slots, k + (many - 1)) - F.get(slots, k) < WINDOW)
+    around = F.transform(close, lambda k: F.sequence(
+        F.greatest(F.lit(0), F.get(slots, k + (many - 1)) - (WINDOW - 1)), F.least(F.get(slots, k), F.size(words) - WINDOW)
+    ))
+    return F.when(F.size(words) >= WINDOW, F.array_distinct(F.flatten(around))).otherwise(_none("int"))
+
+
+def _slots(words: Column) -> Column:
+    return F.filter(F.transform(words, lambda word, i: F.when(_is_slot(word), i)), lambda i: i.isNotNull())
+
+
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, item_at, hash, n_windows, item_template, item_values) for the windows of each item that can identify it."""
+    """(item_id, item_at, whole, hash, n_windows, item_template, item_values) for all windows of each item.
+
+    A window goes by its template, or by its own words where fewer than ``LITERALS`` (or half of a shorter item's words) aren't
+    placeholders. An item of ``SHORT`` words to fewer than ``NEEDED`` windows has one more entry, by all its own words; that one is ``whole``.
+    """
     known = items.select("item_id", F.col("text").alias("item_text")).distinct().select(
         "item_id", template(F.col("item_text")).alias("item_template"), values(F.col("item_text")).alias("item_values")
     )
-    words, enough = F.col("item_template"), F.least(F.lit(LITERALS), F.ceil(F.size("item_template") / 2))
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - WINDOW))
-    usable = F.filter(places, lambda p: F.size(F.filter(F.slice(words, p + 1, F.lit(WINDOW)), lambda word: ~_is_slot(word))) >= enough)
-    return written(known.where(F.size(words) > 0)).withColumn("places", usable).select(
-        "*", F.size("places").cast("long").alias("n_windows"), F.explode_outer("places").alias("item_at")
-    ).withColumn("hash", F.xxhash64(F.slice(words, F.col("item_at") + 1, F.lit(WINDOW)))).drop("places").where("item_at IS NOT NULL")
+    words, own, size = F.col("item_template"), F.col("item_values"), F.size("item_template")
+    known = written(known.where(size > 0)).withColumn("slots", _slots(words)).withColumn("dense", _dense(words, F.col("slots")))
+    few = (size < WINDOW) & (size - F.size("slots") < F.ceil(size / 2))
+    each = F.transform(_starts(words, WINDOW), lambda p: F.struct(
+        p.alias("item_at"), F.lit(False).alias("whole"),
+        F.when(few | F.array_contains(F.col("dense"), p), _own(own, p, WINDOW)).otherwise(F.xxhash64(F.slice(words, p + 1, F.lit(WINDOW)))).alias("hash"),
+    ))
+    short = (size >= SHORT) & (size < WINDOW + NEEDED - 1)
+    entire = F.when(short, F.array(F.struct(F.lit(0).alias("item_at"), F.lit(True).alias("whole"), _own(own, F.lit(0), F.size(own)).alias("hash"))))
+    return known.select(
+        "item_id", F.size(each).cast("long").alias("n_windows"), "item_template", "item_values",
+        F.inline(F.concat(each, F.coalesce(entire, F.array().cast("array<struct<item_at:int,whole:boolean,hash:bigint>>")))),
+    )
+
+
+def _keys(words: Column, own: Column, dense: Column, lengths: list[int]) -> Column:
+    """(at, hash) of a text's windows: by template, by own words where an item's window would be, and by own words at each of ``lengths``."""
+    def keys(places: Column, hashed) -> Column:
+        return F.transform(places, lambda p: F.struct(p.alias("at"), hashed(p).alias("hash")))
+
+    few = F.when((F.size(words) > 0) & (F.size(words) < WINDOW), F.array(F.lit(0))).otherwise(dense)
+    found = [keys(_starts(words, WINDOW), lambda p: F.xxhash64(F.slice(words, p + 1, F.lit(WINDOW)))), keys(few, lambda p: _own(own, p, WINDOW))]
+    for n in lengths:
+        places = F.when(F.size(own) >= n, F.sequence(F.lit(0), F.size(own) - n)).otherwise(_none("int"))
+        found.append(keys(places, lambda p, n=n: _own(own, p, n)))
+    return F.concat(*found)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, item_windows, n_slots, n_changed) for each text that repeats an item.
 
     A text repeats an item when ``NEEDED`` windows (or all of the item's, if fewer) match in line and the slots are consistent;
-    the best line of each pair is given. ``n_changed`` of 0 means word for word. An item shorter than a window only matches a
-    text that has the same template as a whole. Null and empty texts and items match nothing; a null doc_id or item_id is
+    the best line of each pair is given. ``n_changed`` of 0 means word for word. An item of at least ``SHORT`` words and too few windows is also
+    found word for word anywhere in a text; one shorter than a window otherwise only matches a text that has the same template as a whole,
+    and one of fewer than ``SHORT`` words only as a whole. Very long texts are read whole. Null and empty texts and items match nothing; a null doc_id or item_id is
     kept; repeated rows give one result; tables without rows give no rows; other columns are not read.
     """
     windows = written(item_windows(items))
     small = windows.count() <= BROADCAST_ROWS
-    pruned = windows.select("item_id", F.xxhash64("item_values").alias("item_hash"), "item_at", "hash", F.col("n_windows").alias("item_windows"))
-    worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("words"))
-    hashed = worded.select("doc_id", "text_hash", _windows(F.col("words")).alias("hashes"))
+    lengths = sorted(row["n"] for row in windows.where("whole").select(F.size("item_values").alias("n")).distinct().collect())
+    pruned = windows.select("item_id", F.xxhash64("item_values").alias("item_hash"), "item_at", "whole", "hash", F.col("n_windows").alias("item_windows"))
+    worded = docs.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("words"), values(F.col("text")).alias("own")
+    ).withColumn("dense", _dense(F.col("words"), _slots(F.col("words"))))
+    hashed = worded.select("doc_id", "text_hash", _keys(F.col("words"), F.col("own"), F.col("dense"), lengths).alias("keys"))
     # The outer form: for the inner one, Spark filters by the array's size first, and works out the words anew in each element.
-    placed = hashed.select("doc_id", "text_hash", F.posexplode_outer("hashes").alias("at", "hash"))
+    placed = hashed.select("doc_id", "text_hash", F.explode_outer("keys").alias("key")).select("doc_id", "text_hash", "key.*")
     hits = placed.join(F.broadcast(pruned) if small else pruned, "hash")
     lines = written(
         hits.groupBy("doc_id", "text_hash", "item_id", "item_hash", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"))
-        .agg(F.count_distinct("at").alias("n_windows"), F.min("item_at").alias("low"), F.max("item_at").alias("high"))
+        .agg(F.count_distinct("at").alias("n"), F.min("item_at").alias("low"), F.max("item_at").alias("high"), F.max("whole").alias("whole"))
+        .withColumn("n_windows", F.when(F.col("whole"), F.col("item_windows")).otherwise(F.col("n")))
+        .withColumn("high", F.when(F.col("whole"), (F.col("item_windows") - 1).cast("int")).otherwise(F.col("high")))
         .where(F.col("n_windows") >= F.least(F.lit(NEEDED), F.col("item_windows")))
     )
     once = windows.select(F.col("item_id").alias("i"), F.xxhash64("item_values").alias("ih"), "item_template", "item_values").distinct()

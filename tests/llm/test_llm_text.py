@@ -275,6 +275,21 @@ def test_templates_find_the_item_with_other_values(spark):
     assert decontaminate.leaks(docs.limit(0), items).count() == 0 == decontaminate.leaks(docs, items.limit(0)).count()
 
 
+def test_items_of_names_and_short_items_are_found(spark):
+    names = "Guests were Anna Beck, Otto Frey, Paul Weber, Rosa Kern, Emil Vogt, Lena Roth, Karl Busch and Ida Lang."
+    short, capital = "what is the capital of France", "They met Anna and Otto and Paul Weber on the way to an old mill by the river."
+    items = spark.createDataFrame([(1, names), (2, short), (3, capital), (4, "Anna Beck"), (5, "He had sixteen of them")], "item_id bigint, text string")
+    docs = spark.createDataFrame([
+        (1, names), (2, "so " + names + " And more."), (3, names.replace("Anna", "Olga")), (4, "Tell me What is the capital of France, if you know."),
+        (5, "what is the capital of Spain then"), (6, "After work they met Bob and Jim and Tom Ford for lunch."), (7, "anna beck"), (8, "I saw Anna Beck there."),
+        (9, "the river they met Anna and Otto"), (10, "He had sixty of them"), (11, "x " + capital.replace("Otto", "Hugo")),
+    ], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["n_changed"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert {k for k in found if k[1] == 1} == {(1, 1), (2, 1), (3, 1)} and found[1, 1] == (12, 12, 0)
+    assert {k for k in found if k[1] != 1} == {(4, 2), (10, 5), (11, 3)}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(docs, items).collect()) == [5, 6, 7, 8, 9]
+
+
 def brute_template(text):
     text = re.sub(r"(?<=[^.!?:\s][ \t])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+", "QNAME", text or "").lower()
     numbers = "|".join(sorted(decontaminate.NUMBER_WORDS.split(), key=len, reverse=True))
