@@ -33,7 +33,11 @@ UNITS = (
 
 
 def _any_of(words: str) -> str:
-    return "(?:" + "|".join(sorted(words.split(), key=len, reverse=True)) + ")"
+    """The words as a pattern, longest first, by first letter, so that most places of a text fail at once."""
+    letters: dict[str, list[str]] = {}
+    for word in sorted(words.split(), key=len, reverse=True):
+        letters.setdefault(word[0], []).append(word[1:])
+    return "(?:" + "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in letters.items()) + ")"
 
 
 def _bare(text: Column) -> Column:
@@ -52,11 +56,13 @@ def _clean(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Template words of a text. A name is a capitalised word within a sentence; a unit follows a number."""
-    named = F.regexp_replace(_clean(text), r"(?<=[^.!?:\s][ \t])\p{Lu}\p{Ll}+", NAME)
+    # Each pattern begins with one character, for which a text is searched fast; what must stand before it is looked at after that.
+    named = F.regexp_replace(_clean(text), r"\p{Lu}(?<=[^.!?:\s][ \t]\p{Lu})\p{Ll}+", NAME)
+    begins = "".join(sorted({word[0] for word in NUMBER_WORDS.split()}))
     numbered = F.regexp_replace(
-        F.lower(named), rf"(?<!\p{{L}})(?:\p{{N}}+(?:[.,:/]\p{{N}}+)*|{_any_of(NUMBER_WORDS)}(?!\p{{L}}))", NUMBER
+        F.lower(named), rf"(?=[{begins}\p{{N}}])(?<!\p{{L}})(?:\p{{N}}+(?:[.,:/]\p{{N}}+)*|{_any_of(NUMBER_WORDS)}(?!\p{{L}}))", NUMBER
     )
-    united = F.regexp_replace(numbered, rf"(?<={NUMBER}[ -]?){_any_of(UNITS)}(?!\p{{L}})", UNIT)
+    united = F.regexp_replace(numbered, rf"{NUMBER}([ -]?){_any_of(UNITS)}(?!\p{{L}})", f"{NUMBER}$1{UNIT}")
     return _split(_bare(united))
 
 
@@ -125,6 +131,12 @@ def item_windows(items: DataFrame) -> DataFrame:
     )
 
 
+def _with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row: as a generator's output, they aren't put into the expressions that use them."""
+    row = F.explode_outer(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
+    return df.select("*", row.alias("_once")).select(*df.columns, "_once.*")
+
+
 def _keys(words: Column, own: Column, dense: Column, lengths: list[int]) -> Column:
     """(at, hash) of a text's windows: by template, by own words where an item's window would be, and by own words at each of ``lengths``."""
     def keys(places: Column, hashed) -> Column:
@@ -151,9 +163,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     small = windows.count() <= BROADCAST_ROWS
     lengths = sorted(row["n"] for row in windows.where("whole").select(F.size("item_values").alias("n")).distinct().collect())
     pruned = windows.select("item_id", F.xxhash64("item_values").alias("item_hash"), "item_at", "whole", "hash", F.col("n_windows").alias("item_windows"))
-    worded = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("words"), values(F.col("text")).alias("own")
-    ).withColumn("dense", _dense(F.col("words"), _slots(F.col("words"))))
+    worded = _with_once(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), words=template(F.col("text")))
+    worded = _with_once(_with_once(worded, slots=_slots(F.col("words"))), dense=_dense(F.col("words"), F.col("slots")))
+    literal = (F.size("dense") > 0) | (F.size("words") < WINDOW) | F.lit(bool(lengths))  # of other texts, no window goes by its own words
+    worded = _with_once(worded, own=F.when(literal, values(F.col("text"))).otherwise(_none("string")))
     hashed = worded.select("doc_id", "text_hash", _keys(F.col("words"), F.col("own"), F.col("dense"), lengths).alias("keys"))
     # The outer form: for the inner one, Spark filters by the array's size first, and works out the words anew in each element.
     placed = hashed.select("doc_id", "text_hash", F.explode_outer("keys").alias("key")).select("doc_id", "text_hash", "key.*")
