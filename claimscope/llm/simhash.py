@@ -156,9 +156,12 @@ def _sizes(rows: np.ndarray) -> np.ndarray:
     return rows[:, -1].byteswap().astype(np.int64)
 
 
-def _pairs_apart(left: np.ndarray, right: np.ndarray | None, radius: int, lanes: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_apart(
+    left: np.ndarray, right: np.ndarray | None, radius: int, lanes: int, similarity: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs within the radius, of sizes that allow the similarity, whose components differ; positions as in ``_compare``.
 
+    The pairs of two tiles are handed on before the next ones are looked for, so a task holds at most ``TILE`` squared.
     Rows are the fingerprint's lanes, two words of name, two of component and the size; they come in the order of sizes, and
     tiles whose sizes lie too far apart are skipped.
     """
@@ -167,7 +170,6 @@ def _pairs_apart(left: np.ndarray, right: np.ndarray | None, radius: int, lanes:
     both = left if alone else np.concatenate([left, right])
     label = np.unique(both[:, lanes + 2 : lanes + 4], axis=0, return_inverse=True)[1].reshape(-1)
     size = _sizes(both)
-    found = [(np.zeros(0, int), np.zeros(0, int))]
     for x in range(0, len(left), TILE):
         for y in range(x if alone else 0, len(right), TILE):
             a, b = size[: len(left)][x : x + TILE], size[shift:][y : y + TILE]
@@ -182,8 +184,7 @@ def _pairs_apart(left: np.ndarray, right: np.ndarray | None, radius: int, lanes:
             if alone:
                 fits &= i < j
             if fits.any():
-                found.append((i[fits], j[fits]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                yield i[fits], j[fits]
 
 
 def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1, similarity: float | None = None) -> DataFrame:
@@ -228,16 +229,17 @@ def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1, similarity
                     pairs = [(*min(mine, (other, b)), *max(mine, (other, b))) for b in range(blocks[other])]
                     yield pd.DataFrame(pairs, columns=["c1", "b1", "c2", "b2"]).assign(first=[mine == pair[:2] for pair in pairs], prints=body)
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alone = key[:2] == key[2:]
-        rows = rows.sort_values("first", ascending=False)
+        rows = pd.concat(list(batches)).sort_values("first", ascending=False)  # two rows, a block each
         sides = [np.frombuffer(body, np.uint64).reshape(-1, words) for body in rows["prints"]]
         if len(sides) < 2 and not alone:
-            return pd.DataFrame({"a": [], "b": []})
+            return
         other = None if alone else sides[1]
-        i, j = _compare(sides[0], other, radius) if similarity is None else _pairs_apart(sides[0], other, radius, lanes, similarity)
         both = sides[0] if alone else np.concatenate(sides)
-        return pd.DataFrame({"a": [both[x].tobytes() for x in i], "b": [both[x].tobytes() for x in j]})
+        found = [_compare(sides[0], other, radius)] if similarity is None else _pairs_apart(sides[0], other, radius, lanes, similarity)
+        for i, j in found:
+            yield pd.DataFrame({"a": [both[x].tobytes() for x in i], "b": [both[x].tobytes() for x in j]})
 
     packed = dealt.groupBy("cell", "block").applyInPandas(pack, "cell int, block int, prints binary")
     pairs = packed.mapInPandas(meet, "c1 int, b1 int, c2 int, b2 int, first boolean, prints binary")
