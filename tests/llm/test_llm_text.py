@@ -359,3 +359,30 @@ def test_mix_edges(spark, edges, empty):
     assert mixed.count() == len(EDGES) and mixed.columns[: len(edges.columns)] == edges.columns and mixing.mix(empty).count() == 0
     with pytest.raises(ValueError, match="no weight"):
         mixing.mix(edges, {"a": 1})
+
+
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """No number of texts, nor the length of one, keeps a labelled text from being learnt from; several shards learn the same."""
+    filler = "plain words of no weight " * 2500  # over 60,000 characters
+    texts = [(i, (filler if i % 7 == 0 else "") + ("vile grubby stuff" if i % 3 == 0 else "fine clean stuff")) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    settings = toxicity.Settings(buckets=1 << 10)
+    rows = toxicity.training_rows(docs, labels, settings, 5)
+    assert {r["key"].split("|")[0] for r in rows.collect()} == {r["doc_id"] for r in labels.where("crc32(cast(doc_id as string)) % 5 != 0").select(F.col("doc_id").cast("string")).collect()}
+    assert {len(r["rows"]) // 6 for r in rows.collect()} == {3, 12503}
+    for chars in (toxicity.SHARD_CHARS, 1 << 20):
+        monkeypatch.setattr(toxicity, "SHARD_CHARS", chars)
+        found = toxicity.classify(docs, labels, settings).join(labels, "doc_id").where("held_out").collect()
+        assert all(r["predicted"] == r["toxic"] for r in found)
+
+
+def test_pooling_of_a_text_in_pieces_is_that_of_the_whole(monkeypatch):
+    settings = toxicity.Settings(buckets=64)
+    state = toxicity.first_state(settings)
+    rng = np.random.default_rng(1)
+    texts = [toxicity._padded(rng.integers(0, 64, (n, 3)), settings) for n in (0, 1, 2, 5, 40, 7)]
+    whole = toxicity.pooled(state, texts, settings)
+    monkeypatch.setattr(toxicity, "STRIDE", 4)
+    for a, b in zip(whole, toxicity.pooled(state, texts, settings)):
+        np.testing.assert_allclose(a, b, atol=1e-6)
