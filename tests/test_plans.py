@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimscope.catalog.views import Tables
 from claimscope.operators import claims as C
 from claimscope.operators import peers, scale
+from claimscope.plans import networks as NET
 from claimscope import session
 from claimscope.session import cut
 
@@ -96,3 +97,10 @@ def test_features_scan_the_claims_once_and_assemble_without_a_shuffle(tables, st
     assert rounded(providers.provider_volume(sums, 5)) == want
     monkeypatch.setattr(shared, "MAX_BROADCAST_ROWS", 0)  # too many ids and codes to be broadcast
     assert rounded(providers.provider_volume(providers.provider_sums_of(stored_claims, tables.providers), 5)) == want
+
+
+def test_exclusion_lists_are_stored_before_they_are_matched(tables):
+    """Each match read the view again, with its joins and broadcasts."""
+    nets = NET.build_networks(tables.orgs)
+    for matches in NET.match_exclusions(nets, tables.orgs, tables.exclusions):
+        assert not [path for path in matches.inputFiles() if "supplier" in path]
