@@ -99,6 +99,13 @@ def test_features_scan_the_claims_once_and_assemble_without_a_shuffle(tables, st
     assert rounded(providers.provider_volume(providers.provider_sums_of(stored_claims, tables.providers), 5)) == want
 
 
+def test_constant_texts_are_made_distinct_before_they_are_sorted(spark):
+    df = spark.createDataFrame([("a", "x", None), ("a", None, 1), ("b", None, 0), ("b", None, 0), (None, "y", 2)], "key string, text string, n int")
+    found = C.constant_attrs(df, "key", ["text", "n"])
+    assert sorted(found.collect(), key=str) == sorted([("a", "x", 1), ("b", None, 0), (None, "y", 2)], key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+
+
 def test_exclusion_lists_are_stored_before_they_are_matched(tables):
     """Each match read the view again, with its joins and broadcasts."""
     nets = NET.build_networks(tables.orgs)
