@@ -21,6 +21,8 @@ SIDE = 16_384  # fingerprints in a block; two blocks are one task's work
 TILE = 512  # fingerprints in a tile
 CHUNK = 1 << 17  # words of a text whose bits are counted at once
 LINKS = 1 << 21  # links that a task holds before it reduces them to a forest
+CLUMP_NODES = 1024  # texts of a clump that one task verifies at once, or half of them
+CLUMP_GRAMS = 1 << 20  # and their shingles
 MINIMA = 4  # smallest hashes of a text, by different hash functions, by which near copies meet first
 _ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)
 
@@ -161,7 +163,7 @@ def _pairs_apart(
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs within the radius, of sizes that allow the similarity, whose components differ; positions as in ``_compare``.
 
-    The pairs of two tiles are handed on before the next ones are looked for, so a task holds at most ``TILE`` squared.
+    The pairs of two tiles are handed on before the next ones are looked for: at most ``TILE`` squared at once.
     Rows are the fingerprint's lanes, two words of name, two of component and the size; they come in the order of sizes, and
     tiles whose sizes lie too far apart are skipped.
     """
@@ -187,10 +189,56 @@ def _pairs_apart(
                 yield i[fits], j[fits]
 
 
+def _spanning(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of all ``pairs``, of which at most ``LINKS`` and one portion are held at a time."""
+    found, held = [], 0
+    for i, j in pairs:
+        found.append((i, j))
+        held += len(i)
+        if held > LINKS:
+            found = [_forest(size, *map(np.concatenate, zip(*found, strict=True)))]
+            held = len(found[0][0])
+    return _forest(size, *map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _similar(rows: np.ndarray, sets: list[np.ndarray], pairs: Iterator[tuple[np.ndarray, np.ndarray]], lanes: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest of those ``pairs`` of positions whose sets of shingles are similar enough, and lie in different components of ``rows``.
+
+    Pairs that what was found before connects already aren't looked at.
+    """
+    ends = np.cumsum([0, *map(len, sets)])
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes, own = np.diff(ends), [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    _, first, label = np.unique(rows[:, lanes + 2 : lanes + 4], axis=0, return_index=True, return_inverse=True)
+    above = first[label.reshape(-1)].tolist()
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    here, found = np.zeros(len(known), bool), []
+    for left, right in pairs:
+        starts = np.flatnonzero(np.diff(left, prepend=-1))  # pairs come in the order of their left side
+        for i, others in zip(left[starts].tolist(), np.split(right, starts[1:]), strict=True):
+            root = top(i)
+            others = [j for j in others.tolist() if top(j) != root]
+            if not others:
+                continue
+            here[own[i]] = True
+            common = np.add.reduceat(here[np.concatenate([own[j] for j in others])], np.cumsum([0, *sizes[others[:-1]]]), dtype=np.int64)
+            here[own[i]] = False
+            for j in np.array(others)[common / (sizes[i] + sizes[others] - common) >= similarity].tolist():
+                if (low := top(i)) != (high := top(j)):
+                    above[high] = low
+                    found.append((i, j))
+    return found
+
+
 def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1, similarity: float | None = None) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column ``fp``) just as all pairs within ``radius`` bits would.
 
-    With a similarity, ``fp`` is a row of ``_pairs_apart``, the links are its pairs, and cells are ranges of sizes.
+    With a similarity, ``fp`` is a row of ``_pairs_apart``, the links connect just as its pairs would, and cells are ranges of sizes.
 
     Fingerprints are dealt to cells by the population counts of their halves, each cell to blocks of about ``SIDE``; a
     fingerprint can only be near to those of its own and the touching cells. One task compares two blocks; it returns a
@@ -237,9 +285,11 @@ def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1, similarity
             return
         other = None if alone else sides[1]
         both = sides[0] if alone else np.concatenate(sides)
-        found = [_compare(sides[0], other, radius)] if similarity is None else _pairs_apart(sides[0], other, radius, lanes, similarity)
-        for i, j in found:
-            yield pd.DataFrame({"a": [both[x].tobytes() for x in i], "b": [both[x].tobytes() for x in j]})
+        if similarity is None:
+            i, j = _compare(sides[0], other, radius)
+        else:
+            i, j = _spanning(len(both), _pairs_apart(sides[0], other, radius, lanes, similarity))
+        yield pd.DataFrame({"a": [both[x].tobytes() for x in i], "b": [both[x].tobytes() for x in j]})
 
     packed = dealt.groupBy("cell", "block").applyInPandas(pack, "cell int, block int, prints binary")
     pairs = packed.mapInPandas(meet, "c1 int, b1 int, c2 int, b2 int, first boolean, prints binary")
@@ -273,16 +323,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: i
     )
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of names whose sets of shingles have a Jaccard similarity of at least ``similarity``; ``texts`` is (node, text)."""
+def _texts_of(wanted: DataFrame, nodes: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(node, text) of the ``wanted`` nodes; of the other texts, few are shuffled."""
+    from claimscope.operators.scale import maybe_listed  # not for the workers, which import this module
+
+    key = lambda doc, text: F.xxhash64(F.col(doc).isNull(), F.col(doc), F.col(text)).alias("key")
+    known = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
+    listed = written(known.select("node", "d", "h", key("d", "h")))
+    likely = maybe_listed(hashed.select("doc_id", "text", "hash", key("doc_id", "hash")), listed, "key")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
+    return likely.join(listed, "key").where(same).select("node", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of names whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
 
     @F.pandas_udf("array<bigint>")
     def grams_of(values: pd.Series) -> pd.Series:
         return values.map(lambda value: shingles(value, shingle).view(np.int64))
 
     pairs = written(pairs.distinct())
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(texts.join(met, "node", "left_semi").select("node", grams_of(F.coalesce("text", F.lit(""))).alias("grams")))
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    sets = written(_texts_of(met, nodes, hashed).select("node", grams_of("text").alias("grams")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b"
     )
@@ -290,13 +352,57 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return written(both.where(common / (F.size("left") + F.size("right") - common) >= similarity).select("a", "b"))
 
 
+def verified_clumps(
+    clumps: DataFrame, prints: DataFrame, nodes: DataFrame, hashed: DataFrame, shingle: int, similarity: float, lanes: int
+) -> DataFrame:
+    """Links (a, b) that connect just as all pairs of ``_pairs_apart`` whose sets have a Jaccard similarity of ``similarity`` would.
+
+    ``clumps`` are the components (node, root) of those pairs, whatever their similarity, so no pair leaves a clump and pairs needn't be
+    listed: a task gets each text of a clump once, looks for the pairs again and returns a forest. Small clumps share tasks;
+    larger ones are cut into parts of about ``CLUMP_NODES`` texts or ``CLUMP_GRAMS`` shingles, and a task verifies two parts.
+    ``prints`` are rows of ``_pairs_apart`` (node, size, fp). The driver holds one number.
+    """
+    radius = wide_radius(similarity, lanes)
+    met = written(clumps.join(prints, "node"))
+    totals = written(met.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")).select(
+        "root", "grams", F.ceil(F.greatest(F.col("n") / CLUMP_NODES, F.col("grams") / CLUMP_GRAMS)).cast("int").alias("parts")
+    ))
+    shared = totals.where("parts = 1").agg(F.sum("grams")).first()[0] or 0
+    home = F.pmod(F.xxhash64("root"), F.lit(4 * shared // CLUMP_GRAMS + 1)).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    split = F.col("parts") > 1
+    place = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(
+        F.col("root").alias("home"), F.least(F.col("part"), x).alias("low"), F.greatest(F.col("part"), x).alias("high")
+    ))
+    alone = F.array(F.struct(F.lit(b"").alias("home"), home.alias("low"), home.alias("high")))
+    dealt = met.join(totals.select("root", "parts"), "root").withColumn("part", F.when(split, part).otherwise(home))
+    texts = _texts_of(met, nodes, hashed)
+    asked = dealt.join(texts, "node").select("root", "part", "fp", "text", F.inline(F.when(split, place).otherwise(alone)))
+
+    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for _, clump in rows.groupby("root"):
+            own = np.frombuffer(b"".join(clump["fp"]), np.uint64).reshape(len(clump), lanes + 5)
+            order = np.lexsort((_sizes(own), clump["part"]))
+            own, parts = own[order], clump["part"].to_numpy()[order]
+            cut = len(own) if key[1] == key[2] else int((parts == key[1]).sum())
+            if cut in (0, len(own)) and key[1] != key[2]:
+                continue
+            sets = [shingles(text, shingle) for text in clump["text"].to_numpy()[order]]
+            pairs = _pairs_apart(own[:cut], own[cut:] if cut < len(own) else None, radius, lanes, similarity)
+            links += [(own[i].tobytes(), own[j].tobytes()) for i, j in _similar(own, sets, pairs, lanes, similarity)]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return asked.groupBy("home", "low", "high").applyInPandas(verify, "a binary, b binary")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """``docs`` with one row left of each group of near-duplicates: that with the smallest doc_id.
 
     Two texts are near-duplicates when the Jaccard similarity of their sets of word shingles is at least ``similarity``; groups are the
     components of those links. Texts of the same set are one node. Nodes that share a smallest hash are verified against the
     first of them, so that large groups of near copies are linked without their square of pairs. Then all pairs of nodes of
-    different components whose 64 x ``lanes`` fingerprint bits lie within ``wide_radius`` are verified. A null doc_id counts as
+    different components whose 64 x ``lanes`` fingerprint bits lie within ``wide_radius`` are verified, clump by clump. A null doc_id counts as
     larger than any other. Of repeated rows with the smallest doc_id, the one whose text has the smallest hash stays. Columns
     are those of ``docs``.
     """
@@ -311,20 +417,19 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     nodes = written(prints.groupBy("node").agg(
         F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("minima").alias("minima"), F.min(place).alias("first")
     ))
-    known = nodes.select("node", F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
-    texts = hashed.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))).select("node", "text").dropDuplicates(["node"])
     met = written(nodes.select("node", "size", F.posexplode("minima").alias("k", "low")))
     stars = met.groupBy("k", "low").agg(F.min(F.struct("node", "size")).alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = met.join(written(stars), ["k", "low"]).where(F.col("node") != F.col("star.node")).where(
         F.least("size", "star.size") >= similarity * F.greatest("size", "star.size") - 1e-6
     )
-    links = verified(near.select(F.col("star.node").alias("a"), F.col("node").alias("b")), texts, shingle, similarity)
-    labelled = nodes.where("size > 0").join(components(links), "node", "left").select(
+    links = verified(near.select(F.col("star.node").alias("a"), F.col("node").alias("b")), nodes, hashed, shingle, similarity)
+    labelled = written(nodes.where("size > 0").join(components(links), "node", "left").select("node", "size",
         F.concat("fp", "node", F.coalesce("root", "node"), F.unhex(F.lpad(F.hex(F.col("size")), 16, "0"))).alias("fp")
-    )
-    found = fingerprint_links(written(labelled), wide_radius(similarity, lanes), lanes, similarity)
+    ))
     name = [F.substring(side, 8 * lanes + 1, 16).alias(side) for side in ("a", "b")]
-    links = written(links.union(verified(found.select(*name), texts, shingle, similarity)))
+    clumps = components(fingerprint_links(labelled.select("fp"), wide_radius(similarity, lanes), lanes, similarity).select(*name))
+    found = verified_clumps(clumps, labelled, nodes, hashed, shingle, similarity, lanes)
+    links = written(links.union(found.select(*name)))
     member = written(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     # Written first, so that Spark can split the other side where one component has very many nodes.
     rooted = prints.join(member, "node").select("root", place.alias("place"))

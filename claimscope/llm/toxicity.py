@@ -29,6 +29,7 @@ _LANGUAGE_OF = {word.encode(): [k for k, words in enumerate(FUNCTION_WORDS.value
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 WIDTHS = (1, 2, 3)
 STRIDE = 1 << 16  # words that are scored at once
+LINES = 1 << 12  # words whose table rows are added up at once
 SHARD_CHARS = 1 << 25  # a task learns from about this much text between two averages
 SLOTS = 1 << 10  # rows of the embedding that are averaged together
 FEW = 10
@@ -304,7 +305,11 @@ def scorer(model: Model):
         indexer, held, size = Indexer(s.buckets), [], 0
 
         def flush() -> None:
-            lines = np.vstack([tables[indexer.rows()].sum(axis=1), np.zeros((1, tables.shape[1]), np.float32)])
+            rows = indexer.rows()
+            lines = np.zeros((len(rows) + 1, tables.shape[1]), tables.dtype)
+            for cut in range(0, len(rows), LINES):
+                for own in rows[cut : cut + LINES].T:
+                    lines[cut : cut + len(own)] += tables[own]
             for at, words, spoken in held:
                 logit = float(np.maximum(pool(lines, words), 0) @ model.weights + model.bias)
                 scores[at] = _sigmoid(np.array(logit - model.shift[spoken]))
@@ -347,8 +352,19 @@ def _kind(settings: Settings) -> type:
     return np.uint16 if settings.buckets <= 1 << 16 else np.int32
 
 
-def _texts(rows: pd.Series, settings: Settings) -> list[np.ndarray]:
-    return [_padded(np.frombuffer(body, _kind(settings)), settings) for body in rows]
+class _Texts(Sequence):
+    """Padded texts from their stored rows, each worked out when it is asked for: all at once take twice the rows' memory."""
+
+    def __init__(self, rows: pd.Series, settings: Settings) -> None:
+        self.bodies, self.settings = rows.to_list(), settings
+
+    def __len__(self) -> int:
+        return len(self.bodies)
+
+    def __getitem__(self, at: int | slice) -> np.ndarray | list[np.ndarray]:
+        if isinstance(at, slice):
+            return [self[i] for i in range(*at.indices(len(self)))]
+        return _padded(np.frombuffer(self.bodies[at], _kind(self.settings)), self.settings)
 
 
 def _averaged(state: State, shards: DataFrame, settings: Settings, passes: int, seed: int) -> State:
@@ -364,7 +380,7 @@ def _averaged(state: State, shards: DataFrame, settings: Settings, passes: int,
         before = shared.value
         own = State([x.copy() for x in before.values], [x.copy() for x in before.sums], np.zeros(len(before.touched)))
         rows = rows.sort_values("key")
-        learn(own, _texts(rows["rows"], s), rows["toxic"].to_numpy(float), np.ones(len(rows)), s, passes, seed + key[0])
+        learn(own, _Texts(rows["rows"], s), rows["toxic"].to_numpy(float), np.ones(len(rows)), s, passes, seed + key[0])
         moved = np.concatenate([own.values[0] - before.values[0], own.sums[0] - before.sums[0]], axis=1, dtype=np.float32)
         moved *= own.touched[:, None].astype(np.float32)
         found = [
@@ -422,7 +438,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, fo
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            logits = np.clip(chances(shared.value, _texts(batch["rows"], s), s), -40, 40)
+            logits = np.clip(chances(shared.value, _Texts(batch["rows"], s), s), -40, 40)
             yield batch[["spoken", "toxic"]].assign(bin=np.round(LOGIT_BINS * logits).astype(int))
 
     counted = rows.where("held").mapInPandas(judge, "spoken string, toxic int, bin int").groupBy("spoken", "toxic", "bin").agg(F.count(F.lit(1)).alias("n"))

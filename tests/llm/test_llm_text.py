@@ -170,6 +170,30 @@ def test_near_duplicates_are_those_of_shingle_sets(spark):
     assert kept == sorted(set(jaccard_groups(texts)))
 
 
+def test_texts_that_are_near_but_not_linked_give_no_square_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base, texts = [f"w{x}" for x in rng.integers(0, 10**9, 200)], []
+    for n in [4] * 36 + [1] * 4:  # similarities of about 0.68; the last four are near copies of the first
+        text = list(base) if n > 1 else texts[0].split()
+        for place in rng.choice(200, n, replace=False):
+            text[place] = f"new{len(texts)}"
+        texts.append(" ".join(text))
+    counts, links = [], simhash.fingerprint_links
+
+    def counted(*args):
+        found = links(*args)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "fingerprint_links", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for nodes in (1024, 8):  # in one part, and in several
+        monkeypatch.setattr(simhash, "CLUMP_NODES", nodes, raising=False)
+        kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+        assert kept == sorted(set(jaccard_groups(texts)))
+    assert len(kept) > 20 and all(0 < n < len(texts) for n in counts)
+
+
 def test_near_duplicates_of_the_test_table(spark):
     docs = table(spark, "documents").select("doc_id", "text").orderBy("doc_id").collect()
     kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, "documents")).collect())
