@@ -99,6 +99,23 @@ def test_features_scan_the_claims_once_and_assemble_without_a_shuffle(tables, st
     assert rounded(providers.provider_volume(providers.provider_sums_of(stored_claims, tables.providers), 5)) == want
 
 
+def test_sums_of_providers_read_small_splits(spark, tables, stored_claims, monkeypatch):
+    """A task holds the sums of a whole split, which hardly shrink it."""
+    from claimscope.plans import providers
+
+    key = "spark.sql.files.maxPartitionBytes"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(providers, "cut_by", lambda df, *rest: seen.append(spark.conf.get(key)))
+    try:
+        for given in (before, "1g", "2m"):
+            spark.conf.set(key, given)
+            providers.provider_sums_of(stored_claims, tables.providers)
+            assert spark.conf.get(key) == given
+    finally:
+        spark.conf.set(key, before)
+    assert seen == ["16777216b", "16777216b", "2097152b"]
+
+
 def test_constant_texts_are_made_distinct_before_they_are_sorted(spark):
     df = spark.createDataFrame([("a", "x", None), ("a", None, 1), ("b", None, 0), ("b", None, 0), (None, "y", 2)], "key string, text string, n int")
     found = C.constant_attrs(df, "key", ["text", "n"])
