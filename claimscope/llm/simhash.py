@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimscope.llm.common import written
@@ -18,6 +18,7 @@ from claimscope.llm.components import components
 
 SEED = 42
 SIDE = 16_384  # fingerprints in a block; two blocks are one task's work
+COPIES, SIDE_MOST = 8, 262_144  # where sets decide, a cell has at most so many blocks, unless they would hold more rows than this
 TILE = 512  # fingerprints in a tile
 CHUNK = 1 << 17  # words of a text whose bits are counted at once
 LINKS = 1 << 21  # links that a task holds before it reduces them to a forest
@@ -235,12 +236,17 @@ def _similar(rows: np.ndarray, sets: list[np.ndarray], pairs: Iterator[tuple[np.
     return found
 
 
+def block_side(rows: int, sets: bool) -> int:
+    """Rows of a block in a cell of so many. A block is copied to each block that it meets, so where ``sets`` decide, and rows are wide, blocks grow with the cell."""
+    return max(SIDE, min(-(-rows // COPIES), SIDE_MOST)) if sets else SIDE
+
+
 def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1, similarity: float | None = None) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column ``fp``) just as all pairs within ``radius`` bits would.
 
     With a similarity, ``fp`` is a row of ``_pairs_apart``, the links connect just as its pairs would, and cells are ranges of sizes.
 
-    Fingerprints are dealt to cells by the population counts of their halves, each cell to blocks of about ``SIDE``; a
+    Fingerprints are dealt to cells by the population counts of their halves, each cell to blocks of about ``block_side``; a
     fingerprint can only be near to those of its own and the touching cells. One task compares two blocks; it returns a
     forest, at most one link for each of its fingerprints, so a dense group gives no square of links. The driver holds the
     number of fingerprints per cell (at most (32 x lanes / (radius + 1) + 1) squared numbers).
@@ -257,7 +263,7 @@ def fingerprint_links(prints: DataFrame, radius: int, lanes: int = 1, similarity
         return pd.Series((bits[:, 0] // width * 1000 + bits[:, 1] // width).astype(np.int32))
 
     celled = prints.withColumn("cell", cell_of("fp"))
-    blocks = {row["cell"]: -(-row["n"] // SIDE) for row in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = {row["cell"]: -(-row["n"] // block_side(row["n"], similarity is not None)) for row in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not blocks:
         return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
     number = F.create_map(*[F.lit(x) for entry in blocks.items() for x in entry])[F.col("cell")]
@@ -323,33 +329,51 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, lanes: i
     )
 
 
-def _texts_of(wanted: DataFrame, nodes: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(node, text) of the ``wanted`` nodes; of the other texts, few are shuffled."""
+def _with_texts(wanted: DataFrame, nodes: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (node and more) with their node's text. Of the other texts, few are shuffled; a wanted one is shuffled once."""
     from claimscope.operators.scale import maybe_listed  # not for the workers, which import this module
 
-    key = lambda doc, text: F.xxhash64(F.col(doc).isNull(), F.col(doc), F.col(text)).alias("key")
-    known = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("d"), F.col("first.hash").alias("h"))
-    listed = written(known.select("node", "d", "h", key("d", "h")))
-    likely = maybe_listed(hashed.select("doc_id", "text", "hash", key("doc_id", "hash")), listed, "key")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
-    return likely.join(listed, "key").where(same).select("node", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["node"])
+    listed = written(wanted.join(nodes.select("node", F.col("first").alias("_place")), "node"))
+    rows = hashed.select(F.col("place").alias("_place"), "text")
+    # Dealt by the join's one key, so that neither the repeated rows nor the join need another shuffle.
+    texts = maybe_listed(rows, written(listed.select("_place").distinct()), "_place").repartition("_place").dropDuplicates(["_place"])
+    return texts.join(listed, "_place").select(*wanted.columns, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of names whose sets of shingles have a Jaccard similarity of at least ``similarity``."""
-
-    @F.pandas_udf("array<bigint>")
-    def grams_of(values: pd.Series) -> pd.Series:
-        return values.map(lambda value: shingles(value, shingle).view(np.int64))
+    """The ``pairs`` (a, b) of names whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
+    ``a_size`` and ``b_size`` are the sizes of the sets. A task gets the text of an ``a`` once, and those of its ``b``; small groups share tasks, of
+    larger ones a task gets about ``CLUMP_NODES`` texts or ``CLUMP_GRAMS`` shingles. The driver holds one number.
+    """
     pairs = written(pairs.distinct())
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    sets = written(_texts_of(met, nodes, hashed).select("node", grams_of("text").alias("grams")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b"
-    )
-    common = F.size(F.array_intersect("left", "right"))
-    return written(both.where(common / (F.size("left") + F.size("right") - common) >= similarity).select("a", "b"))
+    grams = F.sum("b_size") + F.max("a_size")
+    totals = written(pairs.groupBy("a").agg(grams.alias("grams"), F.ceil(F.greatest(F.count(F.lit(1)) / CLUMP_NODES, grams / CLUMP_GRAMS)).cast("int").alias("parts")))
+    home, part = _homes(totals, "a"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    split = F.col("parts") > 1
+    place = lambda part: [F.when(split, F.col("a")).otherwise(F.lit(b"")).alias("home"), F.when(split, part).otherwise(home).alias("part")]
+    stars = totals.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(F.col("a").alias("node"), "a", *place(F.col("at")))
+    others = pairs.join(totals, "a").select(F.col("b").alias("node"), "a", *place(part))
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        links = []
+        for a, star in rows.groupby("a"):
+            sets = {node: shingles(text, shingle) for node, text in zip(star["node"], star["text"], strict=True)}
+            own = sets.pop(a)
+            for b, other in sets.items():
+                common = len(np.intersect1d(own, other, assume_unique=True))
+                if common / (len(own) + len(other) - common) >= similarity:
+                    links.append((a, b))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    asked = _with_texts(stars.union(others), nodes, hashed)
+    return written(asked.groupBy("home", "part").applyInPandas(verify, "a binary, b binary"))
+
+
+def _homes(totals: DataFrame, name: str) -> Column:
+    """The task of a group in one part, by its name: so many that each gets about a quarter of ``CLUMP_GRAMS``."""
+    shared = totals.where("parts = 1").agg(F.sum("grams")).first()[0] or 0
+    return F.pmod(F.xxhash64(name), F.lit(4 * shared // CLUMP_GRAMS + 1)).cast("int")
 
 
 def verified_clumps(
@@ -367,8 +391,7 @@ def verified_clumps(
     totals = written(met.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")).select(
         "root", "grams", F.ceil(F.greatest(F.col("n") / CLUMP_NODES, F.col("grams") / CLUMP_GRAMS)).cast("int").alias("parts")
     ))
-    shared = totals.where("parts = 1").agg(F.sum("grams")).first()[0] or 0
-    home = F.pmod(F.xxhash64("root"), F.lit(4 * shared // CLUMP_GRAMS + 1)).cast("int")
+    home = _homes(totals, "root")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     split = F.col("parts") > 1
     place = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(
@@ -376,8 +399,7 @@ def verified_clumps(
     ))
     alone = F.array(F.struct(F.lit(b"").alias("home"), home.alias("low"), home.alias("high")))
     dealt = met.join(totals.select("root", "parts"), "root").withColumn("part", F.when(split, part).otherwise(home))
-    texts = _texts_of(met, nodes, hashed)
-    asked = dealt.join(texts, "node").select("root", "part", "fp", "text", F.inline(F.when(split, place).otherwise(alone)))
+    asked = _with_texts(dealt.select("node", "root", "part", "fp", F.inline(F.when(split, place).otherwise(alone))), nodes, hashed)
 
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         links = []
@@ -406,23 +428,25 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     larger than any other. Of repeated rows with the smallest doc_id, the one whose text has the smallest hash stays. Columns
     are those of ``docs``.
     """
+    from claimscope.operators.scale import split_listed  # not for the workers, which import this module
 
     @F.pandas_udf("node binary, fp binary, size bigint, minima array<bigint>")
     def sketch_of(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_sketch(value, shingle, lanes) for value in values], columns=["node", "fp", "size", "minima"])
 
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    prints = written(hashed.withColumn("sketch", sketch_of(F.coalesce("text", F.lit("")))).select("doc_id", "hash", "sketch.*"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"))
+    hashed = docs.select(place.alias("place"), "text")
+    prints = written(hashed.select("place", sketch_of(F.coalesce("text", F.lit(""))).alias("sketch")).select("place", "sketch.*"))
     nodes = written(prints.groupBy("node").agg(
-        F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("minima").alias("minima"), F.min(place).alias("first")
+        F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("minima").alias("minima"), F.min("place").alias("first")
     ))
     met = written(nodes.select("node", "size", F.posexplode("minima").alias("k", "low")))
     stars = met.groupBy("k", "low").agg(F.min(F.struct("node", "size")).alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = met.join(written(stars), ["k", "low"]).where(F.col("node") != F.col("star.node")).where(
         F.least("size", "star.size") >= similarity * F.greatest("size", "star.size") - 1e-6
     )
-    links = verified(near.select(F.col("star.node").alias("a"), F.col("node").alias("b")), nodes, hashed, shingle, similarity)
+    near = near.select(F.col("star.node").alias("a"), F.col("node").alias("b"), F.col("star.size").alias("a_size"), F.col("size").alias("b_size"))
+    links = verified(near, nodes, hashed, shingle, similarity)
     labelled = written(nodes.where("size > 0").join(components(links), "node", "left").select("node", "size",
         F.concat("fp", "node", F.coalesce("root", "node"), F.unhex(F.lpad(F.hex(F.col("size")), 16, "0"))).alias("fp")
     ))
@@ -432,17 +456,17 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     links = written(links.union(found.select(*name)))
     member = written(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")))
     # Written first, so that Spark can split the other side where one component has very many nodes.
-    rooted = prints.join(member, "node").select("root", place.alias("place"))
+    rooted = written(prints.join(member, "node").select("root", "place"))
     first = written(rooted.groupBy("root").agg(F.min("place").alias("first")))
-    kept = written(rooted.join(first, "root").where("place = first").groupBy("root").agg(
-        F.count(F.lit(1)).alias("n"), F.any_value("first").alias("first")  # n is over 1 where that row is repeated
+    judged = written(rooted.join(first, "root").select("root", "place", (F.col("place") == F.col("first")).alias("own")))
+    kept = written(judged.where("own").groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("place").alias("first")  # n is over 1 where that row is repeated
     ))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"))
-    left = rows.join(
-        kept.select("root", "n", F.col("first.doc_id").alias("_d"), F.col("first.hash").alias("_h")),
-        F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_h")),
-    )
-    result = left.where("n = 1").select("_row")
+    # Most rows are the only ones of their groups. Just those that may not be are joined, so few texts are shuffled.
+    listed = written(judged.where("not own").select("place").union(kept.where("n > 1").select("first")).distinct())
+    likely, alone = split_listed(docs.select(F.struct("*").alias("_row"), place.alias("place")), listed, "place")
+    left = likely.join(kept.withColumnRenamed("first", "place"), "place")
+    result = alone.select("_row").union(left.where("n = 1").select("_row"))
     if not kept.where("n > 1").isEmpty():
         tied = left.where("n > 1").groupBy("root").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
         result = result.union(tied.select("_row"))

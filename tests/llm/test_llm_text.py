@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimscope.llm import decontaminate, interpolation, mixing, simhash, toxicity
 from claimscope.llm.components import components
+from claimscope.operators import scale
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, score double, _row string"
@@ -194,6 +195,55 @@ def test_texts_that_are_near_but_not_linked_give_no_square_of_pairs(spark, monke
     assert len(kept) > 20 and all(0 < n < len(texts) for n in counts)
 
 
+def test_only_texts_with_copies_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fresh = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**9, 40))
+    texts = [fresh() for _ in range(300)]
+    texts += [texts[0] + " end", texts[1], None, ""]
+    rows = [*enumerate(texts), (None, fresh()), (None, texts[2]), (5, texts[5]), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    joined, split = [], scale.split_listed
+
+    def counted(*args):
+        likely, others = split(*args)
+        joined.append(likely.count())
+        return likely, others
+
+    monkeypatch.setattr(scale, "split_listed", counted)
+    kept = Counter(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == Counter([*range(300), 302, None])  # 302 and 303 are empty; doc 5 is there once
+    assert len(joined) == 1 and joined[0] < 60
+
+
+def test_a_star_of_many_near_copies_is_verified_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base, texts = [f"w{x}" for x in rng.integers(0, 10**9, 300)], []
+    for n in range(60):  # the later ones are too far from the first
+        text = list(base)
+        for place in rng.choice(300, n // 4, replace=False):
+            text[place] = f"new{len(texts)}"
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(simhash, "CLUMP_NODES", 8)
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted(set(jaccard_groups(texts))) and 1 < len(kept) < 50
+
+
+def test_blocks_of_sets_grow_so_that_their_copies_do_not(spark, monkeypatch):
+    copies = [-(-n // simhash.block_side(n, sets=True)) for n in (1, 16_385, 590_000, 2_000_000, 4_000_000)]
+    assert copies == [1, 2, 8, 8, 16] and simhash.block_side(590_000, sets=False) == simhash.SIDE
+    monkeypatch.setattr(simhash, "SIDE", 4)
+    monkeypatch.setattr(simhash, "COPIES", 3)
+    rng = np.random.default_rng(14)
+    fresh, texts = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)], []
+    for share in (0.6, 0.75, 0.79, 0.8, 0.85, 0.95) * 6:
+        own = fresh(64)
+        texts += [" ".join(own), " ".join(own + fresh(round(60 / share) - 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert kept == sorted(set(jaccard_groups(texts)))
+
+
 def test_near_duplicates_of_the_test_table(spark):
     docs = table(spark, "documents").select("doc_id", "text").orderBy("doc_id").collect()
     kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(table(spark, "documents")).collect())
