@@ -5,7 +5,7 @@ learned by expectation-maximisation on held-out counts: each training event is j
 when it is taken out of them itself.
 
 Texts are read once, in blocks of some megabytes. A block asks for the corpus counts of its distinct words and bigrams, which
-are dealt by hash, so a frequent word is one request per block and not one per occurrence; no text is shuffled.
+are dealt by ranges of their hashes, so a frequent word is one request per block and not one per occurrence; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,6 +32,14 @@ START, END = np.uint64(0x51A7), np.uint64(0xE17D)
 _BLOCK = "block bigint, tokens binary, vocab binary, ids array<string>, held array<boolean>, lengths array<int>"
 
 
+def _squeezed(body: bytes) -> bytes:
+    return pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _expanded(body: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Blocks of texts as numbers of their own word list; the list holds a 64-bit hash of each word."""
     first, count = TaskContext.get().partitionId() << 24, 0
@@ -43,7 +52,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = np.fromiter((xxhash.xxh64_intdigest(word) for word in numbers), np.uint64, len(numbers))
         body = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
         return pd.DataFrame({
-            "block": [first + count], "tokens": [body.tobytes()], "vocab": [vocab.tobytes()],
+            "block": [first + count], "tokens": [_squeezed(body.view(np.uint8).reshape(-1, 4).T.tobytes())], "vocab": [vocab.tobytes()],
             "ids": [[row[0] for row in rows]], "held": [[row[1] for row in rows]], "lengths": [[row[2] for row in rows]],
         })
 
@@ -62,7 +71,8 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _events(tokens: bytes, vocab: bytes, held: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: word numbers (-1 for the end), distinct bigram keys, the bigram of each event, and which events train."""
-    body, hashes = np.frombuffer(tokens, np.int32), np.frombuffer(vocab, np.uint64)
+    planes, hashes = _expanded(tokens, 4 * int(lengths.sum())).reshape(4, -1), np.frombuffer(vocab, np.uint64)
+    body = np.ascontiguousarray(planes.T).view(np.int32).ravel()
     ends = np.cumsum(lengths + 1) - 1
     words = np.full(len(body) + len(lengths), -1, np.int32)
     inside = np.ones(len(words), bool)
@@ -78,10 +88,10 @@ def _events(tokens: bytes, vocab: bytes, held: np.ndarray, lengths: np.ndarray)
 
 
 def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by part and key, and where each non-empty part starts in that order."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((keys, part))
-    present, starts = np.unique(part[order], return_index=True)
+    """Order by key, and where each non-empty part starts in that order; a part is a range of keys, which lie closer together than all."""
+    order = np.argsort(keys, kind="stable")
+    part = ((keys[order] >> _C) * np.uint64(parts) >> _C).astype(np.int64)
+    present, starts = np.unique(part, return_index=True)
     return order, present, starts
 
 
@@ -104,22 +114,23 @@ def _requests(parts: int):
                 own = np.bincount(words[train & (words >= 0)], minlength=len(vocab))
                 for kind, asked, counts in ((1, vocab, own), (2, keys, np.bincount(event, weights=train, minlength=len(keys)))):
                     order, present, starts = _dealt(asked, parts)
+                    packed = [_packed(x) for x in np.split(counts[order].astype(np.int64), starts[1:])][: len(present)]
                     yield pd.DataFrame({
                         "part": present, "kind": kind, "block": row.block,
                         "keys": [_planes(x) for x in np.split(asked[order], starts[1:])][: len(present)],
-                        "counts": [x.tobytes() for x in np.split(counts[order].astype(np.int32), starts[1:])][: len(present)],
+                        "small": [x[0] for x in packed], "large": [x[1] for x in packed],
                     })
 
     return ask
 
 
 def _packed(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as bytes; those from 255 on follow apart."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype(np.int64).tobytes()
+    """Counts as bytes, compressed; those from 255 on follow apart."""
+    return _squeezed(np.minimum(counts, 255).astype(np.uint8).tobytes()), counts[counts >= 255].astype(np.int64).tobytes()
 
 
-def _unpacked(small: bytes, large: bytes) -> np.ndarray:
-    counts = np.frombuffer(small, np.uint8).astype(np.int64)
+def _unpacked(small: bytes, large: bytes, size: int) -> np.ndarray:
+    counts = _expanded(small, size).astype(np.int64)
     counts[counts == 255] = np.frombuffer(large, np.int64)
     return counts
 
@@ -127,10 +138,11 @@ def _unpacked(small: bytes, large: bytes) -> np.ndarray:
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts for all requests of one part and kind."""
     keys = np.concatenate([_keys(body) for body in rows["keys"]])
-    counts = np.frombuffer(b"".join(rows["counts"]), np.int32)
+    sizes = [len(body) // 8 for body in rows["keys"]]
+    counts = np.concatenate([_unpacked(*reply) for reply in zip(rows["small"], rows["large"], sizes, strict=True)])
     distinct, place = np.unique(keys, return_inverse=True)
     total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
-    cuts = np.cumsum([len(body) // 8 for body in rows["keys"]])[:-1]
+    cuts = np.cumsum(sizes)[:-1]
     replies = [_packed(x) for x in np.split(total[place], cuts)]
     known = np.zeros(len(rows), np.int64)
     known[0] = np.count_nonzero(total) if rows["kind"].iloc[0] == 1 else 0
@@ -147,11 +159,12 @@ def _counted(parts: int, train_docs: int):
         words, keys, event, _ = _events(own["small"], own["large"], np.asarray(own["held"], bool), lengths)
         found = []
         for kind, asked in ((1, np.frombuffer(own["large"], np.uint64)), (2, keys)):
-            order, _, _ = _dealt(asked, parts)
+            order, _, starts = _dealt(asked, parts)
+            sizes = np.diff(starts, append=len(asked)).tolist()
             replies = rows[rows["kind"] == kind].sort_values("part")
             counts = np.zeros(len(asked), np.int64)
             if len(asked):
-                counts[order] = np.concatenate([_unpacked(s, b) for s, b in zip(replies["small"], replies["large"], strict=True)])
+                counts[order] = np.concatenate([_unpacked(*reply) for reply in zip(replies["small"], replies["large"], sizes, strict=True)])
             found.append(counts)
         word_counts = np.append(found[0], train_docs)[words]  # -1, the end, reads the last entry
         ends = np.cumsum(lengths + 1)[:-1]
@@ -177,7 +190,7 @@ def counted(docs: DataFrame, folds: int = 10) -> DataFrame:
     train_docs, tokens = sums["docs"], sums["tokens"] or 0
     parts = max(32, sums["blocks"])
     replies = written(
-        blocks.mapInPandas(_requests(parts), "part int, kind int, block bigint, keys binary, counts binary")
+        blocks.mapInPandas(_requests(parts), "part int, kind int, block bigint, keys binary, small binary, large binary")
         .groupBy("part", "kind").applyInPandas(_answer, "block bigint, kind int, part int, small binary, large binary, known bigint")
     )
     vocabulary = (replies.agg(F.sum("known")).first()[0] or 0) + (train_docs > 0)

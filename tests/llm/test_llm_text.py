@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from claimscope.llm import decontaminate, interpolation, mixing, simhash, toxicity
+from claimscope.llm.common import written
 from claimscope.llm.components import components
 from claimscope.operators import scale
 
@@ -278,6 +280,35 @@ def test_scores_against_brute_force(spark):
     assert gained[True] > 0 and gained[False] > 0
 
 
+def test_written_leaves_no_shuffle_behind(spark):
+    count = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    docs = spark.range(1000).repartition(7, "id")
+    before = count()
+    found = written(docs)
+    for _ in range(50):  # files go in the background
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before and found.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_requests_of_counts_are_short():
+    rng = np.random.default_rng(15)
+    keys, parts = np.unique(rng.integers(0, 2**64, 200_000, np.uint64)), 200
+    order, present, starts = interpolation._dealt(rng.permutation(keys), parts)
+    assert present.tolist() == list(range(parts)) and len(order) == len(keys)
+    ranges = np.split(keys, starts[1:])
+    planes = [np.frombuffer(interpolation._planes(x), np.uint8).reshape(8, -1) for x in ranges]
+    assert all((interpolation._keys(p.tobytes()) == x).all() for p, x in zip(planes, ranges))
+    joined = np.concatenate([p[:, 1:] for p in planes], axis=1)
+    assert (joined[6] == 0).mean() > 0.9 and not joined[7].any()  # most take six bytes, but for the first of a part
+    counts = rng.choice([0, 1, 2, 255, 70_000], 1000, p=[0.1, 0.85, 0.04, 0.005, 0.005])
+    small, large = interpolation._packed(counts)
+    assert len(small) < 300 and (interpolation._unpacked(small, large, 1000) == counts).all()
+    assert not len(interpolation._unpacked(*interpolation._packed(counts[:0]), 0))
+
+
 def test_score_edges(spark, edges, empty):
     rows = interpolation.score(edges).collect()
     assert len(rows) == len(EDGES) and all(math.isfinite(r["score"]) for r in rows)
